@@ -62,15 +62,18 @@ def train_districts(
     A tree cannot split a category into more values than it has rows. Districts that short
     take their categories as numbers.
     """
-    rows = {
-        (r.lat_cell, r.lon_cell): r.n
-        for r in table.groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"))
+    cells = [(round(lat * 100), round(lon * 100)) for lat, lon in districts]
+    listed = table.sparkSession.createDataFrame(cells, "lat_cell int, lon_cell int").distinct()
+    short = {
+        (r.lat_cell, r.lon_cell)
+        for r in table.join(F.broadcast(listed), ["lat_cell", "lon_cell"])
+        .groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"))
         .filter(F.col("n") < max(ARITY.values())).collect()
-    } if len(districts) else {}
+    }
 
     def fit(district: tuple[float, float]):
         own = rows_of(table, *district)
-        if (round(district[0] * 100), round(district[1] * 100)) in rows:
+        if (round(district[0] * 100), round(district[1] * 100)) in short:
             own = own.withColumn("features", F.col("features").alias("features", metadata={}))
         model = estimator().fit(own)
         if folder:

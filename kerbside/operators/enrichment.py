@@ -28,7 +28,8 @@ def fill_geometry(events: DataFrame, geocodes: DataFrame) -> DataFrame:
     Only the events that need it take part in the join; the others pass by it, so their
     missing addresses cannot pile up on one key.
     """
-    known = geocodes.groupBy("address").agg(F.min(F.struct("lat", "lng")).alias("at"))
+    located_codes = geocodes.filter("lat IS NOT NULL AND lng IS NOT NULL")
+    known = located_codes.groupBy("address").agg(F.min(F.struct("lat", "lng")).alias("at"))
     need = ~has_geometry() & F.col("address").isNotNull()
     done = events.filter(~need)
     filled = (

@@ -20,26 +20,41 @@ def offset_column(i: int) -> str:
     return f"Venues_{i}h"
 
 
-def venue_ids(events: DataFrame) -> DataFrame:
+def event_spans(events: DataFrame) -> DataFrame:
+    """``latitude, longitude, start_date, end_date, n``: located events counted per place and
+    span of whole hours.
+
+    The one pass over the events. A hot place shrinks to its distinct spans here, before
+    anything is joined or expanded.
+    """
+    return (
+        events.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+        .groupBy("latitude", "longitude", tp.hour_of(F.col("start_date")).alias("start_date"),
+                 tp.hour_of(F.col("end_date")).alias("end_date"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def venue_ids(places: DataFrame) -> DataFrame:
     """``venue_id, latitude, longitude``: distinct coordinates numbered by (latitude, longitude).
 
     Numbering in two steps keeps it parallel: a running total over strips of latitude
     (at most 18,001 of a hundredth degree each) gives every strip its first number, and
     only inside a strip are venues ranked.
     """
-    places = (
-        events.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    distinct = (
+        places.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
         .select("latitude", "longitude").distinct()
         .withColumn("strip", F.floor(F.col("latitude") * 100).cast("int"))
     )
     before = W.orderBy("strip").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        places.groupBy("strip").agg(F.count("*").alias("n"))
+        distinct.groupBy("strip").agg(F.count("*").alias("n"))
         .select("strip", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     )
     inside = W.partitionBy("strip").orderBy("latitude", "longitude")
     return (
-        places.withColumn("rank", F.row_number().over(inside))
+        distinct.withColumn("rank", F.row_number().over(inside))
         .join(F.broadcast(starts), "strip")  # <= 18,001 rows of two numbers, by construction
         .select((F.col("first") + F.col("rank") - 1).cast("int").alias("venue_id"), "latitude", "longitude")
     )
@@ -59,20 +74,10 @@ def event_hours(events: DataFrame, calendar: tp.HourRange | None = None) -> Data
     return spans.withColumn("Time", F.explode(hours)).drop("first_hour", "last_hour")
 
 
-def venue_hours(events: DataFrame, venues: DataFrame, calendar: tp.HourRange | None = None) -> DataFrame:
-    """``Time, venue_id, n``: events taking place per hour and venue.
-
-    Events are first counted per (place, first hour, last hour), which also shrinks a hot
-    place to its distinct spans before it is joined and expanded.
-    """
-    spans = (
-        events.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
-        .groupBy("latitude", "longitude", tp.hour_of(F.col("start_date")).alias("start_date"),
-                 tp.hour_of(F.col("end_date")).alias("end_date"))
-        .agg(F.count("*").alias("n"))
-        .join(venues, ["latitude", "longitude"])
-    )
-    return event_hours(spans, calendar).groupBy("Time", "venue_id").agg(F.sum("n").alias("n"))
+def venue_hours(spans: DataFrame, venues: DataFrame, calendar: tp.HourRange | None = None) -> DataFrame:
+    """``Time, venue_id, n``: events taking place per hour and venue."""
+    placed = spans.join(venues, ["latitude", "longitude"])
+    return event_hours(placed, calendar).groupBy("Time", "venue_id").agg(F.sum("n").alias("n"))
 
 
 def dense_venue_hours(activity: DataFrame, calendar: tp.HourRange) -> DataFrame:

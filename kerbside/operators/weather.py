@@ -17,17 +17,27 @@ MAX_WIDE_STATIONS = 128
 
 
 def station_days(observations: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """One row per day and station; repeated observations are summed, missing ones skipped."""
-    return observations.groupBy("Date", "Station").agg(*[F.sum(m).alias(m) for m in measures])
+    """One row per day and station; repeated observations are summed, missing ones skipped.
+
+    Beside each sum stand what means over the raw rows need: how many rows there were, how
+    many had the measure, and the summed coordinates. Everything below is computed from
+    this table, so the observations are scanned once.
+    """
+    return observations.groupBy("Date", "Station").agg(
+        F.count("*").alias("rows"), F.sum("Lat").alias("lat_sum"), F.sum("Lon").alias("lon_sum"),
+        *[F.sum(m).alias(m) for m in measures],
+        *[F.count(m).alias(f"{m}_rows") for m in measures],
+    )
 
 
-def measure_means(observations: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """One row: the mean of each measure over the whole period, missing values excluded."""
-    return observations.agg(*[F.avg(m).alias(m) for m in measures])
+def measure_means(days: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """One row: the mean of each measure over all observations that have it."""
+    return days.agg(*[(F.sum(m) / F.nullif(F.sum(f"{m}_rows"), F.lit(0))).alias(m) for m in measures])
 
 
-def station_coordinates(observations: DataFrame) -> DataFrame:
-    return observations.groupBy("Station").agg(F.avg("Lat").alias("Lat"), F.avg("Lon").alias("Lon"))
+def station_coordinates(days: DataFrame) -> DataFrame:
+    return days.groupBy("Station").agg(
+        (F.sum("lat_sum") / F.sum("rows")).alias("Lat"), (F.sum("lon_sum") / F.sum("rows")).alias("Lon"))
 
 
 @dataclass(frozen=True)
@@ -37,10 +47,10 @@ class Station:
     lon: float
 
 
-def list_stations(observations: DataFrame, limit: int = MAX_WIDE_STATIONS) -> list[Station]:
+def list_stations(days: DataFrame, limit: int = MAX_WIDE_STATIONS) -> list[Station]:
     """Stations in name order. An action, on at most ``limit`` + 1 rows: the station list
     fixes the columns of the wide table, so it has to be known while planning."""
-    rows = station_coordinates(observations).orderBy("Station").limit(limit + 1).collect()
+    rows = station_coordinates(days).orderBy("Station").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} stations: use impute_long")
     return [Station(r.Station, r.Lat, r.Lon) for r in rows]
@@ -52,13 +62,13 @@ def nearest_first(station: Station, stations: Sequence[Station]) -> list[Station
     return sorted(others, key=lambda s: ((s.lat - station.lat) ** 2 + (s.lon - station.lon) ** 2, s.name))
 
 
-def station_neighbours(observations: DataFrame) -> DataFrame:
+def station_neighbours(days: DataFrame) -> DataFrame:
     """Every other station with its rank by distance, as rows ``Station, Neighbour, Rank``.
 
     The stations travel as one array beside each station: the result has all ordered
     pairs by definition, and no join is needed to get them.
     """
-    coords = station_coordinates(observations).withColumn("s", F.struct("Station", "Lat", "Lon"))
+    coords = station_coordinates(days).withColumn("s", F.struct("Station", "Lat", "Lon"))
     everyone = coords.agg(F.collect_list("s").alias("all")).scalar()
     distance = lambda o: F.pow(o["Lat"] - F.col("Lat"), 2) + F.pow(o["Lon"] - F.col("Lon"), 2)
     others = F.filter(F.col("all"), lambda o: o["Station"] != F.col("Station"))
@@ -81,11 +91,11 @@ def wide_names(stations: Sequence[Station], measures: Sequence[str] = MEASURES)
 
 
 def pivot_stations(
-    observations: DataFrame, stations: Sequence[Station], measures: Sequence[str] = MEASURES
+    days: DataFrame, stations: Sequence[Station], measures: Sequence[str] = MEASURES
 ) -> DataFrame:
     """One row per day, one column per measure and station, null where nothing was measured."""
     names = [s.name for s in stations]
-    pivoted = observations.groupBy("Date").pivot("Station", names).agg(*[F.sum(m).alias(m) for m in measures])
+    pivoted = days.groupBy("Date").pivot("Station", names).agg(*[F.sum(m).alias(m) for m in measures])
     given = (lambda m, s: f"{s}_{m}") if len(measures) > 1 else (lambda m, s: s)
     return pivoted.select("Date", *[
         F.col(f"`{given(m, s.name)}`").alias(wide_name(m, s.name))
@@ -93,39 +103,46 @@ def pivot_stations(
     ])
 
 
-def _mean_of_first_known(values: Sequence[Column]) -> Column:
-    """Mean of the first values that are not missing; null when all are."""
-    if not values:
-        return F.lit(None).cast("double")
-    known = F.slice(F.filter(F.array(*values), lambda x: x.isNotNull()), 1, NEIGHBOURS_USED)
-    total = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(known) > 0, total / F.size(known))
+# Mean of the first values that are not missing; null when all are.
+_MEAN_OF_FIRST_KNOWN = """
+    aggregate(slice(filter(transform(near, j -> {values}[j]), x -> x IS NOT NULL), 1, {k}),
+              named_struct('total', 0D, 'n', 0),
+              (a, x) -> named_struct('total', a.total + x, 'n', a.n + 1),
+              a -> IF(a.n > 0, a.total / a.n, NULL))"""
 
 
 def impute_wide(
-    wide: DataFrame, observations: DataFrame, stations: Sequence[Station], measures: Sequence[str] = MEASURES
+    wide: DataFrame, days: DataFrame, stations: Sequence[Station], measures: Sequence[str] = MEASURES
 ) -> DataFrame:
     """Fill each gap with the mean of the nearest three stations measuring that day, or with
     the mean over the whole period when none does.
 
-    A projection over the pivoted row: no join, no shuffle. The period means come from
-    one scalar subquery per measure.
+    A projection over the pivoted row: no join, no shuffle. Each measure's values stand in
+    one array by station, and the constant neighbour order says where to look. The period
+    means are scalar subqueries over the small table of station days.
     """
-    means = measure_means(observations, measures)
-    wide_columns = []
-    for m in sorted(measures):
-        fallback = means.select(m).scalar()
-        for s in stations:
-            own = F.col(f"`{wide_name(m, s.name)}`")
-            near = [F.col(f"`{wide_name(m, o.name)}`") for o in nearest_first(s, stations)]
-            wide_columns.append(F.coalesce(own, _mean_of_first_known(near), fallback).alias(wide_name(m, s.name)))
-    return wide.select("Date", *wide_columns)
-
-
-def daily_weather(observations: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Observations to the imputed wide table."""
-    stations = list_stations(observations)
-    return impute_wide(pivot_stations(observations, stations, measures), observations, stations, measures)
+    at = {s.name: i for i, s in enumerate(stations)}
+    order = ", ".join(
+        "array(" + ", ".join(str(at[o.name]) for o in nearest_first(s, stations)) + ")" for s in stations)
+    if len(stations) == 1:
+        order = "CAST(array() AS array<int>)"
+    means = measure_means(days, measures)
+    known = wide.select(
+        "Date",
+        *[F.array(*[F.col(f"`{wide_name(m, s.name)}`") for s in stations]).alias(f"values_{m}") for m in measures],
+        *[means.select(m).scalar().alias(f"mean_{m}") for m in measures])
+    filled = known.select("Date", *[
+        F.expr(f"""transform(array({order}), (near, i) -> coalesce(values_{m}[i],
+            {_MEAN_OF_FIRST_KNOWN.format(values=f"values_{m}", k=NEIGHBOURS_USED)}, mean_{m}))""").alias(m)
+        for m in measures])
+    return filled.select("Date", *[
+        F.col(m)[i].alias(wide_name(m, s.name)) for m in sorted(measures) for i, s in enumerate(stations)])
+
+
+def daily_weather(days: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Station days to the imputed wide table."""
+    stations = list_stations(days)
+    return impute_wide(pivot_stations(days, stations, measures), days, stations, measures)
 
 
 def unpivot(wide: DataFrame, stations: Sequence[Station], measures: Sequence[str] = MEASURES) -> DataFrame:
@@ -138,17 +155,16 @@ def unpivot(wide: DataFrame, stations: Sequence[Station], measures: Sequence[str
     return wide.select("Date", F.inline(entries))
 
 
-def impute_long(observations: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
+def impute_long(days: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
     """The same imputation without a column per station: rows ``Date, Station, measures``.
 
     Each day's stations meet in one array (never longer than the station list) and every
     station looks its three nearest up in it.
     """
-    coords = station_coordinates(observations).withColumn("s", F.struct("Station", "Lat", "Lon"))
+    coords = station_coordinates(days).withColumn("s", F.struct("Station", "Lat", "Lon"))
     everyone = coords.agg(F.collect_list("s").alias("all")).scalar()
     day = (
-        station_days(observations, measures)
-        .groupBy("Date").agg(F.map_from_entries(F.collect_list(
+        days.groupBy("Date").agg(F.map_from_entries(F.collect_list(
             F.struct(F.col("Station"), F.struct(*measures).alias("v")))).alias("seen"))
         .withColumn("all", everyone)
         .select("Date", F.transform(F.col("all"), lambda s: F.struct(
@@ -169,7 +185,7 @@ def impute_long(observations: DataFrame, measures: Sequence[str] = MEASURES) ->
         own = F.col(f"own.v.{m}")
         # sorting the day's stations is only worth it where the station itself is silent
         return F.when(own.isNotNull(), own).otherwise(
-            F.coalesce(mean, measure_means(observations, measures).select(m).scalar())).alias(m)
+            F.coalesce(mean, measure_means(days, measures).select(m).scalar())).alias(m)
 
     return rows.select("Date", F.col("own.Station").alias("Station"), *[filled(m) for m in measures])
 

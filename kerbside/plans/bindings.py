@@ -108,6 +108,13 @@ def city_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def hourly_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours with a measurement, 1995 to 2001: far from every hour has one."""
+    o = table(spark, sf, "orders")
+    return o.select((F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(
+        F.lit(0), (F.col("o_orderkey") % 24).cast("int"))).alias("Time"))
+
+
 def _micro(base: int, steps: Column) -> Column:
     return (F.lit(base).cast("bigint") + steps * 10) / F.lit(1000000.0)
 
@@ -143,9 +150,10 @@ def crawled_venues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def geocodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Located addresses: not every nation has one."""
+    """What a geocoder gave per address: for some it found no location."""
     n = table(spark, sf, "nation")
-    key = F.col("n_nationkey").cast("bigint")
-    return n.filter(F.col("n_regionkey") != 2).select(
+    key, found = F.col("n_nationkey").cast("bigint"), F.col("n_regionkey") != 2
+    return n.select(
         F.col("n_name").alias("address"),
-        _micro(40700000, key * 7919 % 3000).alias("lat"), _micro(-74000000, key * 4523 % 3000).alias("lng"))
+        F.when(found, _micro(40700000, key * 7919 % 3000)).alias("lat"),
+        F.when(found, _micro(-74000000, key * 4523 % 3000)).alias("lng"))

@@ -107,12 +107,13 @@ def zero_filled_features(spark, sf):
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    """The full feature table of the test tables, venue lists as arrays."""
-    events = b.city_events(spark, sf)
-    activity = venues.venue_hours(events, venues.venue_ids(events), b.CALENDAR)
+    """The full feature table of the test tables, venue lists as arrays.
+
+    Each raw table is scanned once, into a small table that the branches below share.
+    """
     return feature_table(
-        _facts(spark, sf), weather.daily_weather(b.observations(spark, sf)),
-        venues.venue_features(activity, b.CALENDAR), b.CALENDAR)
+        materialize(_facts(spark, sf), "facts"), weather.daily_weather(_station_days(spark, sf)),
+        venues.venue_features(_activity(spark, sf)[0], b.CALENDAR), b.CALENDAR)
 
 
 @query
@@ -128,38 +129,42 @@ QUERIES["feature_table"] = QUERIES.pop("feature_table_query")
 # ---- weather --------------------------------------------------------------------------
 
 
+def _station_days(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(weather.station_days(b.observations(spark, sf)), "station-days")
+
+
 @query
 def weather_pivot(spark, sf):
-    obs = b.observations(spark, sf)
-    return weather.pivot_stations(obs, weather.list_stations(obs))
+    days = _station_days(spark, sf)
+    return weather.pivot_stations(days, weather.list_stations(days))
 
 
 @query
 def weather_imputed(spark, sf):
-    obs = b.observations(spark, sf)
-    stations = weather.list_stations(obs)
-    wide = weather.impute_wide(weather.pivot_stations(obs, stations), obs, stations)
+    days = _station_days(spark, sf)
+    stations = weather.list_stations(days)
+    wide = weather.impute_wide(weather.pivot_stations(days, stations), days, stations)
     return rounded(weather.unpivot(wide, stations), *weather.MEASURES)
 
 
 @query
 def weather_imputed_long(spark, sf):
-    return rounded(weather.impute_long(b.observations(spark, sf)), *weather.MEASURES)
+    return rounded(weather.impute_long(_station_days(spark, sf)), *weather.MEASURES)
 
 
 @query
 def measure_means(spark, sf):
-    return rounded(weather.measure_means(b.observations(spark, sf)), *weather.MEASURES)
+    return rounded(weather.measure_means(weather.station_days(b.observations(spark, sf))), *weather.MEASURES)
 
 
 @query
 def station_coordinates(spark, sf):
-    return weather.station_coordinates(b.observations(spark, sf))
+    return weather.station_coordinates(weather.station_days(b.observations(spark, sf)))
 
 
 @query
 def station_neighbors(spark, sf):
-    return weather.station_neighbours(b.observations(spark, sf))
+    return weather.station_neighbours(weather.station_days(b.observations(spark, sf)))
 
 
 @query
@@ -190,21 +195,23 @@ def describe_measures(spark, sf):
 
 @query
 def hourly_coverage(spark, sf):
-    unplaced = b.city_events(spark, sf).filter("latitude IS NULL")
-    return rounded(weather.hourly_coverage(unplaced, b.CALENDAR.table(spark), "start_date"), "coverage")
+    calendar = tp.full_calendar(1995, 2001)
+    return rounded(weather.hourly_coverage(b.hourly_series(spark, sf), calendar.table(spark)), "coverage")
 
 
 @query
 def measurements_per_hour(spark, sf):
-    return weather.measurements_per_hour(b.trips(spark, sf), "Pickup_Time")
+    return weather.measurements_per_hour(b.hourly_series(spark, sf))
 
 
 # ---- venue activity -------------------------------------------------------------------
 
 
-def _activity(spark: SparkSession, sf: str) -> DataFrame:
-    events = b.city_events(spark, sf)
-    return venues.venue_hours(events, venues.venue_ids(events), b.CALENDAR)
+def _activity(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Events per venue and hour, and the venues."""
+    spans = materialize(venues.event_spans(b.city_events(spark, sf)), "spans")
+    ids = venues.venue_ids(spans)
+    return venues.venue_hours(spans, ids, b.CALENDAR), ids
 
 
 @query
@@ -214,24 +221,24 @@ def venue_ids(spark, sf):
 
 @query
 def event_hours(spark, sf):
-    return _activity(spark, sf)
+    return _activity(spark, sf)[0]
 
 
 @query
 def event_grid_dense(spark, sf):
-    dense = venues.dense_venue_hours(_activity(spark, sf), b.CALENDAR)
+    dense = venues.dense_venue_hours(_activity(spark, sf)[0], b.CALENDAR)
     return dense.withColumn("Venues", entries_text(F.col("Venues")))
 
 
 @query
 def event_offsets(spark, sf):
-    lists = venues.venue_features(_activity(spark, sf), b.CALENDAR)
+    lists = venues.venue_features(_activity(spark, sf)[0], b.CALENDAR)
     return lists.withColumns({c: entries_text(F.col(f"`{c}`")) for c in prep.venue_columns(lists.columns)})
 
 
 @query
 def event_offsets_long(spark, sf):
-    return venues.shifted_activity(_activity(spark, sf))
+    return venues.shifted_activity(_activity(spark, sf)[0])
 
 
 # ---- heatmaps -------------------------------------------------------------------------
@@ -633,12 +640,11 @@ def error_csv(spark, sf):
 
 def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The feature table with venue vectors, built per hour before they meet the districts."""
-    events = b.city_events(spark, sf)
-    ids = venues.venue_ids(events)
+    activity, ids = _activity(spark, sf)
     width = ids.count()  # the one number that fixes the vectors' width
-    activity = venues.venue_hours(events, ids, b.CALENDAR)
     lists = prep.venue_vectors(venues.venue_features(activity, b.CALENDAR), width)
-    table = feature_table(_facts(spark, sf), weather.daily_weather(b.observations(spark, sf)), lists, b.CALENDAR)
+    table = feature_table(
+        materialize(_facts(spark, sf), "facts"), weather.daily_weather(_station_days(spark, sf)), lists, b.CALENDAR)
     return materialize(table, "features")
 
 

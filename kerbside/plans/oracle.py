@@ -329,12 +329,13 @@ def oracle_sql() -> dict[str, str]:
             round(stddev_samp("{m}"), 6) as std, min("{m}") as min, quantile_cont("{m}", 0.25) as q25,
             quantile_cont("{m}", 0.5) as q50, quantile_cont("{m}", 0.75) as q75, max("{m}") as max from obs"""
         for m in MEASURES)
-    sql["hourly_coverage"] = f"""with {CITY_EVENTS},
-      cal as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30 23:00:00', interval 1 hour)) as t)
+    series = "series as (select o_orderdate + to_hours(cast(o_orderkey % 24 as bigint)) as t from orders)"
+    sql["hourly_coverage"] = f"""with {series},
+      cal as (select unnest(generate_series(timestamp '1995-01-01', timestamp '2001-12-31 23:00:00', interval 1 hour)) as t)
       select cast(year(cal.t) as int) as year, cast(month(cal.t) as int) as month,
              round(avg(case when x.t is null then 0.0 else 1.0 end), 6) as coverage
-      from cal left join (select distinct date_trunc('hour', s) as t from ev where la is null) x on x.t = cal.t group by 1, 2"""
-    sql["measurements_per_hour"] = f"with {TRIPS} select cast(hour(pickup_time) as int) as hour, count(*) as n from trips group by 1"
+      from cal left join (select distinct t from series) x on x.t = cal.t group by 1, 2"""
+    sql["measurements_per_hour"] = f"with {series} select cast(hour(t) as int) as hour, count(*) as n from series group by 1"
 
     sql["hourly_errors"] = f"""with {SCORED} select {KEY}, prediction, label, ae as absolute_error,
       ae * ae as squared_error, round(pe, 6) as proportional_error, round(pe * pe, 6) as squared_proportional_error from errors"""

@@ -56,17 +56,13 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with a table that outlives lost executors, for relations that
-    several jobs read (training sets, scored rows). With ``partition_by`` the rows of
-    one directory come from few tasks, so the table has no tiny-file fan-out.
+    several jobs, or several branches of one plan, read. With ``partition_by`` rows are
+    first rebalanced: a directory gets few files, and a hot one is split between tasks.
     """
     spark = df.sparkSession
     path = new_table_path(spark, label)
-    schema = df.schema
-    writer = df
     if partition_by:
-        writer = df.repartition(*partition_by)
-    w = writer.write
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -14,11 +14,11 @@ PAIR_SEPARATOR = ", "
 def write_by_month(df: DataFrame, path: str, time: str = "Time") -> None:
     """Parquet with one directory per month, so that time ranges prune directories.
 
-    Rows are not gathered by month (a month may be a third of them): each task writes the
-    months it has.
+    Rows are rebalanced by month: few files each, and a month that holds a third of the
+    rows is split between tasks.
     """
     parts = {"year": F.year(time), "month": F.month(time)}
-    df.withColumns(parts).write.partitionBy(*parts).parquet(path)
+    df.withColumns(parts).hint("rebalance", *parts).write.partitionBy(*parts).parquet(path)
 
 
 def read_by_month(spark: SparkSession, path: str) -> DataFrame:
@@ -46,6 +46,7 @@ def write_predictions(scored: DataFrame, path: str) -> None:
     (
         scored.withColumns(cells)
         .select(F.date_format("Time", "yyyy-MM-dd HH:mm:ss").alias("time"), "prediction", "label", *cells)
+        .hint("rebalance", *cells)
         .write.partitionBy(*cells).option("header", True).option("sep", PAIR_SEPARATOR).csv(path)
     )
 
