@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from kerbside.operators import (
     weather,
 )
 from kerbside.plans import bindings as b
-from kerbside.plans.feature_table import district_features, feature_table
+from kerbside.plans.feature_table import feature_table
 from kerbside.session import materialize, new_table_path
 from kerbside.sources import events as event_files
 from kerbside.sources import tables
@@ -546,7 +547,7 @@ def trip_csv_scan(spark, sf):
     lon = F.when(F.col("event_id") % 23 == 0, "x").otherwise(F.col("Start_Lon").cast("string"))
     picked = [*when, F.col("Passenger_Count"), F.col("Trip_Distance"), lon, F.col("Start_Lat"),
               F.lit("a"), F.lit("b"), F.col("End_Lon"), F.col("End_Lat")]
-    families = {}
+    paths = []
     for width, names, rows in (
         (11, "vendor p d n dist x y r s ex ey", trips.filter("event_id % 2 = 0")),
         (13, "id start end count miles lon lat code flag lon2 lat2 fare tip", trips.filter("event_id % 2 = 1")),
@@ -554,8 +555,8 @@ def trip_csv_scan(spark, sf):
         extra = [F.lit("1")] * (width - 11)
         path = new_table_path(spark, "trips")
         rows.select(F.lit("v"), *picked, *extra).toDF(*names.split()).write.option("header", True).csv(path)
-        families[width] = [path]
-    return trip_files.read_trips(spark, families, trip_files.SAMPLE_POSITIONS)
+        paths.append(path)
+    return trip_files.read_trips(spark, paths, trip_files.SAMPLE_POSITIONS)
 
 
 @query
@@ -648,22 +649,29 @@ def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(table, "features")
 
 
-def _vector_text(c: str) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return F.concat_ws(",", F.transform(vector_to_array(c), lambda v: F.round(v, 6).cast("string")))
+def _profile(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Per vector entry that is ever set: its name, on how many rows it is, and its sum."""
+    entry = F.posexplode(vector_to_array("features")).alias("position", "value")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1)
+    return (
+        rows.select(entry).filter("value <> 0").groupBy("position")
+        .agg(F.count("*").alias("rows"), F.round(F.sum("value"), 3).alias("total"))
+        .select(name.alias("feature"), "rows", "total")
+    )
 
 
 @query
 def onehot_features(spark, sf):
+    """Vectors of the training rows, categories one column each."""
     prepared = prep.prepare(_model_rows(spark, sf), scale=False, one_hot=True, split=b.SPLIT)
-    return prepared.train.withColumn("features", _vector_text("features"))
+    return _profile(prepared.train, prepared.feature_names())
 
 
 @query
 def scaled_features(spark, sf):
+    """Vectors of the held-out rows, scaled by the training rows' deviation."""
     prepared = prep.prepare(_model_rows(spark, sf), scale=True, one_hot=False, split=b.SPLIT)
-    return prepared.test.withColumn("features", _vector_text("features"))
+    return _profile(prepared.test, prepared.feature_names())
 
 
 def _districts(rows: DataFrame) -> list[tuple[float, float]]:
@@ -684,10 +692,11 @@ def train_linear(spark, sf):
 
 @query
 def predict_linear(spark, sf):
-    """Fit on all count and calendar features before the split, predict what follows."""
-    rows = tp.with_calendar(district_features(_facts(spark, sf)))
-    columns = [c for c in trailing.trailing_columns() if "_Nyc_" not in c] + ["Hour", "Day_Of_Week"]
-    before, after = facts.split_by_time(rows, b.SPLIT)
+    """Fit before the split, predict what follows, compare with what happened."""
+    rows = trailing.with_trailing_counts(_facts(spark, sf), hours=(1,), neighbours=False)
+    rows = tp.with_calendar(rows.filter("Pickup_Count_Dis_1h IS NOT NULL"))
+    columns = ["Pickup_Count_Dis_1h", "Hour"]
+    before, after = facts.split_by_time(materialize(rows, "linear-rows"), b.SPLIT)
     scored = train.predict_linear_all(after, train.fit_linear_all(before, columns), columns)
     return rounded(errors.district_errors(scored), *STATS)
 

@@ -182,7 +182,30 @@ def _event_heat(frame: str) -> str:
     return _heat(CITY_EVENTS, frame, "ev where la is not null", "sum(score)", "score", "la", "lo", "1")
 
 
-DEGREE = 0.017453292519943295
+WEATHER = [f"{m}_{s}" for m in MEASURES for s in STATION_NAMES]
+TRAILING_COLUMNS = [f"{c}_{g}_{h}h" for g in ("Dis", "Nb", "Nyc") for h in (1, 4) for c in COUNTS]
+FEATURES = f"{TRAILING}{CITY}, {_imputed()}, wide as ({_wide('imputed')}), {VENUES}{_offset_lists()}"
+
+
+def _profile(base: str, rows: str, scaled: bool) -> str:
+    """Rows and sum of every vector entry that is not 0, over the rows of one side of the split."""
+    numbers = TRAILING_COLUMNS + WEATHER
+    if scaled:
+        parts = [f"""select 'scaled_{i}' as feature, "{c}" / nullif((select stddev_samp("{c}") from base
+                     where t < timestamp '2024-01-24'), 0) as value from part""" for i, c in enumerate(numbers)]
+        parts += [f"""select '{c}', cast("{c}" as double) - {off} from part"""
+                  for c, off in (("Hour", 0), ("Day_Of_Week", 0), ("Day_Of_Year", 1))]
+    else:
+        parts = [f"""select '{c}' as feature, cast("{c}" as double) as value from part""" for c in numbers]
+        parts += [f"""select '{c}_vector_' || ("{c}" - {off}), 1 from part"""
+                  for c, off in (("Hour", 0), ("Day_Of_Week", 0), ("Day_Of_Year", 1))]
+    parts.append("""select 'Is_Holiday', cast("Is_Holiday" as double) from part""")
+    parts += [f"""select 'Venues_{i}h_' || venue_id, cast(n as double) from part join vh on vh.t = part.t - to_hours({i})"""
+              for i in OFFSETS]
+    return (f"with {base}, part as (select * from base where {rows}) select feature, count(*) as rows, "
+            f"round(sum(value), 3) as total from ({' union all '.join(parts)}) where value <> 0 group by 1")
+
+
 ENRICH = """crawl as (
   select c_custkey as k, n_name as address,
          case when c_custkey % 5 = 0 or c_custkey % 7 = 0 then null else 40700000 + (c_custkey // 2) * 6151 % 3000 * 10 end as la0,
@@ -240,15 +263,19 @@ def oracle_sql() -> dict[str, str]:
           "left join nb_1 using (t, la, lo) left join nb_4 using (t, la, lo) left join city_trailing using (t) "
           "where t between timestamp '2024-01-01' and timestamp '2024-01-30 23:00:00'")
 
-    weather_cols = ", ".join(f'round("{m}_{s}", 6) as "{m}_{s}"' for m in MEASURES for s in STATION_NAMES)
+    weather_cols = ", ".join(f'round("{c}", 6) as "{c}"' for c in WEATHER)
     venue_cols = ", ".join(f'"Venues_{i}h"' for i in OFFSETS)
-    all_counts = ", ".join(f'"{c}_{g}_{h}h"' for g in ("Dis", "Nb", "Nyc") for h in (1, 4) for c in COUNTS)
+    counts = ", ".join(f'"{c}"' for c in TRAILING_COLUMNS)
+    base = FEATURES + f""", base as (
+      select t, la, lo, p, {counts}, {PARTS}, wide.*, {venue_cols}
+      from facts join dis_1 using (t, la, lo) join dis_4 using (t, la, lo) join nb_1 using (t, la, lo)
+      join nb_4 using (t, la, lo) join city_trailing using (t)
+      join wide on wide."Date" = cast(t as date) join venue_lists using (t))"""
     sql["feature_table"] = (
-        f"with {TRAILING}{CITY}, {_imputed()}, wide as ({_wide('imputed')}), {VENUES}{_offset_lists()} "
-        f'select {KEY}, p as "Pickup_Count", {all_counts}, {PARTS}, {weather_cols}, {venue_cols} '
-        "from facts join dis_1 using (t, la, lo) join dis_4 using (t, la, lo) join nb_1 using (t, la, lo) "
-        "join nb_4 using (t, la, lo) join city_trailing using (t) "
-        'join wide on wide."Date" = cast(t as date) join venue_lists using (t)')
+        f'with {base} select {KEY}, p as "Pickup_Count", {counts}, '
+        f'"Hour", "Day_Of_Week", "Day_Of_Year", "Is_Holiday", {weather_cols}, {venue_cols} from base')
+    sql["onehot_features"] = _profile(base, "t < timestamp '2024-01-24'", scaled=False)
+    sql["scaled_features"] = _profile(base, "t >= timestamp '2024-01-24'", scaled=True)
 
     sql["weather_pivot"] = f"with {observations(True)} {_wide('obs')}"
     sql["weather_imputed"] = f"""with {_imputed()} select d as "Date", station as "Station",
@@ -413,6 +440,9 @@ def oracle_sql() -> dict[str, str]:
       dayname(ts) as weekday_name, round(value, 2) as value_2, round(sqrt(abs(value)), 6) as root,
       round(pow(2.0, -(user_id % 5)), 6) as node_value, greatest(user_id, 1) as at_least_one,
       case when event_id % 4 <> 0 then value end as number from events"""
+    sql["sample_districts"] = (
+        f"with {FACTS}, top as (select la, lo from facts group by 1, 2 order by sum(p) desc, la, lo limit 8) "
+        f"select {LATLON} from top order by md5(la || '|' || lo || '|1234') limit 4")
     sql["sample_by_key"] = _sample("0.1", "events")
     sql["sample_by_year"] = (
         "select o_orderkey, o_orderdate from orders where cast(('0x' || substr(md5(o_orderkey || '|7'), 1, 8)) as bigint) "
@@ -428,13 +458,25 @@ def _sample(fraction: str, table: str) -> str:
             f"/ 4294967296.0 < {fraction}")
 
 
-#: Least squares through the origin on one and on two columns has a closed form.
+#: Least squares through the origin on two columns, in closed form.
 _NORMAL = SCORED.replace("cast(f.p as double) as label", "cast(f.p as double) as label, cast(hour(f.t) as double) as h")
-LINEAR_CHECK = {
-    "train_linear": f"""with {_NORMAL}, s as (
+
+
+def _linear(rows: str) -> str:
+    return f"""with {_NORMAL}, s as (
       select la, lo, count(*) as n, sum(prediction * prediction) as aa, sum(prediction * h) as ab, sum(h * h) as bb,
-             sum(prediction * label) as ay, sum(h * label) as bl from scored group by 1, 2)
-      select {LATLON}, n as rows, round((ay * bb - bl * ab) / (aa * bb - ab * ab), 6) as w_trailing,
-             round((bl * aa - ay * ab) / (aa * bb - ab * ab), 6) as w_hour from s""",
-}
+             sum(prediction * label) as ay, sum(h * label) as bl from scored where {rows} group by 1, 2),
+    fitted as (select la, lo, n, (ay * bb - bl * ab) / (aa * bb - ab * ab) as w_trailing,
+             (bl * aa - ay * ab) / (aa * bb - ab * ab) as w_hour from s)"""
+
 
+LINEAR_CHECK = {
+    "train_linear": f"""{_linear("true")} select {LATLON}, n as rows, round(w_trailing, 6) as w_trailing,
+      round(w_hour, 6) as w_hour from fitted""",
+    "predict_linear": f"""{_linear("t < timestamp '2024-01-24'")}, e as (
+      select la, lo, abs(w_trailing * prediction + w_hour * h - label) as ae, greatest(label, 1) as g
+      from scored join fitted using (la, lo) where t >= timestamp '2024-01-24'),
+    m as (select la, lo, avg(ae * ae) as mse, sqrt(avg(ae * ae)) as rmse, avg(ae / g * (ae / g)) as mspe,
+                 sqrt(avg(ae / g * (ae / g))) as rmspe, avg(ae / g) as mpe from e group by 1, 2)
+    select {LATLON}, {STATS} from m""",
+}

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.functions.values import number_or_null
@@ -37,22 +36,22 @@ def listed_paths(spark: SparkSession, base: str, list_path: str) -> list[str]:
     return [f"{base.rstrip('/')}/{r.name}" for r in rows]
 
 
-def read_positions(spark: SparkSession, paths: str | Sequence[str], positions: Mapping[int, str],
-                   width: int) -> DataFrame:
-    """Columns of CSV files picked by position, whatever their header says.
+def read_trips(spark: SparkSession, paths: str | Sequence[str],
+               positions: Mapping[int, str] = TRIP_POSITIONS) -> DataFrame:
+    """Trips of all files, columns picked by position whatever their header says.
 
-    All columns are declared as text, so nothing is inferred and one scan covers all files
-    of that width; the scan parses only the picked ones. Text that is no number, or no
-    time, becomes null.
+    The leading columns are declared as text and the header is skipped: nothing is
+    inferred, files of any width share one scan, and only the picked columns are parsed.
+    Text that is no number, or no time, becomes null.
     """
-    fields = ", ".join(f"c{i} string" for i in range(width))
+    fields = ", ".join(f"c{i} string" for i in range(max(positions) + 1))
     raw = (
         spark.read.schema(fields)
         .option("header", True).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True)
         .csv(paths if isinstance(paths, str) else list(paths))
     )
 
-    def typed(i: int, name: str):
+    def typed(i: int, name: str) -> Column:
         c = F.col(f"c{i}")
         if name in _TIMES:
             return F.try_to_timestamp(c).alias(name)
@@ -60,13 +59,3 @@ def read_positions(spark: SparkSession, paths: str | Sequence[str], positions: M
         return (value.cast("int") if name in _WHOLE else value).alias(name)
 
     return raw.select(*[typed(i, n) for i, n in positions.items()])
-
-
-def read_trips(spark: SparkSession, families: Mapping[int, Sequence[str]] | Sequence[str],
-               positions: Mapping[int, str] = TRIP_POSITIONS) -> DataFrame:
-    """Trips of all files. ``families`` maps a number of columns to the files that have it;
-    a plain list is one family of 18 columns. One scan per family, not per file."""
-    if not isinstance(families, Mapping):
-        families = {18: families}
-    parts = [read_positions(spark, paths, positions, width) for width, paths in families.items()]
-    return reduce(DataFrame.unionByName, parts)
