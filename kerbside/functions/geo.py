@@ -25,8 +25,16 @@ def in_bounds(lat: Column, lon: Column) -> Column:
 
 
 def cell_of(degrees: Column, decimals: int = DISTRICT_DECIMALS) -> Column:
-    """Integer grid key of a coordinate rounded to ``decimals`` (halves away from zero)."""
-    return F.round(F.round(degrees, decimals) * 10 ** decimals).cast("int")
+    """Integer grid key of a coordinate rounded to ``decimals`` (halves away from zero).
+
+    Spark rounds doubles through decimal text, which is exact for inputs like -73.985 but
+    slow. Only coordinates that close to a half take that path; all others get the same
+    cell from plain arithmetic.
+    """
+    scaled = degrees * float(10 ** decimals)
+    near_half = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-6
+    exact = F.round(F.round(degrees, decimals) * 10 ** decimals)
+    return F.when(near_half, exact).otherwise(F.floor(scaled + 0.5)).cast("int")
 
 
 def degrees_of(cell: Column, decimals: int = DISTRICT_DECIMALS) -> Column:

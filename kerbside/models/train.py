@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geo
 from kerbside.models.prepare import ARITY
-from kerbside.session import materialize
+from kerbside.session import materialize_all
 
 #: Fits that overlap on the driver. Each is a distributed job; the pool only keeps the
 #: cluster busy between their stages.
@@ -37,12 +37,12 @@ def model_path(folder: str, lat: float, lon: float) -> str:
     return f"{folder.rstrip('/')}/model_{lat}_{lon}"
 
 
-def by_cell(prepared: DataFrame, label: str = "prepared") -> DataFrame:
-    """Prepared rows as a table with one directory per district, so that a fit reads only
+def by_cell(*prepared: DataFrame) -> list[DataFrame]:
+    """Prepared rows as tables with one directory per district, so that a fit reads only
     its own rows however many districts there are."""
-    cells = prepared.withColumns({
-        "lat_cell": geo.cell_of(F.col("Lat")), "lon_cell": geo.cell_of(F.col("Lon"))})
-    return materialize(cells, label, partition_by=("lat_cell", "lon_cell"))
+    cells = {"lat_cell": geo.cell_of(F.col("Lat")), "lon_cell": geo.cell_of(F.col("Lon"))}
+    tables = {f"prepared-{i}": df.withColumns(cells) for i, df in enumerate(prepared)}
+    return list(materialize_all(tables, partition_by=tuple(cells)).values())
 
 
 def rows_of(table: DataFrame, lat: float, lon: float) -> DataFrame:

@@ -56,7 +56,7 @@ def trips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weather_raw(spark: SparkSession, sf: str, folded: bool = True) -> DataFrame:
-    """Observations as a station file has them: -9999 marks a missing value.
+    """Observations as a station file has them, but for the date: -9999 marks a missing value.
 
     ``folded`` lays the ship dates over the 30 days that the trips cover.
     """
@@ -72,9 +72,9 @@ def weather_raw(spark: SparkSession, sf: str, folded: bool = True) -> DataFrame:
         return F.when(cond, missing).otherwise(value.cast("double"))
 
     return rows.select(
-        F.date_format("d", "yyyyMMdd").alias("DATE"),
+        F.col("d").alias("DATE"),
         (st * 7 % STATIONS).cast("double").alias("LATITUDE"), (st * 3 % STATIONS).cast("double").alias("LONGITUDE"),
-        F.format_string("S%02d", st).alias("STATION"),
+        F.concat(F.lit("S"), F.lpad(st.cast("string"), 2, "0")).alias("STATION"),
         unless(dom == 7, F.col("l_partkey") % 40 - F.col("l_orderkey") % 10).alias("TMIN"),
         unless((dom * 3 + st) % 4 == 0, F.col("l_partkey") % 40).alias("TMAX"),
         unless((dom * 7 + st) % 5 == 0, F.col("l_quantity")).alias("PRCP"),
@@ -85,7 +85,7 @@ def weather_raw(spark: SparkSession, sf: str, folded: bool = True) -> DataFrame:
 def observations(spark: SparkSession, sf: str, folded: bool = True) -> DataFrame:
     """``Date, Lat, Lon, Station`` and the four measures, missing values as null."""
     return weather_raw(spark, sf, folded).select(
-        F.to_date("DATE", "yyyyMMdd").alias("Date"), F.col("LATITUDE").alias("Lat"),
+        F.col("DATE").alias("Date"), F.col("LATITUDE").alias("Lat"),
         F.col("LONGITUDE").alias("Lon"), F.col("STATION").alias("Station"),
         *[sentinel_to_null(F.col(m)).alias(m) for m in MEASURES])
 

@@ -32,7 +32,7 @@ from kerbside.operators import (
 )
 from kerbside.plans import bindings as b
 from kerbside.plans.feature_table import feature_table
-from kerbside.session import materialize, new_table_path
+from kerbside.session import materialize, materialize_all, new_table_path
 from kerbside.sources import events as event_files
 from kerbside.sources import tables
 from kerbside.sources import trips as trip_files
@@ -107,14 +107,27 @@ def zero_filled_features(spark, sf):
     return feature_table(_facts(spark, sf), calendar=b.CALENDAR, gaps="zero")
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    """The full feature table of the test tables, venue lists as arrays.
+def _inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """What the feature table is built from: each raw table scanned once, side by side,
+    into the small table that all branches below share."""
+    return materialize_all({
+        "facts": _facts(spark, sf),
+        "days": weather.station_days(b.observations(spark, sf)),
+        "spans": venues.event_spans(b.city_events(spark, sf)),
+    })
 
-    Each raw table is scanned once, into a small table that the branches below share.
+
+def _features(spark: SparkSession, sf: str, vectors: bool = False) -> DataFrame:
+    """The full feature table of the test tables, venue lists as arrays or as vectors.
+
+    Vectors are built per hour, before the lists meet the districts.
     """
-    return feature_table(
-        materialize(_facts(spark, sf), "facts"), weather.daily_weather(_station_days(spark, sf)),
-        venues.venue_features(_activity(spark, sf)[0], b.CALENDAR), b.CALENDAR)
+    inputs = _inputs(spark, sf)
+    ids = venues.venue_ids(inputs["spans"])
+    lists = venues.venue_features(venues.venue_hours(inputs["spans"], ids, b.CALENDAR), b.CALENDAR)
+    if vectors:
+        lists = prep.venue_vectors(lists, width=ids.count())  # the one number that fixes the vectors
+    return feature_table(inputs["facts"], weather.daily_weather(inputs["days"]), lists, b.CALENDAR)
 
 
 @query
@@ -573,6 +586,7 @@ def file_list_scan(spark, sf):
 def weather_csv_scan(spark, sf):
     path = new_table_path(spark, "weather")
     raw = b.weather_raw(spark, sf)
+    raw = raw.withColumn("DATE", F.date_format("DATE", "yyyyMMdd"))
     raw.write.option("header", True).csv(path)
     return weather_files.read_daily(spark, path, raw.columns)
 
@@ -640,13 +654,7 @@ def error_csv(spark, sf):
 
 
 def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature table with venue vectors, built per hour before they meet the districts."""
-    activity, ids = _activity(spark, sf)
-    width = ids.count()  # the one number that fixes the vectors' width
-    lists = prep.venue_vectors(venues.venue_features(activity, b.CALENDAR), width)
-    table = feature_table(
-        materialize(_facts(spark, sf), "facts"), weather.daily_weather(_station_days(spark, sf)), lists, b.CALENDAR)
-    return materialize(table, "features")
+    return materialize(_features(spark, sf, vectors=True), "features")
 
 
 def _profile(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -705,7 +713,7 @@ def predict_linear(spark, sf):
 def train_linear_vectors(spark, sf):
     """The linear model on the whole prepared vector, saved, loaded and evaluated."""
     prepared = prep.prepare(_model_rows(spark, sf), split=b.SPLIT)
-    rows, held_out = train.by_cell(prepared.train), train.by_cell(prepared.test)
+    rows, held_out = train.by_cell(prepared.train, prepared.test)
     listed = _districts(rows)
     folder = new_table_path(spark, "linear")
     train.train_districts(rows, listed, train.linear, folder)
@@ -720,7 +728,7 @@ def _forest_rows(spark: SparkSession, sf: str) -> prep.Prepared:
 def train_forest(spark, sf):
     """A forest per district: trained before the split, saved, loaded, evaluated after it."""
     prepared = _forest_rows(spark, sf)
-    rows, held_out = train.by_cell(prepared.train), train.by_cell(prepared.test)
+    rows, held_out = train.by_cell(prepared.train, prepared.test)
     listed = _districts(rows)
     folder = new_table_path(spark, "forests")
     train.train_districts(rows, listed, lambda: train.forest(trees=5, depth=5), folder)
@@ -730,7 +738,7 @@ def train_forest(spark, sf):
 def _splits(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """Split nodes of the busiest district's forest, and the names of its features."""
     prepared = _forest_rows(spark, sf)
-    rows = train.by_cell(prepared.train)
+    rows, = train.by_cell(prepared.train)
     busiest = _districts(rows)[0]
     folder = new_table_path(spark, "forest")
     train.train_districts(rows, [busiest], lambda: train.forest(trees=5, depth=5), folder)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,10 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     else:
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(tables: Mapping[str, DataFrame], partition_by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Materialize independent relations as jobs that share the cluster."""
+    with ThreadPoolExecutor(max(1, len(tables))) as pool:
+        done = pool.map(lambda item: (item[0], materialize(item[1], item[0], partition_by)), tables.items())
+        return dict(done)
