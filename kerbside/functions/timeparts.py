@@ -130,7 +130,7 @@ class HourRange:
         return (self.last.date() - self.first.date()).days + 1
 
     def _literal(self, t: datetime) -> Column:
-        return F.to_timestamp(F.lit(t.strftime("%Y-%m-%d %H:%M:%S")))
+        return F.to_timestamp(F.lit(t.isoformat(" ")))
 
     @property
     def start(self) -> Column:

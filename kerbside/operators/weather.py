@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MEASURES = ["TMIN", "TMAX", "PRCP", "AWND"]
@@ -62,23 +63,14 @@ def nearest_first(station: Station, stations: Sequence[Station]) -> list[Station
     return sorted(others, key=lambda s: ((s.lat - station.lat) ** 2 + (s.lon - station.lon) ** 2, s.name))
 
 
-def station_neighbours(days: DataFrame) -> DataFrame:
+def station_neighbours(days: DataFrame, limit: int = MAX_WIDE_STATIONS) -> DataFrame:
     """Every other station with its rank by distance, as rows ``Station, Neighbour, Rank``.
 
-    The stations travel as one array beside each station: the result has all ordered
-    pairs by definition, and no join is needed to get them.
+    All ordered pairs by definition, hence for the station list of a wide table only.
     """
-    coords = station_coordinates(days).withColumn("s", F.struct("Station", "Lat", "Lon"))
-    everyone = coords.agg(F.collect_list("s").alias("all")).scalar()
-    distance = lambda o: F.pow(o["Lat"] - F.col("Lat"), 2) + F.pow(o["Lon"] - F.col("Lon"), 2)
-    others = F.filter(F.col("all"), lambda o: o["Station"] != F.col("Station"))
-    ordered = F.array_sort(F.transform(
-        others, lambda o: F.struct(distance(o).alias("distance"), o["Station"].alias("Neighbour"))))
-    return (
-        coords.withColumn("all", everyone)
-        .select("Station", F.posexplode(ordered).alias("pos", "o"))
-        .select("Station", F.col("o.Neighbour").alias("Neighbour"), (F.col("pos") + 1).alias("Rank"))
-    )
+    stations = list_stations(days, limit)
+    pairs = [(s.name, o.name, rank) for s in stations for rank, o in enumerate(nearest_first(s, stations), 1)]
+    return days.sparkSession.createDataFrame(pairs, "Station string, Neighbour string, Rank int")
 
 
 def wide_name(measure: str, station: str) -> str:
@@ -155,39 +147,79 @@ def unpivot(wide: DataFrame, stations: Sequence[Station], measures: Sequence[str
     return wide.select("Date", F.inline(entries))
 
 
+#: Grid cells, in degrees, in which the long form looks for neighbours. The last one is
+#: wider than the globe, so whatever is still open there sees every station.
+SEARCH_CELLS = (0.5, 4.0, 32.0, 512.0)
+
+
+def _nearest_known(gaps: DataFrame, known: DataFrame, sizes: Sequence[float] = SEARCH_CELLS) -> DataFrame:
+    """``Date, Station, measure, mean``: for each gap the mean of the nearest three values.
+
+    Equi-joins on day, measure and grid cell. A gap looks into 3 x 3 cells; once it has
+    found three values no farther than one cell, none outside can be nearer and it is
+    settled. The others go on to wider cells. Only three candidates per gap are kept, on
+    the map side already, so a crowded cell is never collected.
+    """
+    key = ["Date", "Station", "measure"]
+    near_type = "array<struct<d2:double,other:string,x:double>>"
+    state = gaps.select(*key, "Lat", "Lon", F.lit(False).alias("settled"), F.array().cast(near_type).alias("near"))
+    steps = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+    block = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in steps])
+    stay = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx")))
+    for size in sizes:
+        def cell(degrees: Column, size: float = size) -> Column:
+            return F.floor(degrees / size).cast("int")
+
+        others = known.select(
+            F.col("Date").alias("o_date"), F.col("measure").alias("o_measure"), F.col("Station").alias("other"),
+            F.col("value").alias("x"), F.col("Lat").alias("o_lat"), F.col("Lon").alias("o_lon"),
+            cell(F.col("Lat")).alias("o_gy"), cell(F.col("Lon")).alias("o_gx"))
+        probes = state.select("*", F.inline(F.when(F.col("settled"), stay).otherwise(block)))
+        same_cell = (
+            (F.col("Date") == F.col("o_date")) & (F.col("measure") == F.col("o_measure"))
+            & (cell(F.col("Lat")) + F.col("dy") == F.col("o_gy")) & (cell(F.col("Lon")) + F.col("dx") == F.col("o_gx"))
+        )
+        d2 = F.pow(F.col("o_lat") - F.col("Lat"), 2) + F.pow(F.col("o_lon") - F.col("Lon"), 2)
+        candidate = F.when(F.col("other").isNotNull(), F.struct(d2.alias("d2"), F.col("other"), F.col("x")))
+        first = W.partitionBy(*key).orderBy(F.col("candidate").asc_nulls_last())
+        state = (
+            probes.join(others, same_cell & ~F.col("settled"), "left")
+            .select(*key, "Lat", "Lon", "settled", "near", candidate.alias("candidate"))
+            .withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= NEIGHBOURS_USED)
+            .groupBy(*key).agg(
+                F.first("Lat").alias("Lat"), F.first("Lon").alias("Lon"), F.bool_or("settled").alias("was"),
+                F.first("near").alias("near"), F.array_sort(F.collect_list("candidate")).alias("found"))
+            .select(
+                *key, "Lat", "Lon",
+                (F.col("was") | F.coalesce(
+                    F.get("found", F.lit(NEIGHBOURS_USED - 1))["d2"] <= size ** 2, F.lit(False))).alias("settled"),
+                F.when(F.col("was"), F.col("near")).otherwise(F.col("found")).alias("near"))
+        )
+    total = F.aggregate("near", F.lit(0.0), lambda acc, o: acc + o["x"])
+    return state.select(*key, (total / F.nullif(F.size("near"), F.lit(0))).alias("mean"))
+
+
 def impute_long(days: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """The same imputation without a column per station: rows ``Date, Station, measures``.
+    """The same imputation for any number of stations: rows ``Date, Station, measures``.
 
-    Each day's stations meet in one array (never longer than the station list) and every
-    station looks its three nearest up in it.
+    Each station gets a row on every observed day. The list of days, which the calendar
+    bounds, is the only thing that travels as a whole.
     """
-    coords = station_coordinates(days).withColumn("s", F.struct("Station", "Lat", "Lon"))
-    everyone = coords.agg(F.collect_list("s").alias("all")).scalar()
-    day = (
-        days.groupBy("Date").agg(F.map_from_entries(F.collect_list(
-            F.struct(F.col("Station"), F.struct(*measures).alias("v")))).alias("seen"))
-        .withColumn("all", everyone)
-        .select("Date", F.transform(F.col("all"), lambda s: F.struct(
-            s["Station"].alias("Station"), s["Lat"].alias("Lat"), s["Lon"].alias("Lon"),
-            F.try_element_at(F.col("seen"), s["Station"]).alias("v"))).alias("day"))
+    observed = days.agg(F.collect_set("Date")).scalar()
+    everywhere = station_coordinates(days).withColumn("days", observed)
+    entries = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures])
+    cells = (
+        everywhere.select("Station", "Lat", "Lon", F.explode("days").alias("Date"))
+        .join(days.select("Date", "Station", *measures), ["Date", "Station"], "left")
+        .select("Date", "Station", "Lat", "Lon", F.inline(entries))
     )
-    rows = day.select("Date", "day", F.explode("day").alias("own"))
-
-    def filled(m: str) -> Column:
-        def apart(o: Column) -> Column:
-            return F.pow(o["Lat"] - F.col("own.Lat"), 2) + F.pow(o["Lon"] - F.col("own.Lon"), 2)
-
-        known = F.filter(F.col("day"), lambda o: o["v"][m].isNotNull() & (o["Station"] != F.col("own.Station")))
-        near = F.slice(F.array_sort(F.transform(known, lambda o: F.struct(
-            apart(o).alias("d"), o["Station"].alias("n"), o["v"][m].alias("x")))), 1, NEIGHBOURS_USED)
-        total = F.aggregate(near, F.lit(0.0), lambda acc, o: acc + o["x"])
-        mean = F.when(F.size(near) > 0, total / F.size(near))
-        own = F.col(f"own.v.{m}")
-        # sorting the day's stations is only worth it where the station itself is silent
-        return F.when(own.isNotNull(), own).otherwise(
-            F.coalesce(mean, measure_means(days, measures).select(m).scalar())).alias(m)
-
-    return rows.select("Date", F.col("own.Station").alias("Station"), *[filled(m) for m in measures])
+    filled = _nearest_known(cells.filter("value IS NULL"), cells.filter("value IS NOT NULL"))
+    both = cells.join(filled, ["Date", "Station", "measure"], "left")
+    value = F.coalesce("value", "mean")
+    means = measure_means(days, measures)
+    return both.groupBy("Date", "Station").agg(*[
+        F.max(F.when(F.col("measure") == m, value)).alias(m) for m in measures
+    ]).select("Date", "Station", *[F.coalesce(F.col(m), means.select(m).scalar()).alias(m) for m in measures])
 
 
 # ---- coverage statistics -------------------------------------------------------------

@@ -65,6 +65,26 @@ def test_random_long_equals_wide(spark):
     imputed(spark, *[(r.randrange(1, 20), r.choice("ABCDE"), r.choice([None, 1.0, 2.0, 5.0])) for _ in range(60)])
 
 
+def test_long_form_with_scattered_stations(spark):
+    """Far more stations than a wide table takes, against brute force."""
+    r = random.Random(5)
+    at_place = {f"T{i:03d}": (r.gauss(0, 1) * 10 ** r.randrange(-1, 2), r.gauss(0, 1) * 10 ** r.randrange(-1, 2)) for i in range(150)}
+    rows = [(day(d), *at_place[s], s, *([r.choice([None, float(r.randrange(50))])] * 4)) for d in (1, 2) for s in at_place]
+    rows += [(day(3), *at_place[s], s, *([v] * 4)) for s, v in (("T000", 1.0), ("T001", 5.0), ("T002", None))]
+    known = {(x[0].day, x[3]): x[4] for x in rows if x[4] is not None}
+    mean = sum(known.values()) / len(known)
+    got = weather.impute_long(weather.station_days(spark.createDataFrame(rows, OBS))).collect()
+    assert len(got) == 3 * 150
+    for g in got:
+        k = (g.Date.day, g.Station)
+        if k in known:
+            assert g.TMIN == known[k]
+            continue
+        la, lo = at_place[g.Station]
+        near = sorted(((at_place[s][0] - la) ** 2 + (at_place[s][1] - lo) ** 2, s, v) for (d, s), v in known.items() if d == k[0])[:3]
+        assert g.TMIN == pytest.approx(sum(x[2] for x in near) / len(near) if near else mean)
+
+
 def test_period_mean_is_over_observations_not_days(spark):
     days = weather.station_days(obs(spark, (1, "A", 1.0), (1, "A", 2.0), (2, "A", 6.0), (3, "A", None)))
     assert weather.measure_means(days).first().PRCP == 3.0
