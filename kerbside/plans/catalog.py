@@ -207,6 +207,19 @@ def describe_measures(spark, sf):
     return rounded(stats.describe(b.observations(spark, sf, folded=False), weather.MEASURES), "mean", "std")
 
 
+@query
+def describe_station_counts(spark, sf):
+    per_day = weather.stations_per_day(b.observations(spark, sf, folded=False))
+    return rounded(stats.describe(per_day, ["station_count"]), "mean", "std")
+
+
+@query
+def describe_daily_std(spark, sf):
+    spread = weather.daily_spread(b.observations(spark, sf, folded=False))
+    described = stats.describe(rounded(spread, *weather.MEASURES), weather.MEASURES)
+    return rounded(described, "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
 @query
 def hourly_coverage(spark, sf):
     calendar = tp.full_calendar(1995, 2001)

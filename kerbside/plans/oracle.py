@@ -351,11 +351,11 @@ def oracle_sql() -> dict[str, str]:
       from days join st on true left join sd on sd.d = days.d and sd.station = st.station group by 1, 2, 3"""
     sql["daily_std"] = f'with {past} select d as "Date", ' + ", ".join(
         f'round(stddev_pop("{m}"), 6) as "{m}"' for m in MEASURES) + " from obs group by 1"
-    sql["describe_measures"] = f"with {past} " + " union all ".join(
-        f"""select '{m}' as measure, count("{m}") as "count", round(avg("{m}"), 6) as mean,
-            round(stddev_samp("{m}"), 6) as std, min("{m}") as min, quantile_cont("{m}", 0.25) as q25,
-            quantile_cont("{m}", 0.5) as q50, quantile_cont("{m}", 0.75) as q75, max("{m}") as max from obs"""
-        for m in MEASURES)
+    sql["describe_measures"] = _describe(past, "obs", MEASURES)
+    sql["describe_station_counts"] = _describe(
+        f"{past}, per_day as (select d, count(station) as station_count from obs group by 1)", "per_day", ["station_count"])
+    spread = ", ".join(f'round(stddev_pop("{m}"), 6) as "{m}"' for m in MEASURES)
+    sql["describe_daily_std"] = _describe(f"{past}, spread as (select d, {spread} from obs group by 1)", "spread", MEASURES)
     series = "series as (select o_orderdate + to_hours(cast(o_orderkey % 24 as bigint)) as t from orders)"
     sql["hourly_coverage"] = f"""with {series},
       cal as (select unnest(generate_series(timestamp '1995-01-01', timestamp '2001-12-31 23:00:00', interval 1 hour)) as t)
@@ -453,6 +453,17 @@ def oracle_sql() -> dict[str, str]:
     return sql
 
 
+def _describe(ctes: str, source: str, measures: list[str]) -> str:
+    columns = "round({0}, 6)".format
+    return f"with {ctes} " + " union all ".join(
+        f"""select '{m}' as measure, count("{m}") as "count", {columns(f'avg("{m}")')} as mean,
+            {columns(f'stddev_samp("{m}")')} as std, {columns(f'cast(min("{m}") as double)')} as min,
+            {columns(f'quantile_cont(cast("{m}" as double), 0.25)')} as q25,
+            {columns(f'quantile_cont(cast("{m}" as double), 0.5)')} as q50,
+            {columns(f'quantile_cont(cast("{m}" as double), 0.75)')} as q75,
+            {columns(f'cast(max("{m}") as double)')} as max from {source}""" for m in measures)
+
+
 def _sample(fraction: str, table: str) -> str:
     return (f"select event_id, ts from {table} where cast(('0x' || substr(md5(event_id || '|1234'), 1, 8)) as bigint) "
             f"/ 4294967296.0 < {fraction}")
