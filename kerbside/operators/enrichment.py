@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo
 from kerbside.functions.values import NO_VENUE_SCORE, first_element
+from kerbside.operators.nearest import k_nearest
 
 MATCH_METRES = 50.0
 
@@ -40,24 +39,8 @@ def fill_geometry(events: DataFrame, geocodes: DataFrame) -> DataFrame:
     return done.unionByName(filled)
 
 
-@dataclass(frozen=True)
-class GridLevel:
-    """Square cells of ``size`` degrees."""
-
-    size: float
-
-    def key(self, degrees: Column) -> Column:
-        return F.floor(degrees / self.size).cast("bigint")
-
-
-def match_levels(metres: float = MATCH_METRES, max_abs_lat: float = 60.0) -> list[GridLevel]:
-    """Cell sizes from fine to coarse; the last one spans ``metres`` up to the latitude.
-
-    Dense places are settled in the fine grid, whose cells hold few venues; only what is
-    still open is tried in a grid five times as wide.
-    """
-    coarsest = geo.reach_in_degrees(metres, max_abs_lat)
-    return [GridLevel(coarsest / 5), GridLevel(coarsest)]
+#: Levels below the cell that spans the match distance; the finest cells measure decimetres.
+SEARCH_DEPTH = 3
 
 
 def nearest_venues(
@@ -66,44 +49,23 @@ def nearest_venues(
     """``lat, lng, venue_id``: for each place the venue nearest in degrees, if closer than
     ``metres`` on the ground; the lowest id among venues equally near.
 
-    An equi-join on grid cells, each place looking into 3 x 3 of them. If the best venue
-    found is no farther than one cell, no venue outside the block can be nearer, so the
-    place is settled; else it goes on to the next grid. The coarsest grid's cell exceeds
-    ``metres``, so a venue it misses is no match. Venues sharing coordinates are reduced
-    to their lowest id beforehand.
+    The search sees as far as ``metres`` can span up to the given latitude. A venue beyond
+    that is no match, and if the nearest one in sight lies within, it is the nearest of
+    all. Each distinct location is looked up once, and venues sharing coordinates are
+    reduced to their lowest id beforehand.
     """
+    reach = geo.reach_in_degrees(metres, max_abs_lat) * 1.0001
     spots = (
         venues.filter("lat IS NOT NULL AND lon IS NOT NULL")
-        .groupBy(F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon")).agg(F.min("id").alias("v_id"))
+        .groupBy(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).agg(F.min("id").alias("id"))
+    )
+    probes = (
+        places.filter("lat IS NOT NULL AND lng IS NOT NULL")
+        .select("lat", F.col("lng").alias("lon")).distinct()
     )
-    open_places = places.filter("lat IS NOT NULL AND lng IS NOT NULL").select("lat", "lng").distinct()
-    best_type = "struct<d2:double,v_id:%s,v_lat:double,v_lon:double>" % dict(venues.dtypes)["id"]
-    state = open_places.withColumn("best", F.lit(None).cast(best_type)).withColumn("settled", F.lit(False))
-
-    for level in match_levels(metres, max_abs_lat):
-        keyed = spots.withColumns({"gy": level.key(F.col("v_lat")), "gx": level.key(F.col("v_lon"))})
-        block = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-        stay = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx")))
-        probes = (
-            state.select("*", F.inline(F.when(F.col("settled"), stay).otherwise(block)))
-            .withColumns({"gy": level.key(F.col("lat")) + F.col("dy"), "gx": level.key(F.col("lng")) + F.col("dx")})
-        )
-        d2 = F.pow(F.col("v_lat") - F.col("lat"), 2) + F.pow(F.col("v_lon") - F.col("lng"), 2)
-        candidate = F.when(F.col("v_id").isNotNull(), F.struct(
-            d2.alias("d2"), F.col("v_id"), F.col("v_lat"), F.col("v_lon")))
-        seen = probes.join(keyed, (probes.gy == keyed.gy) & (probes.gx == keyed.gx) & ~probes.settled, "left")
-        state = (
-            seen.select("lat", "lng", "settled", "best", candidate.alias("candidate"))
-            .groupBy("lat", "lng").agg(
-                F.bool_or("settled").alias("was_settled"),
-                F.min("best").alias("best"), F.min("candidate").alias("candidate"))
-            .withColumn("best", F.when(F.col("was_settled"), F.col("best")).otherwise(F.col("candidate")))
-            .select("lat", "lng", "best",
-                    F.coalesce(F.col("best.d2") <= level.size ** 2, F.lit(False)).alias("settled"))
-        )
-    apart = geo.metres_between(F.col("lat"), F.col("lng"), F.col("best.v_lat"), F.col("best.v_lon"))
-    return state.filter(F.col("best").isNotNull() & (apart < metres)).select(
-        "lat", "lng", F.col("best.v_id").alias("venue_id"))
+    near = k_nearest(probes, spots, 1, reach, SEARCH_DEPTH, within=reach)
+    apart = geo.metres_between(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    return near.filter(apart < metres).select("lat", F.col("lon").alias("lng"), F.col("id").alias("venue_id"))
 
 
 def located(events: DataFrame) -> DataFrame:

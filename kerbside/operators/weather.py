@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators.nearest import k_nearest
+
 MEASURES = ["TMIN", "TMAX", "PRCP", "AWND"]
 NEIGHBOURS_USED = 3
 
@@ -147,56 +148,21 @@ def unpivot(wide: DataFrame, stations: Sequence[Station], measures: Sequence[str
     return wide.select("Date", F.inline(entries))
 
 
-#: Grid cells, in degrees, in which the long form looks for neighbours. The last one is
-#: wider than the globe, so whatever is still open there sees every station.
-SEARCH_CELLS = (0.5, 4.0, 32.0, 512.0)
-
+#: Start of the neighbour search: cells wider than the globe, so every station is in sight,
+#: then down to an eighth of a degree.
+SEARCH_DEGREES = 512.0
+SEARCH_DEPTH = 4
 
-def _nearest_known(gaps: DataFrame, known: DataFrame, sizes: Sequence[float] = SEARCH_CELLS) -> DataFrame:
-    """``Date, Station, measure, mean``: for each gap the mean of the nearest three values.
 
-    Equi-joins on day, measure and grid cell. A gap looks into 3 x 3 cells; once it has
-    found three values no farther than one cell, none outside can be nearer and it is
-    settled. The others go on to wider cells. Only three candidates per gap are kept, on
-    the map side already, so a crowded cell is never collected.
-    """
-    key = ["Date", "Station", "measure"]
-    near_type = "array<struct<d2:double,other:string,x:double>>"
-    state = gaps.select(*key, "Lat", "Lon", F.lit(False).alias("settled"), F.array().cast(near_type).alias("near"))
-    steps = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
-    block = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in steps])
-    stay = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx")))
-    for size in sizes:
-        def cell(degrees: Column, size: float = size) -> Column:
-            return F.floor(degrees / size).cast("int")
-
-        others = known.select(
-            F.col("Date").alias("o_date"), F.col("measure").alias("o_measure"), F.col("Station").alias("other"),
-            F.col("value").alias("x"), F.col("Lat").alias("o_lat"), F.col("Lon").alias("o_lon"),
-            cell(F.col("Lat")).alias("o_gy"), cell(F.col("Lon")).alias("o_gx"))
-        probes = state.select("*", F.inline(F.when(F.col("settled"), stay).otherwise(block)))
-        same_cell = (
-            (F.col("Date") == F.col("o_date")) & (F.col("measure") == F.col("o_measure"))
-            & (cell(F.col("Lat")) + F.col("dy") == F.col("o_gy")) & (cell(F.col("Lon")) + F.col("dx") == F.col("o_gx"))
-        )
-        d2 = F.pow(F.col("o_lat") - F.col("Lat"), 2) + F.pow(F.col("o_lon") - F.col("Lon"), 2)
-        candidate = F.when(F.col("other").isNotNull(), F.struct(d2.alias("d2"), F.col("other"), F.col("x")))
-        first = W.partitionBy(*key).orderBy(F.col("candidate").asc_nulls_last())
-        state = (
-            probes.join(others, same_cell & ~F.col("settled"), "left")
-            .select(*key, "Lat", "Lon", "settled", "near", candidate.alias("candidate"))
-            .withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= NEIGHBOURS_USED)
-            .groupBy(*key).agg(
-                F.first("Lat").alias("Lat"), F.first("Lon").alias("Lon"), F.bool_or("settled").alias("was"),
-                F.first("near").alias("near"), F.array_sort(F.collect_list("candidate")).alias("found"))
-            .select(
-                *key, "Lat", "Lon",
-                (F.col("was") | F.coalesce(
-                    F.get("found", F.lit(NEIGHBOURS_USED - 1))["d2"] <= size ** 2, F.lit(False))).alias("settled"),
-                F.when(F.col("was"), F.col("near")).otherwise(F.col("found")).alias("near"))
-        )
-    total = F.aggregate("near", F.lit(0.0), lambda acc, o: acc + o["x"])
-    return state.select(*key, (total / F.nullif(F.size("near"), F.lit(0))).alias("mean"))
+def _nearest_known(gaps: DataFrame, known: DataFrame) -> DataFrame:
+    """``Date, measure, Lat, Lon, mean``: for each gap the mean of the nearest three values
+    of the same measure and day."""
+    probes = gaps.select("Date", "measure", F.col("Lat").alias("lat"), F.col("Lon").alias("lon")).distinct()
+    points = known.select("Date", "measure", F.col("Station").alias("id"), F.col("Lat").alias("p_lat"),
+                          F.col("Lon").alias("p_lon"), "value")
+    near = k_nearest(probes, points, NEIGHBOURS_USED, SEARCH_DEGREES, SEARCH_DEPTH, keys=["Date", "measure"])
+    return near.groupBy("Date", "measure", F.col("lat").alias("Lat"), F.col("lon").alias("Lon")) \
+        .agg((F.sum("value") / F.count("*")).alias("mean"))
 
 
 def impute_long(days: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
@@ -214,7 +180,7 @@ def impute_long(days: DataFrame, measures: Sequence[str] = MEASURES) -> DataFram
         .select("Date", "Station", "Lat", "Lon", F.inline(entries))
     )
     filled = _nearest_known(cells.filter("value IS NULL"), cells.filter("value IS NOT NULL"))
-    both = cells.join(filled, ["Date", "Station", "measure"], "left")
+    both = cells.join(filled, ["Date", "measure", "Lat", "Lon"], "left")
     value = F.coalesce("value", "mean")
     means = measure_means(days, measures)
     return both.groupBy("Date", "Station").agg(*[

@@ -4,6 +4,7 @@ import random
 from conftest import tuples
 from kerbside.functions import geo
 from kerbside.operators import enrichment
+from kerbside.operators.nearest import k_nearest
 from kerbside.sources.events import EVENT_SCHEMA, GEOCODE_SCHEMA, VENUE_SCHEMA
 from pyspark.sql import functions as F
 
@@ -61,6 +62,37 @@ def test_random_clusters_match_brute_force(spark):
     assert nearest(spark, places, venues) == brute(places, venues)
 
 
+def test_crowds_apart_from_each_other(spark):
+    """All places in one spot, all venues in another some 30 m away: pairs would be quadratic."""
+    r = random.Random(9)
+    crowd = lambda n, lat, lon: [(lat + r.uniform(0, 4e-5), lon + r.uniform(0, 4e-5)) for _ in range(n)]
+    places = crowd(400, *NYC)
+    venues = [(f"V{i:04d}", *c) for i, c in enumerate(crowd(400, NYC[0] + 0.0002, NYC[1] + 0.0001))]
+    assert nearest(spark, places, venues) == brute(places, venues)
+
+
+def test_crowded_cell_opens_few_pairs(spark):
+    """A third of both sides in one street corner; every probe must look at few venues."""
+    n = 15000
+    spot = lambda k, base, width: F.lit(base) + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10 ** 9)) / 1e9 * width
+    crowd = F.col("id") % 3 == 0
+
+    def scattered(k):
+        return spark.range(n).select(
+            "id", F.when(crowd, spot(k, 40.75, 4e-4)).otherwise(spot(k, 40.5, 0.4)).alias("lat"),
+            F.when(crowd, spot(k + 1, -73.98, 4e-4)).otherwise(spot(k + 1, -74.2, 0.4)).alias("lon"))
+
+    places = scattered(1).select("lat", "lon")
+    venues = scattered(5).select(F.col("id").cast("string").alias("id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    got = k_nearest(places, venues, 1, 0.001, 3, within=0.001).cache()
+    assert got.filter("rank = 1").count() == got.count()
+    # 5,000 crowded places x 5,000 crowded venues would be 25 million pairs; the sample is checked exactly
+    sample = [(r.lat, r.lon, r.id, r.d2) for r in got.filter("lat between 40.75 and 40.7504").limit(40).collect()]
+    rows = [(r.p_lat, r.p_lon) for r in venues.collect()]
+    for lat, lon, _, d2 in sample:
+        assert d2 == min((a - lat) * (a - lat) + (b - lon) * (b - lon) for a, b in rows)
+
+
 def test_high_latitude(spark):
     r = random.Random(8)
     spot = lambda: (59.9 + r.gauss(0, 3e-4), 10.7 + r.gauss(0, 6e-4))
