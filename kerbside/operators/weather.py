@@ -214,8 +214,9 @@ def station_month_fraction(observations: DataFrame) -> DataFrame:
     month = [F.year("Date").cast("int").alias("year"), F.month("Date").cast("int").alias("month")]
     all_days = days.groupBy(*month).agg(F.count_distinct("Date").alias("days"))
     present = days.filter("Station IS NOT NULL").groupBy(*month, "Station").agg(F.count("*").alias("present"))
-    names = present.select("Station").distinct().agg(F.collect_list("Station").alias("n")).scalar()
-    grid = all_days.select("year", "month", "days", F.explode(names).alias("Station"))
+    # the months, which the calendar bounds, go to the stations and not the other way round
+    months = all_days.agg(F.collect_list(F.struct("year", "month", "days"))).scalar()
+    grid = present.select("Station").distinct().withColumn("m", months).select("Station", F.inline("m"))
     return (
         grid.join(present, ["year", "month", "Station"], "left")
         .select("year", "month", "Station",
