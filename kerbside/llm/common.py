@@ -70,10 +70,10 @@ def sequence_hashes(words: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return mix(total)
 
 
-def write_table(df: DataFrame, label: str) -> str:
+def write_table(df: DataFrame, label: str, **options: str) -> str:
     """Write a table to the shared folder; its path."""
     path = new_table_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path
 
 

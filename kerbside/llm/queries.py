@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm import bpe
+from kerbside.llm import bpe, language, packing, quality, secrets, token_matrix, toxicity
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,34 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.evaluate(table(spark, sf, "documents"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_digests(secrets.find_secrets(table(spark, sf, "documents")))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op6_concatenate_and_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_token_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return token_matrix.matrix_digests(token_matrix.packed_matrix(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op10_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
