@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm import bpe, language, packing, quality, secrets, token_matrix, toxicity
+from kerbside.llm import bpe, language, ngram_join, packing, quality, secrets, token_matrix, toxicity
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_digests(secrets.find_secrets(table(spark, sf, "documents")))
 
 
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
