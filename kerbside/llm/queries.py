@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm import bpe, language, ngram_join, packing, quality, secrets, token_matrix, toxicity
+from kerbside.llm import bpe, language, ngram_join, packing, pages, quality, secrets, token_matrix, topk, toxicity
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,30 @@ def op9_token_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
+
+
+@query
+def op7_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(table(spark, sf, "pages"))
+
+
+@query
+def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
+SQL["op8_exact_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+  where q.vec_id % 100 = 0),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+select query_id, cast(place as int) as rank, vec_id, score from ranked where place <= 10
+"""
