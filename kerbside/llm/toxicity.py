@@ -35,10 +35,10 @@ BITS = 20
 SAMPLE_ROWS, SHARDS = 40_000, 4
 
 #: Beginnings of words that are features of their own, in characters.
-STEMS = (5, 7)
+STEMS = (3, 4, 6)
 
 #: Rate, its smoothing, L1 and L2 of the updates; passes over a shard; the bias.
-ALPHA, BETA, L1, L2, PASSES = 0.15, 1.0, 0.6, 0.1, 3
+ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.4, 0.1, 3
 
 _PUNCTUATION = ".,!?;:#*$%&|<>\"'()[]{}=+~`^@/\\-_"
 
