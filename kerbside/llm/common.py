@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.session import new_table_path, pin
 
+#: Rows handled at a time, so that a batch's results never pile up.
+SLICE_ROWS = 500
+
 #: Entries a worker's word cache holds before it starts anew.
 CACHE_ENTRIES = 500_000
 
@@ -22,15 +25,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One output batch for each input batch; ``f`` is made anew in every task."""
+    """One output batch for each slice of the input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+        return map(f, slices(batches))
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``SLICE_ROWS`` rows, none of them empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     values = batch.column(column)

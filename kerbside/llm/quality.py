@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import WordHashes, sequence_hashes
+from kerbside.llm.common import WordHashes, sequence_hashes, slices
 
 SYMBOLS = "#*$%&|<>"
 
@@ -148,7 +148,7 @@ def evaluate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One verdict per document; ``with_text`` adds ``cleaned``, the text of the lines left."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             found = [judge(t, hashes) for t in b.column("text").to_pylist()]
             names = [*COUNTS, "base_failed", "kept", "n_failed_lines", "lost_chars"] + ["cleaned"] * with_text
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.string()] * with_text

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import map_batches
+from kerbside.llm.common import map_batches, slices
 from kerbside.llm.packing import WINDOW, part_offsets
 from kerbside.llm.tokens import encoder, loaded, stored, write_tokens
 from kerbside.sizing import broadcast_if_bounded
@@ -181,20 +181,18 @@ def packed_matrix(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
                 ["sequence_id", "n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "starts"])
 
         current, parts, rows = None, [], []
-        for batch in batches:
+        for batch in slices(batches):
             for sequence, *part in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if sequence != current and parts:
                     rows.append(row(current, parts))
                     parts = []
                 current = sequence
                 parts.append(tuple(part))
-            if len(rows) >= 1000:
+            if rows:
                 yield made(rows)
                 rows = []
         if parts:
-            rows.append(row(current, parts))
-        if rows:
-            yield made(rows)
+            yield made([row(current, parts)])
 
     return ordered.mapInArrow(assemble, MATRIX)
 

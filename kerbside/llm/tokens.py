@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kerbside.llm.bpe import _byte_letters
-from kerbside.llm.common import write_table
+from kerbside.llm.common import slices, write_table
 
 #: How byte-level tokenizers of this kind cut texts. The second pattern is for
 #: texts without two white-space characters in a row, where looking ahead changes nothing.
@@ -44,20 +44,26 @@ def _ranked_vocabulary(spec: dict) -> dict[bytes, int] | None:
     return {bytes([letters[c] for c in t]): i for t, i in model["vocab"].items() if all(c in letters for c in t)}
 
 
+@lru_cache(maxsize=4)
+def _library(path: str) -> Tokenizer:
+    """The library's own tokenizer, loaded where a text calls for it."""
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> tuple[Callable[[str], np.ndarray], int]:
     """Text to ids, equal to those of the tokenizers library for this file, and the number of ids."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
     special = [t["content"] for t in spec.get("added_tokens", [])]
-    size = library.get_vocab_size(with_added_tokens=True)
+    size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
     ranks = _ranked_vocabulary(spec)
 
     def by_library(text: str) -> np.ndarray:
-        return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     if ranks is None:
         return by_library, size
@@ -100,7 +106,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, window: int) -> str:
         part = TaskContext.get().partitionId()
         before = full = 0
         ranks = [0] * window
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for text in batch.column("text").to_pylist():
                 ids = np.append(to_ids(text) if text else np.empty(0, np.uint32), np.uint32(end_id))
@@ -108,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, window: int) -> str:
                 rows.append((part, n, before, full, rest, ranks[rest], stored(ids, size)))
                 before, full = before + n, full + n // window
                 ranks[rest] += 1
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+            columns = zip(*rows, strict=True)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],

@@ -9,7 +9,7 @@ at most one per coordinate, are what executors receive for scoring.
 
 Cases: a null or empty text, or one without words, scores the bias alone. Rows without id,
 label or text are not learned from; several labels of one id count as toxic if one is.
-Without any labelled row all scores are 0.5. Repeated rows score alike; other columns are
+Without any labelled row nothing is toxic. Repeated rows score alike; other columns are
 ignored.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import CACHE_ENTRIES, map_batches, sequence_hashes
+from kerbside.llm.common import CACHE_ENTRIES, sequence_hashes, slices
 from kerbside.llm.language import held_out_rows
 from kerbside.sizing import broadcast_if_bounded
 
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     order = np.argsort(at)
     at, w = at[order], w[order]
     bias = w[at == 1 << BITS]
-    return ToxicityModel(at[at < 1 << BITS], w[at < 1 << BITS], float(bias[0]) if len(bias) else 0.0)
+    return ToxicityModel(at[at < 1 << BITS], w[at < 1 << BITS], float(bias[0]) if len(bias) else -np.inf)
 
 
 def _scores(texts: list[str | None], dense: np.ndarray, bias: float, keys: _WordKeys) -> list[float]:
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, dense = _WordKeys(), model.dense()
-        for b in batches:
+        for b in slices(batches):
             scores = _scores(b.column("text").to_pylist(), dense, model.bias, keys)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()),
@@ -167,7 +167,7 @@ def keep_civil(docs: DataFrame, model: ToxicityModel, below: float = 0.5) -> Dat
     """The rows, all columns as they are, that score less than ``below``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, dense = _WordKeys(), model.dense()
-        for b in batches:
+        for b in slices(batches):
             scores = _scores(b.column("text").to_pylist(), dense, model.bias, keys)
             yield b.filter(pa.array([s < below for s in scores], pa.bool_()))
 
