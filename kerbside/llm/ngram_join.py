@@ -4,16 +4,17 @@ A document's set holds its distinct shingles of four words. Two documents link i
 ``100 * intersection >= 85 * union``. Linked documents are found exactly:
 
 1. Equal sets are one (by a 128-bit digest). Shingles that many sets hold are counted; the
-   most frequent ones form a bounded table that only orders shingles: rare ones first.
+   most frequent ones form a bounded table that only orders shingles: rare ones first, of
+   equal ones long ones first, since few texts share those by chance.
 2. In that order, linked sets share one of their first ``n - ceil(0.85 n) + 1`` shingles, so
    only these first shingles are compared over the corpus. Shingles of a single set go.
 3. Sets are partitioned into groups of similar ones: each joins the set that leads most of
    its shingles (the least one that holds them). The matrix of shingles and groups holds
-   each group's union of first shingles, however many members share one; groups that
-   meet in a shingle are opened for each other, with those members only that hold it.
-4. Opened groups are compared in blocks of bounded size: members whose overlap with the
-   union of the others cannot reach the bound are closed again, the rest are counted by
-   postings. A block reports a spanning tree of its links, never all pairs.
+   each group's union of first shingles, however many members share one. For a set and a
+   group, the number of its first shingles in that union bounds the overlap with every
+   member; a group is opened for the sets that can reach what a link needs, no others.
+4. Opened groups are compared in blocks of bounded size, by postings over whole sets. A
+   block reports a spanning tree of its links, never all pairs.
 5. Trees become components by alternating large and small stars.
 
 Cases: a null text, or one without words, has no shingles and links with nothing; its
@@ -44,6 +45,9 @@ FREQUENT = 200_000
 #: Shingles counted at a time within a task; one counts as frequent there from this number on.
 CHUNK, OFTEN = 4_000_000, 3
 
+#: A set joins its leader's group if that leads at least this share of its first shingles.
+LED_PERCENT = 20
+
 #: Members and shingles per block of an opened group.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 
@@ -58,6 +62,24 @@ def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.n
     return np.unique(sequence_hashes(hashes.of(found), tuple(range(words))))
 
 
+def ordered_shingles(
+    text: bytes | None, hashes: WordHashes, words: int, frequent: tuple[np.ndarray, np.ndarray],
+) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles of a text, and the same in the order common to all sets."""
+    found = (text or b"").lower().split()
+    tokens = shingles(text, hashes, words)
+    if len(found) < words:
+        return tokens, tokens
+    lengths = np.convolve(np.fromiter(map(len, found), np.int64, len(found)), np.ones(words, np.int64), "valid")
+    own, first = np.unique(sequence_hashes(hashes.of(found), tuple(range(words))), return_index=True)
+    common, counts = frequent
+    rank = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, counts[at], 0)
+    return tokens, own[np.lexsort((own, -lengths[first], rank))]
+
+
 def _digest(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
@@ -128,28 +150,20 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _shared_shingles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """``token, key, leader``: first shingles that at least two sets have among theirs."""
-    common, counts = frequent
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for b in batches:
             firsts, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for text in raw_texts(b):
-                tokens = shingles(text, hashes, words)
-                if not len(tokens):
-                    continue
+                tokens, ordered = ordered_shingles(text, hashes, words, frequent)
                 digest = _digest(tokens)
-                if digest in seen:
+                if digest is None or digest in seen:
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(digest)
                 k = first_shingles(len(tokens), percent)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                    rank = np.where(common[at] == tokens, counts[at], 0)
-                    tokens = tokens[np.lexsort((tokens, rank))]
-                firsts.append(tokens[:k])
+                firsts.append(ordered[:k])
                 keys.append(np.full(k, _key(digest), np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.concatenate(keys))], ["token", "key"])
@@ -161,45 +175,62 @@ def _shared_shingles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], w
     return docs.sparkSession.read.parquet(write_table(shared, "shared-shingles"))
 
 
-def _units(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """Least number of common first shingles of linked sets of ``n`` and ``m`` shingles.
+
+    They have ``percent / (100 + percent) * (n + m)`` shingles in common. All but those of the
+    set whose first shingles end earlier in the order lie within both sets' first ones.
+    """
+    def later(x: Column) -> Column:
+        return F.ceil(x * percent / 100) - 1
+
+    return F.ceil((n + m) * percent / (100 + percent)) - F.greatest(later(n), later(m))
+
+
+def _units(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """``unit, key``: which sets are compared in which block of opened groups.
 
     ``sizes`` has ``key, n``. A unit names two groups and a block of each.
     """
     spark = shared.sparkSession
     led = shared.groupBy("key", "leader").agg(F.count("*").alias("c")) \
-        .groupBy("key").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("group"))
-    groups = spark.read.parquet(write_table(led.join(sizes, "key"), "set-groups"))
-    blocks = groups.groupBy("group").agg(F.count("*").alias("m"), F.greatest(
+        .groupBy("key").agg(F.max(F.struct("c", (-F.col("leader")).alias("minus"))).alias("most"))
+    firsts = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    groups = led.join(sizes, "key").select("key", "n", F.when(
+        100 * F.col("most.c") >= LED_PERCENT * firsts, -F.col("most.minus")).otherwise(F.col("key")).alias("group"))
+    groups = spark.read.parquet(write_table(groups, "set-groups"))
+    spans = groups.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+
+    members = spark.read.parquet(write_table(
+        shared.select("token", "key").join(groups, "key"), "group-members"))
+    matrix = members.groupBy("token", "group").agg(F.count("*").alias("held"))
+    met = members.withColumnRenamed("group", "own").join(matrix, "token").filter((F.col("own") != F.col("group")) | (F.col("held") > 1))
+    overlap = met.groupBy("key", "n", "own", "group").agg(F.count("*").alias("overlap")).join(spans, "group")
+    n = F.col("n")
+    low, high = F.greatest(F.col("least"), F.ceil(n * percent / 100)), F.least(F.col("most"), F.floor(n * 100 / percent))
+    # What is needed is least at one end of the sizes, but for rounding by one in between.
+    opened = overlap.filter(low <= high).filter(
+        F.col("overlap") >= F.least(_needed(n, low, percent), _needed(n, high, percent)) - 1)
+    pair = F.array_sort(F.array("own", "group"))
+    opened = opened.select("key", "n", "own", F.get(pair, F.lit(0)).alias("g"), F.get(pair, F.lit(1)).alias("h"))
+    opened = spark.read.parquet(write_table(opened, "opened"))
+
+    blocks = opened.groupBy("g", "h", "own").agg(F.greatest(
         F.lit(1), F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "group").select(
-        "key", "group", "m", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    placed = spark.read.parquet(write_table(placed, "set-blocks"))
-
-    def unit(g: Column, i: Column, h: Column, j: Column) -> Column:
-        return F.struct(g.alias("g"), i.alias("i"), h.alias("h"), j.alias("j")).alias("unit")
-
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    within = placed.filter("m > 1").select("key", "group", "block", every).select(
-        unit(F.col("group"), F.least("block", "other"), F.col("group"), F.greatest("block", "other")), "key")
-
-    members = shared.select("token", "key").join(placed, "key")
-    matrix = members.select("token", "group").distinct()
-    a, b = (matrix.select("token", F.col("group").alias(x)) for x in ("g", "h"))
-    met = a.join(b, "token").filter("g < h")
-    counted = blocks.select(F.col("group").alias("h"), F.col("blocks").alias("h_blocks"))
-    other = blocks.select(F.col("group").alias("g"), F.col("blocks").alias("g_blocks"))
-    met = met.join(counted, "h").join(other, "g")
-    sides = members.select("token", "key", "group", "block").join(met, "token").filter(
-        (F.col("group") == F.col("g")) | (F.col("group") == F.col("h")))
-    on_g = F.col("group") == F.col("g")
-    across = sides.select(
-        "key", "g", "h", on_g.alias("on_g"), "block",
-        F.when(on_g, F.col("h_blocks")).otherwise(F.col("g_blocks")).alias("blocks")).distinct()
-    across = across.select("key", "g", "h", "on_g", "block", every).select(
-        unit(F.col("g"), F.when(F.col("on_g"), F.col("block")).otherwise(F.col("other")),
-             F.col("h"), F.when(F.col("on_g"), F.col("other")).otherwise(F.col("block"))), "key")
-    return within.unionByName(across).distinct()
+    on_g, on_h = blocks.filter("own = g"), blocks.filter("own = h")
+    both = on_g.select("g", "h", F.col("blocks").alias("g_blocks")).join(
+        on_h.select("g", "h", F.col("blocks").alias("h_blocks")), ["g", "h"])
+    placed = opened.join(both, ["g", "h"])
+    own_blocks = F.when(F.col("own") == F.col("g"), F.col("g_blocks")).otherwise(F.col("h_blocks"))
+    other_blocks = F.when(F.col("own") == F.col("g"), F.col("h_blocks")).otherwise(F.col("g_blocks"))
+    placed = placed.select(
+        "key", "g", "h", "own", F.pmod(F.xxhash64("key"), own_blocks).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), other_blocks - 1)).alias("other"))
+    first = F.when(F.col("g") == F.col("h"), F.least("block", "other")).when(
+        F.col("own") == F.col("g"), F.col("block")).otherwise(F.col("other"))
+    second = F.when(F.col("g") == F.col("h"), F.greatest("block", "other")).when(
+        F.col("own") == F.col("g"), F.col("other")).otherwise(F.col("block"))
+    return placed.select(F.struct("g", first.alias("i"), "h", second.alias("j")).alias("unit"), "key")
 
 
 def _links(sets: list[np.ndarray], percent: int) -> tuple[list[int], int]:
@@ -215,7 +246,7 @@ def _links(sets: list[np.ndarray], percent: int) -> tuple[list[int], int]:
     sizes = np.array([len(s) for s in sets], np.int64)
     tokens, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    held = counts[ids] > 1  # the union of the others
+    held = counts[ids] > 1
     overlap = np.bincount(owner[held], minlength=len(sets))
     open_set = 100 * overlap >= percent * sizes
     keep = held & open_set[owner]
@@ -313,7 +344,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         "distinct-sets"))
     shared = _shared_shingles(docs, _frequent(table), words, percent)
     units = spark.read.parquet(write_table(
-        _units(shared, distinct.groupBy("key").agg(F.max("n").alias("n"))), "opened-groups"))
+        _units(shared, distinct.groupBy("key").agg(F.max("n").alias("n")), percent), "opened-groups"))
     representatives = distinct.select("key", "first.doc_id", "first.text_hash")
     roots = components(spark.read.parquet(write_table(
         _edges(docs, units, representatives, words, percent), "set-links")))
