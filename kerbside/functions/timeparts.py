@@ -87,12 +87,17 @@ def is_holiday(day: Column, observed: bool = True) -> Column:
         _monday_between(d, 10, 8, 14),        # second Monday of October
         _weekday_between(d, 3, 11, 22, 28),   # fourth Thursday of November
     ]
-    fixed = [(1, 1), (7, 4), (11, 11), (12, 25)]
-    rules = floating + [_on(d, m, n) for m, n in fixed]
+    # Month, day, and the year of the first observance.
+    fixed = [(1, 1, 0), (6, 19, 2021), (7, 4, 0), (11, 11, 0), (12, 25, 0)]
+
+    def falls(day: Column, m: int, n: int, since: int) -> Column:
+        return _on(day, m, n) & (F.year(day) >= since)
+
+    rules = floating + [falls(d, *f) for f in fixed]
     if observed:
         next_day, previous_day = F.date_add(d, 1), F.date_sub(d, 1)
-        rules += [(F.weekday(d) == 4) & _on(next_day, m, n) for m, n in fixed]
-        rules += [(F.weekday(d) == 0) & _on(previous_day, m, n) for m, n in fixed]
+        rules += [(F.weekday(d) == 4) & falls(next_day, *f) for f in fixed]
+        rules += [(F.weekday(d) == 0) & falls(previous_day, *f) for f in fixed]
     return reduce(lambda a, b: a | b, rules)
 
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_LEVEL = 10
+from kerbside.session import materialize
+
 TOP_LEVEL = 4
 
+#: Doublings that reach from the deepest possible node of a tree (level 30) to its root.
+DOUBLINGS = 5
+
 
 def saved_nodes(spark: SparkSession, path: str) -> DataFrame:
     """``tree, node, left, right, feature, prediction`` of a saved forest; feature is null
@@ -23,40 +28,43 @@ def saved_nodes(spark: SparkSession, path: str) -> DataFrame:
         F.when(inner, n["split"]["featureIndex"]).alias("feature"), n["prediction"].alias("prediction"))
 
 
-def splits_by_level(nodes: DataFrame, max_level: int = MAX_LEVEL, keys: Sequence[str] = ("tree",)) -> DataFrame:
-    """``*keys, feature, level`` of every splitting node down to ``max_level``, roots at 0.
+def splits_by_level(nodes: DataFrame, max_level: int | None = None, keys: Sequence[str] = ("tree",)) -> DataFrame:
+    """``*keys, feature, level`` of every splitting node, roots at 0; down to ``max_level``
+    only if one is given.
 
-    Each node climbs towards its root, one join per level, and counts its steps; nodes
-    that have not arrived after ``max_level`` steps lie deeper and are left out.
+    Every node knows a node above it and how far; each round doubles how far that is.
     """
-    edges = nodes.filter("feature IS NOT NULL").select(
-        *keys, F.explode(F.array("left", "right")).alias("at"), F.col("node").alias("parent"))
-    climbing = nodes.filter("feature IS NOT NULL").select(
-        *keys, "feature", F.col("node").alias("at"), F.lit(0).alias("level"))
-    for _ in range(max_level):
-        arrived = F.col("at") == 0
-        climbing = climbing.join(edges, [*keys, "at"], "left").select(
-            *keys, "feature",
-            F.coalesce("parent", "at").alias("at"),
-            F.when(arrived, F.col("level")).otherwise(F.col("level") + 1).alias("level"))
-    return climbing.filter("at = 0").select(*keys, "feature", "level")
+    inner = nodes.filter("feature IS NOT NULL")
+    edges = inner.select(*keys, F.explode(F.array("left", "right")).alias("node"), F.col("node").alias("above"))
+    known = inner.join(edges, [*keys, "node"], "left").select(
+        *keys, "node", "feature", F.coalesce("above", "node").alias("above"),
+        F.when(F.col("above").isNull(), 0).otherwise(1).alias("level"))
+    for _ in range(DOUBLINGS):
+        higher = known.select(*keys, F.col("node").alias("above"), F.col("above").alias("next"), F.col("level").alias("steps"))
+        known = materialize(known.join(higher, [*keys, "above"]).select(
+            *keys, "node", "feature", F.col("next").alias("above"), (F.col("level") + F.col("steps")).alias("level")), "levels")
+    splits = known.select(*keys, "feature", "level")
+    return splits if max_level is None else splits.filter(F.col("level") <= max_level)
 
 
-def top_features(splits: DataFrame, max_level: int = TOP_LEVEL) -> DataFrame:
-    """Distinct features used down to ``max_level``, in order."""
-    return splits.filter(F.col("level") <= max_level).select("feature").distinct().orderBy("feature")
+def top_features(splits: DataFrame, max_level: int = TOP_LEVEL, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct features used down to ``max_level``, in order, per forest named by ``keys``."""
+    return splits.filter(F.col("level") <= max_level).select(*keys, "feature").distinct().orderBy(*keys, "feature")
 
 
-def feature_counts(splits: DataFrame) -> DataFrame:
+def feature_counts(splits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Uses of a feature per tree and level."""
-    return splits.groupBy("tree", "level", "feature").agg(F.count("*").alias("uses"))
+    return splits.groupBy(*keys, "tree", "level", "feature").agg(F.count("*").alias("uses"))
 
 
-def importance(splits: DataFrame, n: int | None = 20) -> DataFrame:
-    """Sum of 2^-level over all uses of a feature, highest first, ties by feature."""
-    scores = splits.groupBy("feature").agg(F.sum(F.pow(F.lit(2.0), -F.col("level"))).alias("score"))
-    ordered = scores.orderBy(F.desc("score"), "feature")
-    return ordered.limit(n) if n else ordered
+def importance(splits: DataFrame, n: int | None = 20, keys: Sequence[str] = ()) -> DataFrame:
+    """Sum of 2^-level over all uses of a feature, highest first, ties by feature; the ``n``
+    highest of each forest named by ``keys``."""
+    scores = splits.groupBy(*keys, "feature").agg(F.sum(F.pow(F.lit(2.0), -F.col("level"))).alias("score"))
+    if n:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "feature"))
+        scores = scores.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+    return scores.orderBy(*keys, F.desc("score"), "feature")
 
 
 def named(df: DataFrame, names: Sequence[str]) -> DataFrame:

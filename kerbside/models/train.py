@@ -20,10 +20,21 @@ from kerbside.session import materialize_all
 PARALLEL_FITS = 8
 
 
-def linear() -> LinearRegression:
-    """Least squares through the origin, without regularisation."""
-    return LinearRegression(featuresCol="features", labelCol="label", fitIntercept=False,
-                            regParam=0.0, maxIter=1000)
+#: Weight of the squared coefficients in a linear fit. One column per category makes columns
+#: depend on each other exactly; without this term the fit has no single solution. It weighs standardised coefficients, so
+#: that columns without variance, too, leave the equations solvable.
+RIDGE = 1e-3
+
+#: Columns up to which a fit solves its normal equations (the solver's own limit).
+SOLVABLE = 4096
+
+
+def linear(columns: int = 0) -> LinearRegression:
+    """Least squares through the origin with a small ridge term, solved exactly; beyond
+    ``SOLVABLE`` columns by iteration to a tolerance."""
+    return LinearRegression(featuresCol="features", labelCol="label", fitIntercept=False, regParam=RIDGE,
+                            elasticNetParam=0.0, standardization=True, maxIter=1000,
+                            solver="normal" if columns <= SOLVABLE else "l-bfgs")
 
 
 def forest(trees: int = 5, depth: int = 15, seed: int = 1234, categorical: bool = True) -> RandomForestRegressor:
@@ -55,13 +66,16 @@ def train_districts(
     districts: Sequence[tuple[float, float]],
     estimator: Callable[[], object],
     folder: str | None = None,
+    categorical: bool = True,
     parallel: int = PARALLEL_FITS,
 ) -> dict[tuple[float, float], object]:
     """Fit one model per listed district of a ``by_cell`` table, and save it if a folder is given.
 
-    A tree cannot split a category into more values than it has rows. Districts that short
-    take their categories as numbers.
+    A tree cannot split a category into more values than it has rows. With ``categorical``
+    listed districts that short are an error that names them; without, all districts take
+    their categories as numbers. The choice is saved beside the models.
     """
+    spark = table.sparkSession
     cells = [(round(lat * 100), round(lon * 100)) for lat, lon in districts]
     listed = table.sparkSession.createDataFrame(cells, "lat_cell int, lon_cell int").distinct()
     short = {
@@ -70,10 +84,15 @@ def train_districts(
         .groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"))
         .filter(F.col("n") < max(ARITY.values())).collect()
     }
+    if categorical and short and isinstance(estimator(), RandomForestRegressor):
+        raise ValueError(f"districts with fewer rows than a category has values: {sorted(short)}")
+    if folder:
+        spark.createDataFrame([(categorical,)], "categorical boolean").write.mode("overwrite").json(
+            f"{folder.rstrip('/')}/settings")
 
     def fit(district: tuple[float, float]):
         own = rows_of(table, *district)
-        if (round(district[0] * 100), round(district[1] * 100)) in short:
+        if not categorical:
             own = own.withColumn("features", F.col("features").alias("features", metadata={}))
         model = estimator().fit(own)
         if folder:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbside.functions import geo
 from kerbside.functions.values import NO_VENUE_SCORE, first_element
 from kerbside.operators.nearest import k_nearest
+from kerbside.session import materialize
 
 MATCH_METRES = 50.0
 
@@ -42,19 +43,22 @@ def fill_geometry(events: DataFrame, geocodes: DataFrame) -> DataFrame:
 #: Levels below the cell that spans the match distance; the finest cells measure decimetres.
 SEARCH_DEPTH = 3
 
+#: From this latitude on the search reaches no farther in longitude.
+POLAR_LATITUDE = 89.9
+
 
 def nearest_venues(
-    places: DataFrame, venues: DataFrame, metres: float = MATCH_METRES, max_abs_lat: float = 60.0
+    places: DataFrame, venues: DataFrame, metres: float = MATCH_METRES
 ) -> DataFrame:
     """``lat, lng, venue_id``: for each place the venue nearest in degrees, if closer than
     ``metres`` on the ground; the lowest id among venues equally near.
 
-    The search sees as far as ``metres`` can span up to the given latitude. A venue beyond
-    that is no match, and if the nearest one in sight lies within, it is the nearest of
-    all. Each distinct location is looked up once, and venues sharing coordinates are
-    reduced to their lowest id beforehand.
+    The search sees as far as ``metres`` can span at the place farthest from the equator
+    (one aggregate). A venue beyond that is no match, and if the nearest one in sight lies
+    within, it is the nearest of all. Within a tenth of a degree of a pole, where degrees of
+    longitude say nothing, places see as far as there. Each distinct location is looked up
+    once, and venues sharing coordinates are reduced to their lowest id beforehand.
     """
-    reach = geo.reach_in_degrees(metres, max_abs_lat) * 1.0001
     spots = (
         venues.filter("lat IS NOT NULL AND lon IS NOT NULL")
         .groupBy(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).agg(F.min("id").alias("id"))
@@ -63,6 +67,9 @@ def nearest_venues(
         places.filter("lat IS NOT NULL AND lng IS NOT NULL")
         .select("lat", F.col("lng").alias("lon")).distinct()
     )
+    probes = materialize(probes, "places")
+    farthest = probes.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    reach = geo.reach_in_degrees(metres, min(farthest, POLAR_LATITUDE)) * 1.0001
     near = k_nearest(probes, spots, 1, reach, SEARCH_DEPTH, within=reach)
     apart = geo.metres_between(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     return near.filter(apart < metres).select("lat", F.col("lon").alias("lng"), F.col("id").alias("venue_id"))
@@ -73,12 +80,11 @@ def located(events: DataFrame) -> DataFrame:
     return events.withColumns({"lat": at["lat"], "lng": at["lng"]})
 
 
-def match_venues(events: DataFrame, venues: DataFrame, metres: float = MATCH_METRES,
-                 max_abs_lat: float = 60.0) -> DataFrame:
+def match_venues(events: DataFrame, venues: DataFrame, metres: float = MATCH_METRES) -> DataFrame:
     """Events with ``venue`` (id and score), null where none is near. Each distinct
     location is looked up once, however many events share it."""
     places = venues.select("id", "score", F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"))
-    spots = nearest_venues(located(events), places, metres, max_abs_lat)
+    spots = nearest_venues(located(events), places, metres)
     scores = venues.groupBy(F.col("id").alias("venue_id")).agg(F.first("score").alias("score"))
     found = spots.join(scores, "venue_id").select(
         "lat", "lng", F.struct(F.col("venue_id").alias("id"), "score").alias("venue"))

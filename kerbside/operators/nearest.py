@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kerbside.session import materialize
+
 #: A cell is cut into this many along each axis at the next level.
 FACTOR = 8
 
@@ -106,10 +108,11 @@ def k_nearest(
     """
     probe = [*keys, "lat", "lon"]
     finest = size / FACTOR ** depth
-    placed = _cells(points, "p_lat", "p_lon", finest, ("leaf_y", "leaf_x"))
+    placed = materialize(_cells(points, "p_lat", "p_lon", finest, ("leaf_y", "leaf_x")), "points")
     leaves = placed.groupBy(*keys, "leaf_y", "leaf_x").agg(
         F.min("p_lat").alias("y_low"), F.max("p_lat").alias("y_high"),
         F.min("p_lon").alias("x_low"), F.max("p_lon").alias("x_high"), F.count("*").alias("n"))
+    leaves = materialize(leaves, "cells")  # read by every level; the points are not
 
     around = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
     kept = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -639,7 +640,7 @@ def flat_event_csv(spark, sf):
 def facts_by_month(spark, sf):
     path = new_table_path(spark, "facts")
     tables.write_by_month(_facts(spark, sf), path)
-    return tables.read_by_month(spark, path).drop("year", "month")
+    return tables.read_by_month(spark, path)
 
 
 @query
@@ -695,10 +696,11 @@ def scaled_features(spark, sf):
     return _profile(prepared.test, prepared.feature_names())
 
 
-def _districts(rows: DataFrame) -> list[tuple[float, float]]:
-    """The listed districts: the ten with most pickups before the split."""
-    top = facts.top_districts(rows.withColumnRenamed("label", "Pickup_Count"), 10)
-    return [(r.Lat, r.Lon) for r in top.collect()]
+def _districts(spark: SparkSession, rows: DataFrame) -> list[tuple[float, float]]:
+    """The list of districts to train, read from a file: here all that have training rows."""
+    path = new_table_path(spark, "listed")
+    tables.write_districts(rows.select("Lat", "Lon").distinct(), path)
+    return sorted(tables.district_list(spark, path))
 
 
 @query
@@ -727,7 +729,7 @@ def train_linear_vectors(spark, sf):
     """The linear model on the whole prepared vector, saved, loaded and evaluated."""
     prepared = prep.prepare(_model_rows(spark, sf), split=b.SPLIT)
     rows, held_out = train.by_cell(prepared.train, prepared.test)
-    listed = _districts(rows)
+    listed = _districts(spark, rows)
     folder = new_table_path(spark, "linear")
     train.train_districts(rows, listed, train.linear, folder)
     return rounded(score.evaluate(held_out, score.load_models(folder, "linear", listed)), *STATS)
@@ -737,41 +739,96 @@ def _forest_rows(spark: SparkSession, sf: str) -> prep.Prepared:
     return prep.prepare(_model_rows(spark, sf), scale=False, one_hot=False, split=b.SPLIT)
 
 
+#: Settings of the forests: the published ones of the single run that was analysed.
+TREES, DEPTH = 5, 15
+
+_trained: dict[tuple[str, str], tuple[str, list[tuple[float, float]], list[str], DataFrame]] = {}
+
+
+def _forests(spark: SparkSession, sf: str) -> tuple[str, list[tuple[float, float]], list[str], DataFrame]:
+    """Folder of the saved forests of all listed districts, the districts, the names of the
+    features, and the held-out rows. Trained once per session and input; later queries load
+    what is saved."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _trained:
+        prepared = _forest_rows(spark, sf)
+        rows, held_out = train.by_cell(prepared.train, prepared.test)
+        listed = _districts(spark, rows)
+        folder = new_table_path(spark, "forests")
+        train.train_districts(rows, listed, lambda: train.forest(TREES, DEPTH), folder)
+        _trained[key] = folder, listed, prepared.feature_names(), held_out
+    return _trained[key]
+
+
 @query
 def train_forest(spark, sf):
     """A forest per district: trained before the split, saved, loaded, evaluated after it."""
-    prepared = _forest_rows(spark, sf)
-    rows, held_out = train.by_cell(prepared.train, prepared.test)
-    listed = _districts(rows)
-    folder = new_table_path(spark, "forests")
-    train.train_districts(rows, listed, lambda: train.forest(trees=5, depth=5), folder)
+    folder, listed, _, held_out = _forests(spark, sf)
     return rounded(score.evaluate(held_out, score.load_models(folder, "random_forest", listed)), *STATS)
 
 
+FOREST = ("Lat", "Lon")
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of all listed districts' saved forests."""
+    folder, listed, _, _ = _forests(spark, sf)
+    return reduce(DataFrame.unionByName, [
+        forest_nodes.saved_nodes(spark, train.model_path(folder, *d)).withColumns({"Lat": F.lit(d[0]), "Lon": F.lit(d[1])})
+        for d in listed])
+
+
 def _splits(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """Split nodes of the busiest district's forest, and the names of its features."""
-    prepared = _forest_rows(spark, sf)
-    rows, = train.by_cell(prepared.train)
-    busiest = _districts(rows)[0]
-    folder = new_table_path(spark, "forest")
-    train.train_districts(rows, [busiest], lambda: train.forest(trees=5, depth=5), folder)
-    nodes = forest_nodes.saved_nodes(spark, train.model_path(folder, *busiest))
-    return forest_nodes.splits_by_level(nodes, max_level=5), prepared.feature_names()
+    """Split nodes of all listed districts' forests, at all levels, and the features' names."""
+    return forest_nodes.splits_by_level(_nodes(spark, sf), keys=(*FOREST, "tree")), _forests(spark, sf)[2]
 
 
 @query
 def forest_importance(spark, sf):
     splits, names = _splits(spark, sf)
-    return forest_nodes.named(forest_nodes.importance(splits), names)
+    return forest_nodes.named(forest_nodes.importance(splits, keys=FOREST), names)
 
 
 @query
 def forest_top_features(spark, sf):
     splits, names = _splits(spark, sf)
-    return forest_nodes.named(forest_nodes.top_features(splits), names)
+    return forest_nodes.named(forest_nodes.top_features(splits, keys=FOREST), names)
 
 
 @query
 def forest_feature_counts(spark, sf):
     splits, names = _splits(spark, sf)
-    return forest_nodes.named(forest_nodes.feature_counts(splits), names)
+    return forest_nodes.named(forest_nodes.feature_counts(splits, keys=FOREST), names)
+
+
+@query
+def forest_structure(spark, sf):
+    """What holds for every forest: its trees, one leaf more per tree than inner nodes, and
+    a score of 1 for the root of each tree."""
+    nodes, (splits, _) = _nodes(spark, sf), _splits(spark, sf)
+    inner = F.col("feature").isNotNull()
+    shape = nodes.groupBy(*FOREST).agg(
+        F.countDistinct("tree").cast("bigint").alias("trees"),
+        (F.count("*") - 2 * F.sum(inner.cast("int"))).alias("leaves_over_inner"))
+    roots = splits.filter("level = 0").groupBy(*FOREST).agg(F.sum(F.pow(F.lit(2.0), -F.col("level"))).alias("root_score"))
+    return shape.join(roots, list(FOREST))
+
+
+@query
+def forest_scored_rows(spark, sf):
+    """Rows scored per listed district, and whether all predictions lie within its labels."""
+    folder, listed, _, held_out = _forests(spark, sf)
+    scored = score.score_districts(held_out, score.load_models(folder, "random_forest", listed))
+    before = prep.split_by_time(_features(spark, sf, vectors=False), b.SPLIT)[0].groupBy(*FOREST).agg(
+        F.min("Pickup_Count").alias("low"), F.max("Pickup_Count").alias("high"))
+    return scored.join(before, list(FOREST)).groupBy(*FOREST).agg(
+        F.count("*").alias("scored"), F.bool_and((F.col("prediction") >= F.col("low") - 1e-9) & (
+            F.col("prediction") <= F.col("high") + 1e-9)).alias("within_labels"))
+
+
+@query
+def holidays(spark, sf):
+    """Holidays among all order dates, laid 27 years ahead to reach beyond 2021."""
+    day = F.date_add(F.to_date("o_orderdate"), 9862)
+    days = b.table(spark, sf, "orders").select(day.alias("day")).distinct()
+    return days.filter(tp.is_holiday(F.col("day"))).select("day")

@@ -13,14 +13,16 @@ from kerbside.operators.facts import FACT_KEY
 from kerbside.sizing import broadcast_if_bounded
 
 
-def district_features(facts: DataFrame, gaps: str = "drop") -> DataFrame:
+def district_features(
+    facts: DataFrame, gaps: str = "drop", hours: Sequence[int] = trailing.HOURS,
+) -> DataFrame:
     """Facts with the own, neighbour and city counts of the preceding hours.
 
     ``gaps="drop"`` keeps a row only if the district itself and some neighbour had
     counts in the preceding hour; ``gaps="zero"`` keeps every row and fills with 0.
     """
-    counted = trailing.with_trailing_counts(facts)
-    own = [c for c in trailing.trailing_columns() if "_Nyc_" not in c]
+    counted = trailing.with_trailing_counts(facts, hours=hours)
+    own = [c for c in trailing.trailing_columns(hours) if "_Nyc_" not in c]
     if gaps == "zero":
         return counted.fillna(0, own)
     if gaps != "drop":
@@ -51,7 +53,7 @@ def feature_table(
         # earlier rows must stay: the first hours of the calendar look back on them
         facts = facts.filter(F.col("Time") <= calendar.end)
 
-    rows = district_features(facts, gaps)
+    rows = district_features(facts, gaps, hours)
     city = trailing.city_trailing(facts, hours)
     if calendar is not None:
         rows, city = (d.filter(calendar.contains(F.col("Time"))) for d in (rows, city))

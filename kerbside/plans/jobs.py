@@ -29,7 +29,7 @@ from kerbside.models import score, train
 from kerbside.operators import enrichment, facts, heatmaps, sampling, stats, venues, weather
 from kerbside.operators.errors import district_errors
 from kerbside.plans.feature_table import feature_table
-from kerbside.session import build_session, materialize
+from kerbside.session import build_session, materialize, own_tables
 from kerbside.sources import events as event_files
 from kerbside.sources import tables
 from kerbside.sources import trips as trip_files
@@ -76,7 +76,7 @@ def run_features(spark, a) -> None:
     lists = spark.read.parquet(f"{a.events}/features")
     width = spark.read.parquet(f"{a.events}/venues").count()
     table = feature_table(
-        tables.read_by_month(spark, a.facts).drop("year", "month"), spark.read.parquet(a.weather),
+        tables.read_by_month(spark, a.facts), spark.read.parquet(a.weather),
         prep.venue_vectors(lists, width), _calendar(a), gaps=a.gaps, month_and_day=a.month_and_day)
     tables.write_by_month(table, a.out)
 
@@ -88,14 +88,15 @@ def run_districts(spark, a) -> None:
 
 def _prepared(spark, a) -> prep.Prepared:
     linear = a.kind == "linear"
-    table = tables.read_by_month(spark, a.features).drop("year", "month")
+    table = tables.read_by_month(spark, a.features)
     return prep.prepare(table, scale=linear, one_hot=linear, split=a.split, strict_reference=a.strict_reference)
 
 
 def run_train(spark, a) -> None:
     rows, = train.by_cell(_prepared(spark, a).train)
-    estimator = train.linear if a.kind == "linear" else lambda: train.forest(a.trees, a.depth, a.seed)
-    train.train_districts(rows, tables.district_list(spark, a.districts), estimator, a.models)
+    categorical = not a.numeric_categories
+    estimator = train.linear if a.kind == "linear" else lambda: train.forest(a.trees, a.depth, a.seed, categorical)
+    train.train_districts(rows, tables.district_list(spark, a.districts), estimator, a.models, categorical)
 
 
 def run_evaluate(spark, a) -> None:
@@ -109,7 +110,7 @@ def run_evaluate(spark, a) -> None:
 
 
 def run_importance(spark, a) -> None:
-    splits = forest_nodes.splits_by_level(forest_nodes.saved_nodes(spark, a.model))
+    splits = forest_nodes.splits_by_level(forest_nodes.saved_nodes(spark, a.model), a.max_level)
     forest_nodes.importance(splits, a.n).write.option("header", True).csv(a.out)
 
 
@@ -173,12 +174,16 @@ def parser() -> argparse.ArgumentParser:
     model(j)
     j.add_argument("--trees", type=int, default=5)
     j.add_argument("--depth", type=int, default=15)
+    j.add_argument("--numeric-categories", action="store_true",
+                   help="take categories as numbers, for districts with fewer rows than categories")
     j.add_argument("--seed", type=int, default=1234)
     j = job("evaluate", run_evaluate, "features", "models", "districts", "out")
     model(j)
     j.add_argument("--fraction", type=float, default=1.0)
     j.add_argument("--train-error", action="store_true")
-    job("importance", run_importance, "model", "out").add_argument("--n", type=int, default=20)
+    j = job("importance", run_importance, "model", "out")
+    j.add_argument("--n", type=int, default=20)
+    j.add_argument("--max-level", type=int, help="leave out splits below this level")
     j = job("sample", run_sample, "csv", "percentage", "out")
     j.add_argument("--seed", type=int, default=1234)
     j = job("slice", run_slice, "trips", "out")
@@ -192,4 +197,6 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a = parser().parse_args(argv)
     if a.job == "sample":
         a.percentage = float(a.percentage)
-    a.run(spark or build_session(f"kerbside-{a.job}"), a)
+    spark = spark or build_session(f"kerbside-{a.job}")
+    with own_tables(spark):
+        a.run(spark, a)

@@ -40,10 +40,12 @@ KEY = "t as \"Time\", cast(la as double) / 100 as \"Lat\", cast(lo as double) /
 
 
 def _window_join(name: str, h: int, on: str, label: str) -> str:
+    when = ("o.t = f.t - interval 1 hour" if h == 1
+            else f"o.t between f.t - interval {h} hour and f.t - interval 1 hour")
     return f""", {name}_{h} as (
   select f.t, f.la, f.lo, cast(sum(o.p) as bigint) as "Pickup_Count_{label}_{h}h",
          cast(sum(o.d) as bigint) as "Dropoff_Count_{label}_{h}h"
-  from facts f join facts o on {on} and o.t between f.t - interval {h} hour and f.t - interval 1 hour
+  from facts f join facts o on {on} and {when}
   group by 1, 2, 3)"""
 
 
@@ -448,6 +450,15 @@ def oracle_sql() -> dict[str, str]:
         "select o_orderkey, o_orderdate from orders where cast(('0x' || substr(md5(o_orderkey || '|7'), 1, 8)) as bigint) "
         "/ 4294967296.0 < case when year(o_orderdate) = 1996 then 0.5 else 0.01 end")
 
+    rows = f"({sql['feature_table']})"
+    split = "timestamp '2024-01-24'"
+    sql["forest_structure"] = (
+        'select "Lat", "Lon", cast(5 as bigint) as trees, cast(5 as bigint) as leaves_over_inner, '
+        f'cast(5 as double) as root_score from {rows} where "Time" < {split} group by 1, 2')
+    sql["forest_scored_rows"] = (
+        f'select "Lat", "Lon", count(*) as scored, true as within_labels from {rows} where "Time" >= {split} '
+        f'and ("Lat", "Lon") in (select ("Lat", "Lon") from {rows} where "Time" < {split}) group by 1, 2')
+    sql["holidays"] = HOLIDAYS
     for name, columns in LINEAR_CHECK.items():
         sql[name] = columns
     return sql
@@ -469,6 +480,19 @@ def _sample(fraction: str, table: str) -> str:
             f"/ 4294967296.0 < {fraction}")
 
 
+#: The rules restated: weekday (Monday 1) and range of days, or fixed days with their first year.
+HOLIDAYS = """
+with days as (select distinct cast(o_orderdate as date) + 9862 as day from orders),
+fixed as (select * from (values (1, 1, 1), (6, 19, 2021), (7, 4, 1), (11, 11, 1), (12, 25, 1)) as f(m, n, since)),
+floating as (select * from (values (1, 1, 15, 21), (2, 1, 15, 21), (5, 1, 25, 31), (9, 1, 1, 7), (10, 1, 8, 14),
+  (11, 4, 22, 28)) as f(m, weekday, lo, hi))
+select day from days where
+  exists (select 1 from floating where month(day) = m and isodow(day) = weekday and day(day) between lo and hi)
+  or exists (select 1 from fixed where year(day) >= since and month(day) = m and day(day) = n)
+  or (isodow(day) = 5 and exists (select 1 from fixed where year(day + 1) >= since and month(day + 1) = m and day(day + 1) = n))
+  or (isodow(day) = 1 and exists (select 1 from fixed where year(day - 1) >= since and month(day - 1) = m and day(day - 1) = n))
+"""
+
 #: Least squares through the origin on two columns, in closed form.
 _NORMAL = SCORED.replace("cast(f.p as double) as label", "cast(f.p as double) as label, cast(hour(f.t) as double) as h")
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,20 +38,33 @@ def pin(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach; a local one only when none is named (tests)."""
+    """The folder all executors can reach, as the session names it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="kerbside-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named.rstrip("/")
+
+
+_written: list[str] = []
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten there."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the intermediate tables written to the shared folder within."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

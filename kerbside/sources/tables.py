@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,19 +12,32 @@ from kerbside.functions import geo
 #: Separator of prediction and error files.
 PAIR_SEPARATOR = ", "
 
+#: Columns of the directories of a table stored by month.
+MONTH_PARTS = ("in_year", "in_month")
+
 
 def write_by_month(df: DataFrame, path: str, time: str = "Time") -> None:
-    """Parquet with one directory per month, so that time ranges prune directories.
+    """Parquet with one directory per month, which ``read_by_month`` prunes by time.
 
     Rows are rebalanced by month: few files each, and a month that holds a third of the
-    rows is split between tasks.
+    rows is split between tasks. The directories' columns have names of their own, so that
+    features called ``Month`` or ``Year`` survive.
     """
-    parts = {"year": F.year(time), "month": F.month(time)}
+    parts = dict(zip(MONTH_PARTS, (F.year(time), F.month(time)), strict=True))
     df.withColumns(parts).hint("rebalance", *parts).write.partitionBy(*parts).parquet(path)
 
 
-def read_by_month(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_by_month(
+    spark: SparkSession, path: str, first: datetime | None = None, last: datetime | None = None, time: str = "Time",
+) -> DataFrame:
+    """The rows from ``first`` to ``last`` inclusive, from the directories of these months alone."""
+    rows = spark.read.parquet(path)
+    at = F.col(MONTH_PARTS[0]) * 12 + F.col(MONTH_PARTS[1])
+    if first is not None:
+        rows = rows.filter((at >= first.year * 12 + first.month) & (F.col(time) >= F.lit(first)))
+    if last is not None:
+        rows = rows.filter((at <= last.year * 12 + last.month) & (F.col(time) <= F.lit(last)))
+    return rows.drop(*MONTH_PARTS)
 
 
 def read_districts(spark: SparkSession, path: str) -> DataFrame:

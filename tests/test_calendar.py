@@ -13,6 +13,7 @@ def nth(year, month, weekday, n):
 
 def us_holidays(year, observed):
     fixed = [date(year, 1, 1), date(year, 7, 4), date(year, 11, 11), date(year, 12, 25)]
+    fixed += [date(year, 6, 19)] if year >= 2021 else []  # signed into law that year
     days = {nth(year, 1, 0, 2), nth(year, 2, 0, 2), nth(year, 5, 0, -1), nth(year, 9, 0, 0), nth(year, 10, 0, 1),
             nth(year, 11, 3, 3), *fixed}
     if observed:

@@ -129,3 +129,12 @@ def test_pipeline(spark):
         ("9", "2014-01-01T10:00:00", -1.0, 42.0)]
     strict = enrichment.enrich_events(events, venues, codes, strict_reference=True)
     assert {r.end_date for r in strict.collect()} == {"2014-01-01T08:00:00"}
+
+
+def test_matches_at_any_latitude(spark):
+    """A degree of longitude is short far north: 0.0012 of it are 46 m at latitude 70."""
+    places = spark.createDataFrame([(70.0, 25.0), (-70.0, 25.0), (40.0, 25.0), (None, 1.0)], "lat double, lng double")
+    venues = spark.createDataFrame(
+        [("n", 70.0, 25.0012), ("s", -70.0, 25.0012), ("e", 40.0, 25.0012)], "id string, lat double, lon double")
+    assert tuples(enrichment.nearest_venues(places, venues), "lat", "venue_id") == [(-70.0, "s"), (70.0, "n")]
+    assert enrichment.nearest_venues(places.limit(0), venues).count() == 0

@@ -61,12 +61,13 @@ def test_whole_pipeline(spark, folder):
     listed = tables.district_list(spark, p("districts"))
     assert len(listed) == 2
     for kind in ("random_forest", "linear"):
-        main(["train", p("features"), p("models", kind), p("districts"), "--kind", kind, "--trees", "2", "--depth", "3"], spark)
+        main(["train", p("features"), p("models", kind), p("districts"), "--kind", kind, "--trees", "2", "--depth", "3",
+              "--numeric-categories"], spark)
         main(["evaluate", p("features"), p("models", kind), p("districts"), p("result", kind), "--kind", kind], spark)
         errors = tables.read_errors(spark, p("result", kind, "errors"))
         assert tuples(errors, "Lat", "Lon") == sorted(listed, key=repr)
         scored = tables.read_predictions(spark, p("result", kind, "predictions"))
-        assert scored.count() == features.filter("year = 2015").join(
+        assert scored.count() == features.filter("in_year = 2015").join(
             spark.createDataFrame(listed, "Lat double, Lon double"), ["Lat", "Lon"]).count()
     lat, lon = listed[0]
     main(["importance", p("models", "random_forest", f"model_{lat}_{lon}"), p("importance")], spark)

@@ -101,7 +101,7 @@ def test_train_save_load_score(spark, features, tmp_path):
     rows, held_out = train.by_cell(p.train, p.test)
     listed = [(40.70, -74.0), (40.71, -74.0)]
     train.train_districts(rows, listed, train.linear, str(tmp_path))
-    assert sorted(x.name for x in tmp_path.iterdir()) == ["model_40.71_-74.0", "model_40.7_-74.0"]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["model_40.71_-74.0", "model_40.7_-74.0", "settings"]
     models = score.load_models(str(tmp_path), "linear", listed)
     assert all(m.intercept == 0.0 for m in models.values())
     got = score.evaluate(held_out, models)
@@ -109,11 +109,31 @@ def test_train_save_load_score(spark, features, tmp_path):
     assert 0 < score.score_districts(held_out, models, 0.5).count() < held_out.count()
 
 
-def test_forests_of_short_districts(spark, features):
+def test_forests_of_short_districts(spark, features, tmp_path):
     p = prepare.prepare(features, scale=False, one_hot=False, split=SPLIT)
     rows, = train.by_cell(p.train)  # 240 rows per district: fewer than days of a year
-    model = train.train_districts(rows, [(40.70, -74.0)], lambda: train.forest(trees=2, depth=3))[40.70, -74.0]
+    listed, estimator = [(40.70, -74.0)], lambda: train.forest(2, 3, categorical=False)
+    model = train.train_districts(rows, listed, estimator, str(tmp_path), categorical=False)[40.70, -74.0]
     assert model.getNumTrees == 2
+    assert not spark.read.json(str(tmp_path / "settings")).first().categorical
+    with pytest.raises(ValueError, match="4070"):
+        train.train_districts(rows, listed, lambda: train.forest(2, 3))
+
+
+def test_linear_fit_solves_its_equations(spark, features):
+    """Residuals are orthogonal to every column that varies, but for the ridge term, which
+    weighs coefficients by their column's variance."""
+    p = prepare.prepare(features, split=SPLIT)
+    rows, = train.by_cell(p.train)
+    own = train.rows_of(rows, 40.70, -74.0)
+    model = train.train_districts(rows, [(40.70, -74.0)], train.linear)[40.70, -74.0]
+    data = model.transform(own).select("features", "label", "prediction").collect()
+    residual = sum((r.features.toArray() * (r.label - r.prediction) for r in data)) / len(data)
+    variance = np.var([r.features.toArray() for r in data], axis=0, ddof=1)
+    weighted = variance * model.coefficients.toArray()
+    ridge = (residual @ weighted) / (weighted @ weighted)
+    assert 0 < ridge <= train.RIDGE
+    assert abs(residual - ridge * weighted)[variance > 0].max() < 1e-6
 
 
 NODES = "tree int, node int, left int, right int, feature int, prediction double"
@@ -140,6 +160,15 @@ def test_levels_and_importance(spark):
     assert [r.feature for r in forest.named(forest.importance(splits), list("abcdefgh")).collect()] == ["d", "h", "f"]
 
 
-def test_deep_nodes_are_left_out(spark):
+def test_every_level_counts(spark):
+    """A tree that is one long chain: node 2k splits into leaf 2k + 1 and node 2k + 2."""
+    depth = 30
+    rows = [(0, 2 * k, 2 * k + 1, 2 * k + 2, k % 4, 0.0) for k in range(depth)]
+    rows += [(0, n, None, None, None, 1.0) for n in [*range(1, 2 * depth, 2), 2 * depth]]
+    splits = forest.splits_by_level(spark.createDataFrame(rows, NODES))
+    assert tuples(splits) == sorted(((0, k % 4, k) for k in range(depth)), key=repr)
+
+
+def test_deep_nodes_are_left_out_on_request(spark):
     assert tuples(forest.splits_by_level(hand_built(spark), max_level=1)) == [
         (0, 3, 1), (0, 7, 0), (1, 3, 0), (1, 3, 1), (1, 5, 1)]
