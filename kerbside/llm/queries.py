@@ -85,3 +85,116 @@ ranked as (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
 select query_id, cast(place as int) as rank, vec_id, score from ranked where place <= 10
 """
+
+
+#: What the contract calls a word, and the separators that a menu has.
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_PHRASES = "|".join(quality.BOILERPLATE)
+
+SQL["op2_quality_rules"] = rf"""
+with texts as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+lines as (
+  select k, line, regexp_extract_all(line, '{_WORD}') as lw
+  from (select k, unnest(string_split(text, chr(10))) as line from texts)),
+counted as (
+  select k, line, len(lw) as words, length(array_to_string(lw, '')) as chars,
+    length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as symbols,
+    length(regexp_replace(line, '[^!?]', '', 'g')) as shouts,
+    len(list_filter(lw, lambda x: x in ('|', '»', '›', '•', '·', '>', '/'))) as items,
+    regexp_matches(line, '{_PHRASES}', 'i') as stock
+  from lines where len(lw) > 0),
+judged as (
+  select *, (items >= 3 and 5 * items >= words) or (10 * symbols > chars and symbols >= 3)
+    or (shouts >= 4 and 2 * shouts > words) or stock as failed from counted),
+per_text as (
+  select k, count(*) - count(distinct line) as n_dup_lines, count(*) filter (where failed) as n_failed_lines,
+    coalesce(sum(chars) filter (where failed), 0) as lost_chars from judged group by 1),
+windows as (
+  select k, i, array_to_string(w[i:i + 7], ' ') as win
+  from (select k, w, unnest(range(1, len(w) - 6)) as i from texts where len(w) >= 8)),
+often as (select k, i from windows qualify count(*) over (partition by k, win) > 1),
+repeated as (
+  select k, count(distinct i + j) as n_repeat_words from often, (select unnest(range(0, 8)) as j) group by 1),
+base as (
+  select t.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+    cast(coalesce(n_failed_lines, 0) as bigint) as n_failed_lines, cast(coalesce(lost_chars, 0) as bigint) as lost_chars
+  from texts t left join per_text using (k) left join repeated using (k))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * lost_chars <= 50 * word_chars as kept from base
+"""
+
+
+def _spans_sql(number: int, kind: secrets.Kind, pattern: str, also: str = "true") -> str:
+    """Matches of one kind with their places: the lengths of what lies between them, added up."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  select k, {number} as kind, length(v[i]) as size, v[i] as value,
+    cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as int) as start,
+    length(m[i]) as span
+  from (select *, unnest(range(1, len(m) + 1)) as i from (
+    select k, regexp_extract_all(text, '{pattern}', 0) as m, regexp_extract_all(text, '{pattern}', {kind.value}) as v,
+      string_split_regex(text, '{pattern}') as g from texts where regexp_matches(text, '{pattern}')))
+  where length(v[i]) >= {kind.least} and {also}"""
+
+
+#: The last weak kind without looking around: a run is whole anyway, what it must hold is asked after.
+_RUN = r"[A-Za-z0-9+/_-]{32,}"
+_MIXED = " and ".join(f"regexp_matches(substr(m[i], 1, 201), '{c}')" for c in ("[a-z]", "[A-Z]", "[0-9]"))
+_BASE_KINDS = len(secrets.BASE)
+
+SQL["op3_secret_scan"] = f"""
+with texts as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as text, coalesce(source, chr(0)) as owner,
+    coalesce(cast(doc_id as varchar), '') as repository from documents),
+found as ({" union all ".join(
+    _spans_sql(n, kind, _RUN if kind.name == "opaque" else kind.pattern, _MIXED if kind.name == "opaque" else "true")
+    for n, kind in enumerate(secrets.KINDS))}),
+spans as (select k, kind, start, start + span as stop, value from found),
+alone as (
+  select * from spans s where kind < {_BASE_KINDS} or not exists (
+    select 1 from spans b where b.k = s.k and b.kind < {_BASE_KINDS} and s.start < b.stop and b.start < s.stop)),
+candidates as (
+  select * from alone s where kind < {_BASE_KINDS} or not exists (
+    select 1 from alone e where e.k = s.k and e.kind >= {_BASE_KINDS} and e.kind < s.kind and s.start < e.stop and e.start < s.stop)),
+owned as (
+  select value, count(distinct owner) as owners, count(distinct owner || chr(1) || repository) as repositories
+  from candidates join texts using (k) group by 1),
+judged as (
+  select *, owners < {secrets.EXAMPLE_OWNERS} and repositories < {secrets.EXAMPLE_REPOSITORIES} as live,
+    {list(k.name for k in secrets.KINDS)}[kind + 1] || ':' || start || ':' || stop as item
+  from candidates join owned using (value)),
+kept as (select * from judged where kind < {_BASE_KINDS} or live),
+per_text as (
+  select k, {", ".join(f"count(*) filter (where kind = {n}) as n_{kind.name}" for n, kind in enumerate(secrets.BASE))},
+    string_agg(item, ',' order by start, kind) filter (where kind < {_BASE_KINDS}) as base,
+    string_agg(item, ',' order by start, kind) as spans,
+    count(*) filter (where live) as n_live, count(*) filter (where not live) as n_example
+  from kept group by 1)
+select doc_id, {", ".join(f"coalesce(n_{kind.name}, 0) as n_{kind.name}" for kind in secrets.BASE)},
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
+from texts left join per_text using (k)
+"""
+
+
+SQL["op4_ngram_jaccard"] = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents),
+sets as (
+  select doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words),
+members as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select a.doc_id as x, b.doc_id as y from members a join members b
+    on a.shingle = b.shingle and a.doc_id <> b.doc_id and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (select doc_id as x, doc_id as y from sets union select r.x, l.y from reach r join links l on r.y = l.x)
+select doc_id, cast(len(s) as bigint) as n_shingles, least_id as component_id
+from sets join (select x, min(y) as least_id from reach group by 1) on x = doc_id
+"""
