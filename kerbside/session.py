@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +34,25 @@ def build_session(app_name: str, master: str | None = None, **settings: str) ->
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python functions
+    import it, wherever the driver found it."""
+    root = Path(__file__).resolve().parents[1]
+    application = spark.sparkContext.applicationId
+    if application in _shipped or not root.is_dir():
+        return
+    _shipped.add(application)
+    folder = tempfile.mkdtemp(prefix="kerbside-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/kerbside", "zip", root, "kerbside"))
+
+
 def pin(spark: SparkSession) -> SparkSession:
     """Apply the job settings to a session somebody else created."""
+    ship_package(spark)
     for key, value in JOB_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
