@@ -38,7 +38,7 @@ SAMPLE_ROWS, SHARDS = 40_000, 4
 STEMS = (3, 4, 6)
 
 #: Rate, its smoothing, L1 and L2 of the updates; passes over a shard; the bias.
-ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.4, 0.1, 3
+ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 2.0, 0.1, 3
 
 _PUNCTUATION = ".,!?;:#*$%&|<>\"'()[]{}=+~`^@/\\-_"
 
