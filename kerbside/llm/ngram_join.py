@@ -334,7 +334,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, digest, component_id`` per row of ``docs``."""
+    """``doc_id, text_hash, n_shingles, digest, root, component_id`` per row of ``docs``.
+
+    ``root`` is the least digest of a component and its identity; ids may be null or repeated.
+    """
     spark: SparkSession = docs.sparkSession
     table = _write_sets(docs, words)
     sets = table.filter("token is null").drop("token", "count")
@@ -352,18 +355,18 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         "digest", F.coalesce("root", "digest").alias("root"), "least_id")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = spark.read.parquet(write_table(
-        rooted.join(least, "root").select("digest", "component_id"), "set-components"))
+        rooted.join(least, "root").select("digest", "root", "component_id"), "set-components"))
     linked = sets.filter("digest is not null").join(named, "digest")
-    alone = sets.filter("digest is null").withColumn("component_id", F.col("doc_id"))
+    alone = sets.filter("digest is null").withColumn("root", F.lit(None).cast("binary")).withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone).select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest", "component_id")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows, all columns as they are, of the least document of each component. Documents
     without words are linked with nothing and stay."""
-    found = join_components(docs).filter("digest is not null")
-    per_component = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    found = join_components(docs, words, percent).filter("digest is not null")
+    per_component = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     chosen = per_component.select("first.*")
     repeats = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_rows"))
     same = chosen["doc_id"].eqNullSafe(repeats["doc_id"]) & (chosen["text_hash"] == repeats["text_hash"])

@@ -85,6 +85,13 @@ def test_keep_one(spark):
     assert J.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_unlike_texts_without_own_ids(spark):
+    rows = [(None, "the first text has no id"), (None, "another one has none either"), (None, "another one has none either"),
+            (7, "these are words of a text"), (7, "its id is used for this too")]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(set(rows), key=repr)
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (103, 102)]
     edges = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], "a binary, b binary")
