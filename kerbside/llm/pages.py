@@ -2,18 +2,20 @@
 
 A token is an opening tag together with the tags above it. Over all pages of a host each
 token has an occurrence vector: how often it occurs in every page. Tokens with equal vectors
-form a class; a class is valid if it occurs in most pages of the host. Tokens that occur
-exactly once in every page that has the class are the frame of the template, repeated ones
-(items of a list, paragraphs) nest in the frame token above them. The slots between are
-where pages differ. The slot that holds most of a host's varying text, as deep as it goes,
-is its article slot; slots inside it whose text never changes are template text too.
-
-Vectors are compared by a checksum over pages, so a host's statistics are one aggregate
-that combines on the map side, however many of all pages a host has. A page of a host with
-too few pages for statistics, or without the host's article slot, is read by its own marks:
-its ``article`` or ``main`` element, else the body. Elements that never hold main text
-(menus, headers, footers, sidebars, forms, scripts, styles, adverts, notices, comments, by
-tag, role, class or id) are left out of any slot.
+form a class; a class is valid if it occurs in most pages of the host. Tokens that occur exactly once in every page that has the class
+are the frame of the template, repeated ones (items of a list, paragraphs) nest in the frame
+token above them. The slots between are where pages differ. The article slot is the
+deepest frame token with most of the varying text. An element inside it whose whole text is the same in all pages
+that have it is template text, whatever the number of pages, if these differ otherwise.
+
+Statistics are aggregates that combine on the map side, vectors and orders as checksums.
+Class names tell tokens apart only if most pages of a host have them, and tokens too rare for
+a valid class go before a host's tokens are gathered, so what is gathered is bounded by the
+tokens of a page, however many pages a host has. A page of a host with too few pages for
+statistics, or without the host's article slot, is read by its own marks: its ``article`` or
+``main`` element, else the body. Elements that never hold main text (menus, headers, footers,
+sidebars, forms, scripts, styles, adverts, notices, comments, by tag, role, class or id) are
+left out of any slot.
 
 Cases: a null or empty html gives an empty text, and so does one without text in its slot.
 A null url counts as a host of its own. Repeated rows are pages like others. Unclosed and
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import map_batches, write_table
 from kerbside.sizing import BROADCAST_LIMIT_BYTES
 
-#: Pages a host needs for statistics, and the share of them in which a valid class occurs.
+#: Pages a host needs for statistics, the share of them in which a valid token occurs.
 LEAST_PAGES, VALID_PERCENT = 3, 60
 
 #: Elements that can be a slot, and the pages from which on an unchanging one is template text.
@@ -94,10 +96,27 @@ def _outside(name: str, attributes: dict[str, str]) -> bool:
     return any(OUTSIDE_NAMES.search(attributes[a]) for a in ("class", "id", "role") if attributes.get(a))
 
 
-def events(page: str) -> Iterator[tuple[str, tuple[Open, ...] | str]]:
+def _label(name: str, attributes: dict[str, str]) -> str:
+    classes = attributes.get("class", "").split()
+    return name + ("." + classes[0] if classes else "")
+
+
+def page_labels(page: str | None) -> set[str]:
+    """The labels with a class of a page's elements."""
+    found = set()
+    for m in _TOKEN.finditer(page or ""):
+        if m["name"] and not m["end"] and "class" in m["rest"].lower():
+            label = _label(m["name"].lower(), _attributes(m["rest"]))
+            if "." in label:
+                found.add(label)
+    return found
+
+
+def events(page: str, labels: frozenset[str] | None = None) -> Iterator[tuple[str, tuple[Open, ...] | str]]:
     """``("open", stack)`` and ``("close", stack)`` around elements, ``("text", text)`` between.
 
-    A stack has ``path, name, outside`` per open element.
+    A stack has ``path, name, outside`` per open element. Classes are part of a path if their
+    label is in ``labels``, all of them without.
     """
     stack: list[Open] = []
     at = 0
@@ -128,7 +147,9 @@ def events(page: str) -> Iterator[tuple[str, tuple[Open, ...] | str]]:
             if inner in BLOCKS and inner != "p":
                 break
         attributes = _attributes(m["rest"])
-        label = name + ("." + attributes["class"].split()[0] if attributes.get("class", "").split() else "")
+        label = _label(name, attributes)
+        if labels is not None and label not in labels:
+            label = name
         parent = stack[-1][0] if stack else ""
         path = f"{parent}>{label}" if len(stack) < DEPTH else parent
         outside = _outside(name, attributes) or bool(stack) and stack[-1][2]
@@ -155,103 +176,145 @@ def _plain(pieces: list[str]) -> str:
     return " ".join(html.unescape("".join(pieces)).split())
 
 
-def page_tokens(page: str | None) -> dict[str, tuple[str, int, int, int]]:
-    """Per token (path): its parent, occurrences, characters of text right inside it and a
-    checksum of that text. Elements that are outside of main text are not entered."""
+def page_tokens(page: str | None, labels: frozenset[str] | None = None) -> dict[str, tuple[int, int, int]]:
+    """Per token (path) in the order of their first occurrence: occurrences, characters of all
+    text in it and a checksum of that text. Elements that are outside of main text are not
+    entered."""
     found: dict[str, list] = {}
-    current: str | None = None
-    skip = False
-    for kind, value in events(page or ""):
+    stack: tuple[Open, ...] = ()
+    for kind, value in events(page or "", labels):
         if kind == "text":
-            if current is not None and not skip and value.strip():
-                entry = found[current]
-                entry[2] += len(value)
-                entry[3].append(value)
+            if not (stack and stack[-1][2]) and (words := value.split()):
+                piece = " ".join(words)
+                for path in {e[0] for e in stack}:
+                    entry = found[path]
+                    entry[1] += len(piece)
+                    entry[2].update(piece + "\n")
             continue
-        if kind == "open":
-            path, _, skip = value[-1]
-            if not skip:
-                parent = value[-2][0] if len(value) > 1 else ""
-                found.setdefault(path, [parent, 0, 0, []])[1] += 1
-            current = path
-        else:
-            current = value[-2][0] if len(value) > 1 else None
-            skip = value[-2][2] if len(value) > 1 else False
-        if current is not None and current not in found:
-            found.setdefault(current, ["", 0, 0, []])
-    return {p: (e[0], e[1], e[2], xxhash.xxh3_64_intdigest(_plain(e[3])) - (1 << 63)) for p, e in found.items() if e[1]}
+        stack = value if kind == "open" else value[:-1]
+        if kind == "open" and not value[-1][2]:
+            found.setdefault(value[-1][0], [0, 0, xxhash.xxh3_64()])[0] += 1
+    return {p: (n, chars, text.intdigest() - (1 << 63)) for p, (n, chars, text) in found.items()}
 
 
-_TOKENS = "host bigint, page bigint, path string, n int, chars bigint, text bigint"
+def _placed(pages: DataFrame, columns: str) -> DataFrame:
+    """``columns`` of the pages and their host."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
+    def address(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hosts = [_slot(host_of(u)) for u in batch.column("url").to_pylist()]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(hosts, pa.int64())], [*names, "host"])
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``host, slots``: per host the checksum of its article slot, then those of the slots
-    inside it that hold template text."""
+    return map_batches(pages.select(names), address, f"{columns}, host bigint")
+
+
+def _with_host(pages: DataFrame, hosts: DataFrame, size: int, how: str = "inner") -> DataFrame:
+    return pages.join(F.broadcast(hosts) if size <= BROADCAST_LIMIT_BYTES else hosts, "host", how)
+
+
+def _rows(rows: list[tuple], names: str, kinds: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names.split())
+
+
+def host_labels(placed: DataFrame) -> DataFrame:
+    """``host, total, labels`` of the hosts with enough pages: their number, and the labels with
+    a class that most of them have. Classes of single pages or sections tell no tokens apart."""
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for page, url, text in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html")), strict=True):
-            host = _slot(host_of(url))
-            rows.append((host, page, "", 1, 0, 0))
-            rows += [(host, page, p, n, chars, sum_) for p, (_, n, chars, sum_) in page_tokens(text).items()]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-            ["host", "page", "path", "n", "chars", "text"])
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            rows.append((host, ""))
+            rows += [(host, label) for label in page_labels(page)]
+        return _rows(rows, "host label", (pa.int64(), pa.string()))
+
+    counts = map_batches(placed, emit, "host bigint, label string").groupBy("host", "label").agg(F.count("*").alias("pages"))
+    counts = placed.sparkSession.read.parquet(write_table(
+        counts.filter((F.col("pages") * 100 >= VALID_PERCENT * LEAST_PAGES) | (F.col("label") == "")), "page-labels"))
+    totals = counts.filter((F.col("label") == "") & (F.col("pages") >= LEAST_PAGES)).select("host", F.col("pages").alias("total"))
+    kept = _with_host(counts.filter("label != ''"), totals, totals.count() * 32).filter(
+        F.col("pages") * 100 >= VALID_PERCENT * F.col("total"))
+    kept = kept.groupBy("host").agg(F.collect_list("label").alias("labels"))
+    return totals.join(kept, "host", "left").select(
+        "host", "total", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
 
-    marked = pages.select(F.xxhash64("page_id", "url", "html").alias("page"), "url", "html")
-    tokens = map_batches(marked, emit, _TOKENS).groupBy("host", "path").agg(
+
+def templates(pages: DataFrame) -> DataFrame:
+    """``host, labels, slots``: per host the labels that tell its tokens apart, the checksum of
+    its article slot, then those of the slots inside it that hold template text."""
+    spark = pages.sparkSession
+    placed = _placed(pages, "html string, url string").drop("url")
+    hosts = spark.read.parquet(write_table(host_labels(placed), "page-hosts"))
+    size = hosts.agg(F.sum(F.size("labels") * 32 + 64)).first()[0] or 0
+
+    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for host, number, page, labels in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html", "labels")), strict=True):
+            found = page_tokens(page, frozenset(labels))
+            whole = _slot(str(found))
+            rows.append((host, number, "", 1, 0, 0, whole))
+            rows += [(host, number, p, *entry, whole) for p, entry in found.items()]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return _rows(rows, "host page path n chars text whole", kinds)
+
+    numbered = _with_host(placed, hosts, size).withColumn("page", F.monotonically_increasing_id())
+    tokens = map_batches(
+        numbered, emit, "host bigint, page bigint, path string, n int, chars bigint, text bigint, whole bigint",
+    ).groupBy("host", "path").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.max("n").alias("most"), F.sum("chars").alias("chars"),
-        (F.min("text") == F.max("text")).alias("constant"))
-    classes = tokens.groupBy("host", "vector").agg(F.collect_list(F.struct(
-        "path", "pages", "most", "chars", "constant")).alias("members"))
-    hosts = classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members"))
-
+        ((F.min("text") == F.max("text")) & (F.min("whole") != F.max("whole"))).alias("constant"))
+    tokens = _with_host(tokens, hosts.select("host", "total"), size).filter(F.col("pages") * 100 >= VALID_PERCENT * F.col("total"))
+    tokens = tokens.groupBy("host").agg(F.collect_list(F.struct(
+        "path", "pages", "vector", "most", "chars", "constant")).alias("members"))
+    tokens = spark.read.parquet(write_table(tokens.join(hosts.select("host", "labels"), "host"), "page-classes"))
     def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, slots = [], []
-        for host, members in zip(batch.column("host").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            found = article_slot(members)
-            if found:
-                kept.append(host)
-                slots.append([_slot(p) for p in found])
-        return pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["host", "slots"])
+        rows: list[tuple] = []
+        for host, labels, members in zip(*(batch.column(c).to_pylist() for c in ("host", "labels", "members")), strict=True):
+            if found := article_slot(members):
+                rows.append((host, labels, [_slot(p) for p in found]))
+        return _rows(rows, "host labels slots", (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))
+
+    return map_batches(tokens, choose, "host bigint, labels array<string>, slots array<bigint>")
+
 
-    return map_batches(hosts, choose, "host bigint, slots array<bigint>")
+def _above(path: str) -> list[str]:
+    """The paths of the elements around an element, outermost first."""
+    parts = path.split(">")
+    return [">".join(parts[:k]) for k in range(2, len(parts))]
 
 
 def article_slot(members: list[dict]) -> list[str]:
-    """The article slot of a host's tokens and the template slots inside it; none if the host
-    has too few pages. ``members`` has ``path, pages, most, chars, constant`` per token; the
-    empty path stands for the page itself."""
+    """The article slot of a template and the template slots inside it; none if the host has too
+    few pages. ``members`` has ``path, pages, most, chars, constant`` per token, of all text in
+    it; the empty path stands for the page itself.
+
+    """
     total = next((m["pages"] for m in members if not m["path"]), 0)
     if total < LEAST_PAGES:
         return []
     valid = {m["path"]: m for m in members if m["path"] and 100 * m["pages"] >= VALID_PERCENT * total}
 
-    def container(path: str) -> bool:
-        return path.rsplit(">", 1)[-1].split(".")[0] in CONTAINERS
-
-    fixed = {p for p, m in valid.items() if m["constant"] and m["chars"] and m["pages"] >= FIXED_PAGES and container(p)}
-    inside: dict[str, int] = {}
-    for m in members:
-        if m["path"] and m["path"] not in fixed:
-            parts = m["path"].split(">")
-            for k in range(2, len(parts) + 1):
-                prefix = ">".join(parts[:k])
-                inside[prefix] = inside.get(prefix, 0) + m["chars"]
-    everything = sum(m["chars"] for m in members if m["path"] and m["path"] not in fixed)
-    frame = [p for p, m in valid.items() if m["most"] == 1 and everything and container(p)
-             and 100 * inside.get(p, 0) >= SLOT_PERCENT * everything and p not in fixed]
+    def name(path: str) -> str:
+        return path.rsplit(">", 1)[-1].split(".")[0]
+
+    fixed = {p for p, m in valid.items() if m["constant"] and m["chars"] and m["pages"] >= FIXED_PAGES and name(p) in CONTAINERS}
+    varying = {p: m["chars"] for p, m in valid.items()}
+    for p in fixed:
+        if not fixed.intersection(_above(p)):
+            for q in (*_above(p), p):
+                if q in varying:
+                    varying[q] -= valid[p]["chars"]
+    frame = [p for p, m in valid.items() if m["most"] == 1 and varying[p] > 0 and name(p) in CONTAINERS]
     if not frame:
         return []
-    slot = max(frame, key=lambda p: (p.count(">"), p))
+    everything = max(varying[p] for p in frame)
+    slot = max((p for p in frame if 100 * varying[p] >= SLOT_PERCENT * everything), key=lambda p: (p.count(">"), p))
     return [slot] + sorted(p for p in fixed if p.startswith(slot + ">"))
 
 
-def main_text(page: str | None, slots: list[int] | None) -> str:
+def main_text(page: str | None, slots: list[int] | None, labels: frozenset[str] | None = None) -> str:
     """Blocks of the article slot (or, without one, of the page's own marks), one per line."""
-    parsed = list(events(page or ""))
+    parsed = list(events(page or "", labels))
     paths = {v[-1][0] for k, v in parsed if k == "open"}
     names = {v[-1][1] for k, v in parsed if k == "open" and not v[-1][2]}
     known = {p: _slot(p) for p in paths} if slots else {}
@@ -302,20 +365,12 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     found = spark.read.parquet(write_table(templates(source), "page-templates"))
-    size = found.agg(F.sum(F.size("slots") * 8 + 64)).first()[0] or 0
-
-    def address(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts = [_slot(host_of(u)) for u in batch.column("url").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("page_id", "url", "html")], pa.array(hosts, pa.int64())],
-            ["page_id", "url", "html", "host"])
-
-    placed = map_batches(source, address, "page_id bigint, url string, html string, host bigint")
-    slots = F.broadcast(found) if size <= BROADCAST_LIMIT_BYTES else found
-    joined = placed.join(slots, "host", "left").select("page_id", "url", "html", "slots")
+    size = found.agg(F.sum(F.size("slots") * 8 + F.size("labels") * 32 + 64)).first()[0] or 0
+    joined = _with_host(_placed(source, "page_id bigint, url string, html string"), found, size, "left")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(h, s) for h, s in zip(batch.column("html").to_pylist(), batch.column("slots").to_pylist(), strict=True)]
+        texts = [main_text(h, s, None if k is None else frozenset(k)) for h, s, k in zip(
+            *(batch.column(c).to_pylist() for c in ("html", "slots", "labels")), strict=True)]
         return pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

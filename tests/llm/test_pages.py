@@ -6,7 +6,7 @@ import re
 import pytest
 
 from conftest import SF
-from kerbside.llm.pages import article_slot, extract, host_of, main_text, page_tokens
+from kerbside.llm.pages import article_slot, extract, host_labels, host_of, main_text, page_tokens
 
 
 @pytest.mark.parametrize("page, text", [
@@ -58,6 +58,19 @@ def test_classes():
     assert page_tokens("<body><nav><p>x</p></nav><p>y</p></body>").keys() == {">body", ">body>p"}
 
 
+def texts_of(spark, bodies):
+    rows = [(k, f"http://h/{k}", f"<html><body><div class=top>Site</div>{b}</body></html>") for k, b in enumerate(bodies)]
+    return [r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_class_per_page(spark):
+    names = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    bodies = [f"<div class='post-{k}'><div class={n}><p>Text {k} of {n}</p></div></div>" for k, n in enumerate(names)]
+    assert texts_of(spark, bodies) == [f"Text {k} of {n}" for k, n in enumerate(names)]
+    placed = spark.createDataFrame([(1, b) for b in bodies], "host bigint, html string")
+    assert [tuple(r) for r in host_labels(placed).collect()] == [(1, 6, [])]
+
+
 def test_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     whole = {r.page_id: r.html for r in pages.collect()}
