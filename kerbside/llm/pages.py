@@ -39,9 +39,8 @@ from kerbside.sizing import BROADCAST_LIMIT_BYTES
 #: Pages a host needs for statistics, the share of them in which a valid token occurs.
 LEAST_PAGES, VALID_PERCENT = 3, 60
 
-#: Elements that can be a slot, and the pages from which on an unchanging one is template text.
+#: Elements that can be a slot.
 CONTAINERS = frozenset("body article main section div table td".split())
-FIXED_PAGES = 20
 
 #: The article slot holds at least this share of the host's varying text.
 SLOT_PERCENT = 70
@@ -297,7 +296,7 @@ def article_slot(members: list[dict]) -> list[str]:
     def name(path: str) -> str:
         return path.rsplit(">", 1)[-1].split(".")[0]
 
-    fixed = {p for p, m in valid.items() if m["constant"] and m["chars"] and m["pages"] >= FIXED_PAGES and name(p) in CONTAINERS}
+    fixed = {p for p, m in valid.items() if m["constant"] and m["chars"] and name(p) in CONTAINERS}
     varying = {p: m["chars"] for p, m in valid.items()}
     for p in fixed:
         if not fixed.intersection(_above(p)):

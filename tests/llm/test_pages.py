@@ -63,12 +63,18 @@ def texts_of(spark, bodies):
     return [r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
 
 
+@pytest.mark.parametrize("pages", [4, 19, 20])
+def test_label_above_varying_text(spark, pages):
+    got = texts_of(spark, [f"<div class=story>Story: <p>varying text {k}</p></div><div class=note>Same</div>" for k in range(pages)])
+    assert got == [f"Story:\nvarying text {k}" for k in range(pages)]
+
+
 def test_class_per_page(spark):
     names = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
-    bodies = [f"<div class='post-{k}'><div class={n}><p>Text {k} of {n}</p></div></div>" for k, n in enumerate(names)]
+    bodies = [f"<div class='post-{k}'><div class={n}><p>Text {k} of {n}</p></div></div><div class=end>Bye now</div>" for k, n in enumerate(names)]
     assert texts_of(spark, bodies) == [f"Text {k} of {n}" for k, n in enumerate(names)]
     placed = spark.createDataFrame([(1, b) for b in bodies], "host bigint, html string")
-    assert [tuple(r) for r in host_labels(placed).collect()] == [(1, 6, [])]
+    assert [tuple(r) for r in host_labels(placed).collect()] == [(1, 6, ["div.end"])]
 
 
 def test_all_pages(spark):
