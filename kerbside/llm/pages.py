@@ -4,8 +4,9 @@ A token is an opening tag together with the tags above it. Over all pages of a h
 token has an occurrence vector: how often it occurs in every page. Tokens with equal vectors
 form a class; a class is valid if it occurs in most pages of the host. Tokens that occur exactly once in every page that has the class
 are the frame of the template, repeated ones (items of a list, paragraphs) nest in the frame
-token above them. The slots between are where pages differ. The article slot is the
-deepest frame token with most of the varying text. An element inside it whose whole text is the same in all pages
+token above them. The slots between are where pages differ. The article slot is the smallest
+frame token around all slots with varying text; an ``article`` or ``main`` in the frame that
+holds most of it bounds it. An element inside it whose whole text is the same in all pages
 that have it is template text, whatever the number of pages, if these differ otherwise.
 
 Statistics are aggregates that combine on the map side, vectors and orders as checksums.
@@ -42,7 +43,7 @@ LEAST_PAGES, VALID_PERCENT = 3, 60
 #: Elements that can be a slot.
 CONTAINERS = frozenset("body article main section div table td".split())
 
-#: The article slot holds at least this share of the host's varying text.
+#: An ``article`` or ``main`` mark with this share of the host's varying text is its article slot.
 SLOT_PERCENT = 70
 
 #: Depth to which tokens are told apart.
@@ -287,6 +288,9 @@ def article_slot(members: list[dict]) -> list[str]:
     few pages. ``members`` has ``path, pages, most, chars, constant`` per token, of all text in
     it; the empty path stands for the page itself.
 
+    The slot is the smallest frame token that covers all varying text of the template (none if
+    no token does), or an ``article`` or ``main`` mark that holds most of it; it never lies
+    below such a mark.
     """
     total = next((m["pages"] for m in members if not m["path"]), 0)
     if total < LEAST_PAGES:
@@ -303,11 +307,15 @@ def article_slot(members: list[dict]) -> list[str]:
             for q in (*_above(p), p):
                 if q in varying:
                     varying[q] -= valid[p]["chars"]
-    frame = [p for p, m in valid.items() if m["most"] == 1 and varying[p] > 0 and name(p) in CONTAINERS]
+    frame = [p for p, m in valid.items() if m["most"] == 1 and varying[p] > 0 and name(p) in CONTAINERS | {"html"}]
     if not frame:
         return []
     everything = max(varying[p] for p in frame)
-    slot = max((p for p in frame if 100 * varying[p] >= SLOT_PERCENT * everything), key=lambda p: (p.count(">"), p))
+    marks = [p for k in ("article", "main") for p in sorted(frame, key=lambda p: (p.count(">"), p))
+             if name(p) == k and 100 * varying[p] >= SLOT_PERCENT * everything]
+    if not marks and sum(n for p, n in varying.items() if not valid.keys() & set(_above(p))) > everything:
+        return []
+    slot = marks[0] if marks else max((p for p in frame if varying[p] == everything), key=lambda p: (p.count(">"), p))
     return [slot] + sorted(p for p in fixed if p.startswith(slot + ">"))
 
 

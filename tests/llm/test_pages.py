@@ -63,6 +63,13 @@ def texts_of(spark, bodies):
     return [r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
 
 
+def test_whole_article(spark):
+    parts = "<h1>Title {0}</h1><div class=intro>Intro {0}</div><div class=body>" + "<p>Long story number {0} goes on.</p>" * 5 + "</div>"
+    want = [f"Title {k}\nIntro {k}\n" + "\n".join([f"Long story number {k} goes on."] * 5) for k in range(5)]
+    for around in ("<article>{}</article>", "<div class=box>{}</div>"):
+        assert texts_of(spark, [around.format(parts.format(k)) for k in range(5)]) == want
+
+
 @pytest.mark.parametrize("pages", [4, 19, 20])
 def test_label_above_varying_text(spark, pages):
     got = texts_of(spark, [f"<div class=story>Story: <p>varying text {k}</p></div><div class=note>Same</div>" for k in range(pages)])
