@@ -2,7 +2,9 @@
 
 A token is an opening tag together with the tags above it. Over all pages of a host each
 token has an occurrence vector: how often it occurs in every page. Tokens with equal vectors
-form a class; a class is valid if it occurs in most pages of the host. Tokens that occur exactly once in every page that has the class
+form a class. It is valid as a whole: if it occurs in most pages of the host, has more than
+one token, has them in one order in all pages, and nests: all its tokens lie in one slot of
+the classes of more pages. Tokens that occur exactly once in every page that has the class
 are the frame of the template, repeated ones (items of a list, paragraphs) nest in the frame
 token above them. The slots between are where pages differ. The article slot is the smallest
 frame token around all slots with varying text; an ``article`` or ``main`` in the frame that
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import map_batches, write_table
 from kerbside.sizing import BROADCAST_LIMIT_BYTES
 
-#: Pages a host needs for statistics, the share of them in which a valid token occurs.
-LEAST_PAGES, VALID_PERCENT = 3, 60
+#: Pages a host needs for statistics, the share of them in which a valid class occurs, and its size.
+LEAST_PAGES, VALID_PERCENT, LEAST_TOKENS = 3, 60, 2
 
 #: Elements that can be a slot.
 CONTAINERS = frozenset("body article main section div table td".split())
@@ -267,14 +269,40 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = tokens.groupBy("host").agg(F.collect_list(F.struct(
         "path", "pages", "vector", "most", "chars", "constant")).alias("members"))
     tokens = spark.read.parquet(write_table(tokens.join(hosts.select("host", "labels"), "host"), "page-classes"))
+    size = tokens.agg(F.sum(F.expr(
+        "64 + size(labels) * 32 + aggregate(members, 0L, (n, m) -> n + length(m.path) + 64)"))).first()[0] or 0
+
+    def orders(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for host, page, labels, members in zip(
+                *(batch.column(c).to_pylist() for c in ("host", "html", "labels", "members")), strict=True):
+            vectors = {m["path"]: m["vector"] for m in members if m["path"] and m["most"] == 1}
+            rows += [(host, v, order) for v, order in class_orders(page, frozenset(labels), vectors).items()]
+        return _rows(rows, "host vector seen", (pa.int64(), pa.int64(), pa.int64()))
+
+    several = tokens.withColumn("members", F.transform("members", lambda m: F.struct(m["path"], m["vector"], m["most"])))
+    mixed = map_batches(_with_host(placed, several, size), orders, "host bigint, vector bigint, seen bigint") \
+        .groupBy("host", "vector").agg((F.min("seen") != F.max("seen")).alias("mixed")).filter("mixed") \
+        .groupBy("host").agg(F.collect_list("vector").alias("mixed"))
+
     def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for host, labels, members in zip(*(batch.column(c).to_pylist() for c in ("host", "labels", "members")), strict=True):
-            if found := article_slot(members):
+        for host, labels, members, wrong in zip(
+                *(batch.column(c).to_pylist() for c in ("host", "labels", "members", "mixed")), strict=True):
+            if found := article_slot(template_members(members, set(wrong or ()))):
                 rows.append((host, labels, [_slot(p) for p in found]))
         return _rows(rows, "host labels slots", (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))
 
-    return map_batches(tokens, choose, "host bigint, labels array<string>, slots array<bigint>")
+    return map_batches(tokens.join(mixed, "host", "left"), choose, "host bigint, labels array<string>, slots array<bigint>")
+
+
+def class_orders(page: str | None, labels: frozenset[str] | None, vectors: dict[str, int]) -> dict[int, int]:
+    """Per class a checksum of the order in which the page has its tokens."""
+    order: dict[int, list[str]] = {}
+    for kind, value in events(page or "", labels):
+        if kind == "open" and not value[-1][2] and (vector := vectors.get(value[-1][0])) is not None:
+            order.setdefault(vector, []).append(value[-1][0])
+    return {v: _slot("\n".join(paths)) for v, paths in order.items()}
 
 
 def _above(path: str) -> list[str]:
@@ -283,6 +311,25 @@ def _above(path: str) -> list[str]:
     return [">".join(parts[:k]) for k in range(2, len(parts))]
 
 
+def template_members(members: list[dict], mixed: set[int]) -> list[dict]:
+    """The page itself and the tokens of the host's template: of the classes that have at least
+    ``LEAST_TOKENS`` tokens, always in one order (``mixed`` lists the others), and that nest,
+    all tokens in the same slot of the classes of more pages. Classes of repeated tokens nest
+    by the frame token above each."""
+    classes: dict[int, list[dict]] = {}
+    for m in members:
+        if m["path"]:
+            classes.setdefault(m["vector"], []).append(m)
+    template: dict[str, dict] = {}
+    for vector, tokens in sorted(classes.items(), key=lambda c: (-c[1][0]["pages"], c[1][0]["most"], -len(c[1]), c[0])):
+        if tokens[0]["most"] == 1:
+            slots = {next((p for p in reversed(_above(m["path"])) if p in template), "") for m in tokens}
+            if len(tokens) < LEAST_TOKENS or vector in mixed or len(slots) > 1:
+                continue
+        template |= {m["path"]: m for m in tokens}
+    return [m for m in members if not m["path"] or m["path"] in template]
+
+
 def article_slot(members: list[dict]) -> list[str]:
     """The article slot of a template and the template slots inside it; none if the host has too
     few pages. ``members`` has ``path, pages, most, chars, constant`` per token, of all text in

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from conftest import SF
-from kerbside.llm.pages import article_slot, extract, host_labels, host_of, main_text, page_tokens
+from kerbside.llm.pages import article_slot, extract, host_labels, host_of, main_text, page_tokens, template_members
 
 
 @pytest.mark.parametrize("page, text", [
@@ -84,6 +84,20 @@ def test_class_per_page(spark):
     assert [tuple(r) for r in host_labels(placed).collect()] == [(1, 6, ["div.end"])]
 
 
+def test_classes_are_valid_as_a_whole(spark):
+    def member(path, vector, pages=10, most=1):
+        return {"path": path, "pages": pages, "vector": vector, "most": most, "chars": 9, "constant": False}
+
+    page = [member("", 1), member(">body", 1), member(">body>div.a", 1), member(">body>div.a>p", 7, most=3)]
+    both, far, single = [member(">body>div.b", 2, 8), member(">body>div.b>td", 2, 8)], \
+        [member(">body>div.a>td", 3, 7), member(">body>td", 3, 7)], [member(">body>div.c", 4, 7)]
+    assert template_members(page + both + far + single, set()) == page + both
+    assert template_members(page + both, {2}) == page
+    pages = [("<div class=x>Same<p>s</p></div><div class=y>Like<p>l</p></div>", "Text"), ("<div class=y>Like<p>l</p></div><div class=x>Same<p>s</p></div>", "Text")]
+    got = texts_of(spark, [f"{pages[k % 2][0]}<p>Text {k}</p>" if k < 6 else f"<p>Text {k}</p>" for k in range(8)])
+    assert got == [("Same\ns\nLike\nl\n", "Like\nl\nSame\ns\n")[k % 2] * (k < 6) + f"Text {k}" for k in range(8)]
+
+
 def test_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     whole = {r.page_id: r.html for r in pages.collect()}
