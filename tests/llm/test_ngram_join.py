@@ -92,6 +92,12 @@ def test_keep_one_of_unlike_texts_without_own_ids(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted(set(rows), key=repr)
 
 
+def test_keep_one_by_other_values(spark):
+    text = [f"w{k}" for k in range(104)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:94] + ["other"] * 10))], "doc_id bigint, text string")
+    assert (J.keep_one(docs).count(), J.keep_one(docs, 5, 80).count()) == (2, 1)
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (103, 102)]
     edges = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], "a binary, b binary")
