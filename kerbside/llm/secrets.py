@@ -28,13 +28,15 @@ from kerbside.llm.common import write_table
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern; ``value`` is the group that holds the secret, ``least`` its least length."""
+    """A pattern; ``value`` is the group that holds the secret, ``least`` its least length,
+    ``holds`` what the whole secret must have in it, however long it is."""
 
     name: str
     pattern: str
     value: int = 0
     least: int = 1
     base: bool = True
+    holds: tuple[str, ...] = ()
 
 
 #: The base kinds, in the order in which ties of a start are listed. Runs of a
@@ -50,8 +52,7 @@ BASE = (
 WEAK = (
     Kind("prefixed", r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza)[A-Za-z0-9_-]{16,}", base=False),
     Kind("signed", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
-    Kind("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[a-z])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])"
-                   r"(?=[A-Za-z0-9+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{32,}", base=False),
+    Kind("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}", base=False, holds=("[a-z]", "[A-Z]", "[0-9]")),
 )
 
 KINDS = BASE + WEAK
@@ -81,7 +82,14 @@ def _spans_of(text: Column, k: int, kind: Kind) -> Column:
         F.slice(gaps, 1, F.size(matches)),
         lambda m, g: F.struct(m["match"].alias("match"), m["value"].alias("value"), g.alias("gap")))
     found = F.aggregate(rows, empty, step, lambda s: s["found"])
-    found = F.filter(found, lambda s: F.length(s["value"]) >= kind.least)
+
+    def counts(s: Column) -> Column:
+        fits = F.length(s["value"]) >= kind.least
+        for c in kind.holds:
+            fits = fits & s["value"].rlike(c)
+        return fits
+
+    found = F.filter(found, counts)
     return F.when(text.rlike(kind.pattern), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -173,8 +181,9 @@ MASK = "[SECRET]"
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The rows with every found secret in ``text`` replaced by ``mask``; all columns stay.
 
-    Rows without weak candidates need no verdict and are rewritten where they are. The few
-    others meet the verdicts on their values by id and text.
+    Verdicts come from the counts over all candidates, as in ``find_secrets``. Rows without weak
+    candidates need none and are rewritten where they are. The few others meet the verdicts on
+    their values by id and text.
     """
     spark, columns = docs.sparkSession, docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -183,7 +192,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     weak = F.exists(spans, lambda s: s["kind"] >= len(BASE))
     values = with_spans.select(
         F.col("source").cast("string").alias("owner"), F.col("doc_id").cast("string").alias("repository"),
-        F.explode(F.filter(spans, lambda s: s["kind"] >= len(BASE))).alias("s")) \
+        F.explode(spans).alias("s")) \
         .select("owner", "repository", F.sha2("s.value", 256).alias("digest"))
     live = spark.read.parquet(write_table(
         ownership(values).filter((F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES))

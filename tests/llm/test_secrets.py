@@ -72,6 +72,16 @@ def test_redaction(spark):
     assert texts[7] == "x" * 50000 + f" {MASK}' {MASK} " + "y" * 1000
 
 
+def test_long_runs_and_counts_over_all_candidates(spark):
+    late, shared = "abcDEF" * 60 + "7", "aB3" * 12
+    rows = [(1, late, "own")] + [(k, f"token = {shared}", f"owner{k}") for k in (2, 3, 4)] + [(5, shared, "owner5")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id: r.spans for r in secret_digests(find_secrets(docs)).collect()}
+    assert (found[1], found[5]) == (f"opaque:0:{len(late)}", "")
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert (got[1], got[5]) == (MASK, shared)
+
+
 def test_empty(spark):
     assert find_secrets(rows(spark).limit(0)).count() == 0
     assert redact(rows(spark).limit(0)).count() == 0
