@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.session import new_table_path, pin
 
-#: Rows handled at a time, so that a batch's results never pile up.
-SLICE_ROWS = 500
+#: Rows and about bytes handled at a time, so that a batch's results never pile up.
+SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
 
 #: Entries a worker's word cache holds before it starts anew.
 CACHE_ENTRIES = 500_000
@@ -32,11 +32,21 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``SLICE_ROWS`` rows, none of them empty."""
+def slices(
+    batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES,
+) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, none of them empty; a slice of several
+    rows holds at most ``size`` bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        todo = [(0, batch.num_rows)]
+        while todo:
+            at, n = todo.pop()
+            part = batch.slice(at, n)
+            if n > rows or n > 1 and part.nbytes > size:
+                half = min(rows, -(-n // 2))
+                todo += [(at + half, n - half), (at, half)]
+            elif n:
+                yield part
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:

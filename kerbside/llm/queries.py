@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm import bpe, language, ngram_join, packing, pages, quality, secrets, token_matrix, topk, toxicity
+from kerbside.llm import (
+    bpe, conversations, language, ngram_join, packing, pages, quality, secrets, token_counts, token_matrix, topk, toxicity,
+    variants,
+)
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +73,21 @@ def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.group_variants(variants.count_words(table(spark, sf, "documents")))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair_digests(conversations.damage(table(spark, sf, "conversations")))
+
+
 SQL["op8_exact_top_k"] = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
