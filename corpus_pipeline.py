@@ -3,6 +3,11 @@
 Every stage works on all rows that the one before kept and returns the columns of
 ``documents``; the last one returns pieces of packed sequences. Models are learned from the
 rows a stage receives.
+
+Cases: null and empty texts, and those without a letter, go at the first stage. Null and
+repeated ids are rows like others: of rows that are near-duplicates one stays, whatever its id.
+Texts of any length are handled whole. An empty table gives no pieces. Further columns pass
+through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates."""
-    return ngram_join.keep_one(docs)
+    """Keeps the document with the least id of each group of near-duplicates: documents that
+    share 80 % of their shingles of five words, or are linked by such ones."""
+    return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
