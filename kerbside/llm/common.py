@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from kerbside.session import new_table_path, pin
 #: Rows and about bytes handled at a time, so that a batch's results never pile up.
 SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
 
-#: Entries a worker's word cache holds before it starts anew.
-CACHE_ENTRIES = 500_000
+#: Entries a worker's word cache holds before it starts anew, and the longest word it holds.
+CACHE_ENTRIES, CACHED_BYTES = 100_000, 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,7 +37,8 @@ def slices(
     batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES,
 ) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, none of them empty; a slice of several
-    rows holds at most ``size`` bytes."""
+    rows holds at most ``size`` bytes. At the end of a partition free memory goes back to the
+    system: workers live on, and so would the largest size they have had."""
     for batch in batches:
         todo = [(0, batch.num_rows)]
         while todo:
@@ -47,6 +49,14 @@ def slices(
                 todo += [(at + half, n - half), (at, half)]
             elif n:
                 yield part
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
@@ -60,9 +70,11 @@ class WordHashes(dict):
     """64-bit hashes of words by lookup, a bounded number of them remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import WordHashes, raw_texts, sequence_hashes, write_table
+from kerbside.llm.common import WordHashes, raw_texts, sequence_hashes, slices, write_table
 
 WORDS, PERCENT = 4, 85
 
@@ -43,13 +43,16 @@ WORDS, PERCENT = 4, 85
 FREQUENT = 200_000
 
 #: Shingles counted at a time within a task; one counts as frequent there from this number on.
-CHUNK, OFTEN = 4_000_000, 3
+CHUNK, OFTEN = 1_000_000, 3
 
 #: A set joins its leader's group if that leads at least this share of its first shingles.
 LED_PERCENT = 20
 
 #: Members and shingles per block of an opened group.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 18
+
+#: Digests a task remembers, to pass over repeated texts.
+SEEN = 100_000
 
 
 def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -111,7 +114,7 @@ def _write_sets(docs: DataFrame, words: int) -> DataFrame:
             blank = [pa.nulls(len(tokens), k) for k in kinds[:5]]
             return pa.RecordBatch.from_arrays([*blank, pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names)
 
-        for b in batches:
+        for b in slices(batches):
             sizes, digests = [], []
             for text in raw_texts(b):
                 tokens = shingles(text, hashes, words)
@@ -119,7 +122,7 @@ def _write_sets(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(tokens))
                 digests.append(digest)
                 if digest is not None and digest not in seen:
-                    if len(seen) >= 500_000:
+                    if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(digest)
                     chunk.append(tokens)
@@ -152,14 +155,14 @@ def _shared_shingles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], w
     """``token, key, leader``: first shingles that at least two sets have among theirs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        for b in batches:
+        for b in slices(batches):
             firsts, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for text in raw_texts(b):
                 tokens, ordered = ordered_shingles(text, hashes, words, frequent)
                 digest = _digest(tokens)
                 if digest is None or digest in seen:
                     continue
-                if len(seen) >= 500_000:
+                if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(digest)
                 k = first_shingles(len(tokens), percent)
@@ -289,7 +292,7 @@ def _edges(docs: DataFrame, units: DataFrame, representatives: DataFrame, words:
             return pa.RecordBatch.from_arrays(
                 [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             names = zip(*(batch.column(c).to_pylist() for c in "gihj"), strict=True)
             for unit, text in zip(names, raw_texts(batch), strict=True):
                 if unit != current and sets:

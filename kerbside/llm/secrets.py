@@ -181,14 +181,15 @@ MASK = "[SECRET]"
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The rows with every found secret in ``text`` replaced by ``mask``; all columns stay.
 
-    Verdicts come from the counts over all candidates, as in ``find_secrets``. Rows without weak
-    candidates need none and are rewritten where they are. The few others meet the verdicts on
-    their values by id and text.
+    Verdicts come from the counts over all candidates, as in ``find_secrets``. Rows are written
+    once with their candidates, so that patterns are sought once. Rows without weak candidates
+    need no verdict; the few others meet those on their values.
     """
     spark, columns = docs.sparkSession, docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     spans, key = "_secret_spans", "_secret_key"
-    with_spans = docs.withColumn(spans, candidate_spans(F.col("text")))
+    with_spans = spark.read.parquet(write_table(
+        docs.withColumn(spans, candidate_spans(F.col("text"))).withColumn(key, F.monotonically_increasing_id()), "secret-rows"))
     weak = F.exists(spans, lambda s: s["kind"] >= len(BASE))
     values = with_spans.select(
         F.col("source").cast("string").alias("owner"), F.col("doc_id").cast("string").alias("repository"),
@@ -209,7 +210,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
         return F.when(F.size(found) > 0, merged).otherwise(F.col("text"))
 
     plain = with_spans.filter(~weak).withColumn("text", masked(F.col(spans))).select(columns)
-    doubtful = with_spans.filter(weak).withColumn(key, F.xxhash64("doc_id", "text"))
+    doubtful = with_spans.filter(weak)
     kept_live = (
         doubtful.select(key, F.explode(F.filter(spans, lambda s: s["kind"] >= len(BASE))).alias("s"))
         .select(key, F.sha2("s.value", 256).alias("digest")).distinct().join(live, "digest")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import CACHE_ENTRIES, sequence_hashes, slices
+from kerbside.llm.common import CACHE_ENTRIES, CACHED_BYTES, sequence_hashes, slices
 from kerbside.llm.language import held_out_rows
 from kerbside.sizing import broadcast_if_bounded
 
@@ -52,7 +52,9 @@ class _WordKeys(dict):
         w = word.strip(_PUNCTUATION)
         keys = [xxhash.xxh3_64_intdigest(w)] + [
             xxhash.xxh3_64_intdigest(f"{n} {w[:n]}") if len(w) >= n else 0 for n in STEMS]
-        self[word] = out = b"".join(k.to_bytes(8, "little") for k in keys)
+        out = b"".join(k.to_bytes(8, "little") for k in keys)
+        if len(word) <= CACHED_BYTES:
+            self[word] = out
         return out
 
 

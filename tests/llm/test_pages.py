@@ -41,7 +41,7 @@ def test_slot_of_a_host(spark):
     got = extract(docs).collect()
     assert len(got) == docs.count()
     texts = {r.page_id: r.text for r in got}
-    assert texts[3] == "\n".join(["Story number 3 says 21 things.", "More 3."] * 5)
+    assert texts[3] == "\n".join(["3", *["Story number 3 says 21 things.", "More 3."] * 5])
     assert (texts[100], texts[101], texts[102]) == ("alone", "", "no slot")
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract(docs.limit(0)).count() == 0

@@ -20,7 +20,7 @@ def test_stages(spark):
             assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} <= {
                 r.doc_id for r in identify(docs).collect() if r.lang_pred == "und" or r.score < 0.15}
         if name == "near_duplicates":
-            assert kept.count() == join_components(docs).select("component_id").distinct().count()
+            assert kept.count() == join_components(docs, 5, 80).select("component_id").distinct().count()
         if name == "secrets":
             assert kept.count() == docs.count()
             assert not any("token = \"" in r.text for r in kept.collect())
