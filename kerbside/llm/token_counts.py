@@ -43,7 +43,7 @@ from kerbside.llm.common import map_batches, slices, write_table
 from kerbside.llm.tokens import CUT
 
 #: A chunk holds at most so many documents, or about so many bytes of text.
-CHUNK_ROWS, CHUNK_BYTES = 4096, 4 << 20
+CHUNK_ROWS, CHUNK_BYTES = 16384, 16 << 20
 
 #: Pre-tokens joined by broadcast: so many at most, of so many bytes at most each.
 FREQUENT, FREQUENT_BYTES = 1 << 16, 128
