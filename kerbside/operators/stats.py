@@ -7,15 +7,13 @@ from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo
 from kerbside.functions import timeparts as tp
+from kerbside.operators import quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
-#: Value ranges are cut into this many buckets to find the ones that hold a quantile.
-QUANTILE_BUCKETS = 4096
 
 
 def time_histograms(df: DataFrame, time: str) -> DataFrame:
@@ -102,60 +100,19 @@ def _long(df: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(long: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
-    """``measure, probability, quantile`` with linear interpolation, exact at any size.
-
-    No task ever holds a measure's values. Equal values collapse into counts first; the
-    counts of equal-width buckets tell which bucket holds each wanted rank; only those
-    buckets are then ordered, each on its own.
-    """
-    counts = long.groupBy("measure", "value").agg(F.count("*").alias("n"))
-    span = counts.groupBy("measure").agg(
-        F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
-    width = (F.col("high") - F.col("low")) / QUANTILE_BUCKETS
-    bucket = F.when(width > 0, F.least(
-        F.floor((F.col("value") - F.col("low")) / width), F.lit(QUANTILE_BUCKETS - 1))).otherwise(0)
-    # one row per measure: the list of measures is part of the plan
-    placed = counts.join(F.broadcast(span), "measure").withColumn("bucket", bucket.cast("int"))
-
-    per_bucket = placed.groupBy("measure", "bucket").agg(F.sum("n").alias("in_bucket"))
-    before = W.partitionBy("measure").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = per_bucket.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-
-    rank = F.col("probability") * (F.col("total") - 1)
-    wanted = (
-        span.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("rank", rank)
-        .withColumn("position", F.explode(F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))))
-    )
-    # <= buckets x measures rows against <= 2 x probabilities rows per measure
-    holding = wanted.join(F.broadcast(starts), "measure").filter(
-        (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("in_bucket")))
-
-    needed = holding.select("measure", "bucket", "before").distinct()
-    upto = W.partitionBy("measure", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        placed.join(F.broadcast(needed), ["measure", "bucket"])
-        .withColumn("past", F.col("before") + F.sum("n").over(upto))
-        .select("measure", "bucket", "value", (F.col("past") - F.col("n")).alias("from_rank"), "past")
-    )
-    found = F.broadcast(holding.select("measure", "bucket", "probability", "rank", "position"))
-    hits = ranked.join(found, ["measure", "bucket"]).filter(
-        (F.col("position") >= F.col("from_rank")) & (F.col("position") < F.col("past")))
-    low, high = F.min("value"), F.max("value")
-    return hits.groupBy("measure", "probability").agg(
-        (low + (high - low) * (F.first("rank") - F.floor(F.first("rank")))).alias("quantile"))
+    """``measure, probability, quantile`` with linear interpolation, exact at any size."""
+    return quantiles.quantiles(quantiles.value_counts(long), probabilities)
 
 
 def describe(df: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """One row per measure: count, mean, std, min, quartiles, max; missing values skipped."""
-    long = _long(df, measures)
-    moments = long.groupBy("measure").agg(
-        F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    """One row per measure: count, mean, std, min, quartiles, max; missing values skipped. The
+    input is scanned once."""
+    counts = quantiles.value_counts(_long(df, measures))
     named = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
-    quartiles = exact_quantiles(long).groupBy("measure").agg(*[
+    quartiles = quantiles.quantiles(counts, QUARTILES).groupBy("measure").agg(*[
         F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in named.items()])
-    return moments.join(F.broadcast(quartiles), "measure").select(
+    # one row per measure on both sides
+    return quantiles.moments(counts).join(F.broadcast(quartiles), "measure").select(
         "measure", "count", "mean", "std", "min", *named.values(), "max")
 
 

@@ -90,6 +90,27 @@ def observations(spark: SparkSession, sf: str, folded: bool = True) -> DataFrame
         *[sentinel_to_null(F.col(m)).alias(m) for m in MEASURES])
 
 
+def daily_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """All nine daily measures, missing values as null."""
+    part, order, line = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    measures = {
+        "PRCP": (line == 7, F.col("l_quantity")), "SNWD": (part % 5 == 0, F.col("l_extendedprice")),
+        "SNOW": (part % 3 == 0, F.col("l_extendedprice") * F.col("l_tax")), "PSUN": (order % 4 == 0, order % 101),
+        "TSUN": (order % 6 == 0, order % 1441), "TMAX": (part % 8 == 0, part % 40),
+        "TMIN": (part % 9 == 0, part % 40 - order % 10), "TOBS": (line == 3, part % 40 - line), "AWND": (line == 1, F.col("l_discount"))}
+    raw = table(spark, sf, "lineitem").select(*[
+        F.when(missing, -9999.0).otherwise(value.cast("double")).alias(m) for m, (missing, value) in measures.items()])
+    return raw.select(*[sentinel_to_null(F.col(m)).alias(m) for m in measures])
+
+
+def hourly_precipitation(spark: SparkSession, sf: str) -> DataFrame:
+    """``HPCP`` of hourly measurements, missing values as null."""
+    key = F.col("o_orderkey")
+    raw = table(spark, sf, "orders").select(
+        F.when(key % 5 == 0, -9999.0).otherwise((F.col("o_totalprice") * (key % 3)).cast("double")).alias("HPCP"))
+    return raw.select(sentinel_to_null(F.col("HPCP")).alias("HPCP"))
+
+
 def city_events(spark: SparkSession, sf: str) -> DataFrame:
     """Flat events at twenty venues; some without a location, some without a venue score."""
     o = table(spark, sf, "orders")

@@ -218,7 +218,20 @@ def describe_station_counts(spark, sf):
 def describe_daily_std(spark, sf):
     spread = weather.daily_spread(b.observations(spark, sf, folded=False))
     described = stats.describe(rounded(spread, *weather.MEASURES), weather.MEASURES)
-    return rounded(described, "mean", "std", "min", "q25", "q50", "q75", "max")
+    return rounded(described, *SUMMARY)
+
+
+SUMMARY = ("mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+@query
+def describe_daily_measures(spark, sf):
+    return rounded(stats.describe(b.daily_summaries(spark, sf), weather_files.DAILY_MEASURES), *SUMMARY)
+
+
+@query
+def describe_hourly_precipitation(spark, sf):
+    return rounded(stats.describe(b.hourly_precipitation(spark, sf), ["HPCP"]), *SUMMARY)
 
 
 @query

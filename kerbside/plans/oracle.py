@@ -358,6 +358,18 @@ def oracle_sql() -> dict[str, str]:
         f"{past}, per_day as (select d, count(station) as station_count from obs group by 1)", "per_day", ["station_count"])
     spread = ", ".join(f'round(stddev_pop("{m}"), 6) as "{m}"' for m in MEASURES)
     sql["describe_daily_std"] = _describe(f"{past}, spread as (select d, {spread} from obs group by 1)", "spread", MEASURES)
+    daily = {
+        "PRCP": ("l_linenumber = 7", "l_quantity"), "SNWD": ("l_partkey % 5 = 0", "l_extendedprice"),
+        "SNOW": ("l_partkey % 3 = 0", "l_extendedprice * l_tax"), "PSUN": ("l_orderkey % 4 = 0", "l_orderkey % 101"),
+        "TSUN": ("l_orderkey % 6 = 0", "l_orderkey % 1441"), "TMAX": ("l_partkey % 8 = 0", "l_partkey % 40"),
+        "TMIN": ("l_partkey % 9 = 0", "l_partkey % 40 - l_orderkey % 10"), "TOBS": ("l_linenumber = 3", "l_partkey % 40 - l_linenumber"),
+        "AWND": ("l_linenumber = 1", "l_discount")}
+    sql["describe_daily_measures"] = _describe("obs as (select " + ", ".join(
+        f'case when not ({missing}) then cast({value} as double) end as "{m}"' for m, (missing, value) in daily.items())
+        + " from lineitem)", "obs", list(daily))
+    sql["describe_hourly_precipitation"] = _describe(
+        'obs as (select case when o_orderkey % 5 <> 0 then cast(o_totalprice * (o_orderkey % 3) as double) end as "HPCP" from orders)',
+        "obs", ["HPCP"])
     series = "series as (select o_orderdate + to_hours(cast(o_orderkey % 24 as bigint)) as t from orders)"
     sql["hourly_coverage"] = f"""with {series},
       cal as (select unnest(generate_series(timestamp '1995-01-01', timestamp '2001-12-31 23:00:00', interval 1 hour)) as t)

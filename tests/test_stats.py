@@ -5,6 +5,7 @@ import pytest
 
 from conftest import at, tuples
 from kerbside.operators import heatmaps, stats
+from kerbside.operators import quantiles as q
 
 SERIES = {
     "uniform": [random.Random(1).uniform(-5, 5) for _ in range(997)],
@@ -32,6 +33,33 @@ def test_quantiles_are_exact(quantiles, measure):
         assert got[measure, p] == pytest.approx(np.quantile(SERIES[measure], p), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("value", [
+    "cast(id as double)", "if(id = 0, 1e15, id / 7.0)", "if(id = 0, -1e15, exp(-id / 900.0))", "if(id % 3 = 0, 5.0, id * 1.0)"])
+def test_only_small_intervals_are_ordered(spark, value):
+    long = spark.range(200_000).selectExpr("'m' as measure", f"{value} as value")
+    counts = q.value_counts(long)
+    data = np.sort([r.value for r in long.collect()])
+    ranks = [0, 1, 49_999, 50_000, 100_000, 150_001, 199_998, 199_999]
+    intervals = q.intervals_of_ranks(counts, {"m": ranks}, small=500)
+    assert sorted(p for *_, held in intervals for p in held) == ranks
+    for _, low, high, before, held in intervals:
+        inside = data[(data >= low) & (data <= high)]
+        assert len(set(inside)) <= 500 and before == np.sum(data < low)
+        assert all(before <= p < before + len(inside) for p in held)
+    got = {r.probability: r.quantile for r in q.quantiles(counts, (0.0, 0.25, 0.5, 0.9999, 1.0)).collect()}
+    for p, found in got.items():
+        assert found == pytest.approx(np.quantile(data, p), rel=1e-12)
+
+
+def test_moments_of_large_values(spark):
+    data = [1e9 + k for k in range(5)] * 3
+    df = spark.createDataFrame([(v, None) for v in data], "a double, b double")
+    got = stats.describe(df, ["a", "b"]).collect()
+    assert [r.measure for r in got] == ["a"]  # a measure without values has no row
+    assert (got[0]["count"], got[0]["mean"], got[0]["std"]) == (15, 1e9 + 2, pytest.approx(np.std(data, ddof=1)))
+    assert stats.describe(df.limit(0), ["a"]).count() == 0
+
+
 def test_describe_skips_missing(spark):
     df = spark.createDataFrame([(1.0, 5), (None, 6), (3.0, None)], "a double, b int")
     got = {r.measure: r for r in stats.describe(df, ["a", "b"]).collect()}
