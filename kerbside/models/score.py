@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.ml.regression import LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kerbside.models.train import model_path, rows_of
 from kerbside.operators.errors import district_errors
@@ -20,6 +21,14 @@ def load_models(folder: str, kind: str, districts: Sequence[tuple[float, float]]
     return {d: MODEL_CLASSES[kind].load(model_path(folder, *d)) for d in districts}
 
 
+def sampled(rows: DataFrame, fraction: float = 1.0, seed: int = SAMPLING_SEED) -> DataFrame:
+    """A share of the rows, for a cheaper evaluation; all of them by default. Whether a row is
+    drawn hangs on its district and hour alone."""
+    if fraction >= 1.0:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), "Time", "Lat", "Lon"), F.lit(1 << 32)) < int(fraction * (1 << 32)))
+
+
 def score_districts(table: DataFrame, models: Mapping, fraction: float = 1.0,
                     seed: int = SAMPLING_SEED) -> DataFrame:
     """``Time, Lat, Lon, prediction, label`` of all districts of a ``by_cell`` table.
@@ -28,9 +37,7 @@ def score_districts(table: DataFrame, models: Mapping, fraction: float = 1.0,
     zipped or collected.
     """
     def scored(district, model) -> DataFrame:
-        rows = rows_of(table, *district)
-        if fraction < 1.0:
-            rows = rows.sample(False, fraction, seed)
+        rows = sampled(rows_of(table, *district), fraction, seed)
         return model.transform(rows).select("Time", "Lat", "Lon", "prediction", "label")
 
     return reduce(DataFrame.unionByName, [scored(d, m) for d, m in models.items()])

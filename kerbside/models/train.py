@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo
+from kerbside.models.linear import RIDGE
 from kerbside.models.prepare import ARITY
 from kerbside.session import materialize_all
 
@@ -20,23 +21,14 @@ from kerbside.session import materialize_all
 PARALLEL_FITS = 8
 
 
-#: Weight of the squared coefficients in a linear fit. One column per category makes columns
-#: depend on each other exactly; without this term the fit has no single solution. It weighs standardised coefficients, so
-#: that columns without variance, too, leave the equations solvable.
-RIDGE = 1e-3
-
-#: Columns up to which a fit solves its normal equations (the solver's own limit).
-SOLVABLE = 4096
-
-
-def linear(columns: int = 0) -> LinearRegression:
-    """Least squares through the origin with a small ridge term, solved exactly; beyond
-    ``SOLVABLE`` columns by iteration to a tolerance."""
+def linear() -> LinearRegression:
+    """The library's least squares through the origin with a small ridge term, for one district
+    and vectors of at most 4,096 entries; ``models.linear`` has no such limit."""
     return LinearRegression(featuresCol="features", labelCol="label", fitIntercept=False, regParam=RIDGE,
-                            elasticNetParam=0.0, standardization=True, maxIter=1000,
-                            solver="normal" if columns <= SOLVABLE else "l-bfgs")
+                            elasticNetParam=0.0, standardization=True, solver="normal")
 
 
+# Trees and depth of the published forests, the seed, and the names of saved models.
 def forest(trees: int = 5, depth: int = 15, seed: int = 1234, categorical: bool = True) -> RandomForestRegressor:
     """A forest with enough bins for the widest category."""
     bins = max(32, max(ARITY.values())) if categorical else 32
@@ -61,6 +53,13 @@ def rows_of(table: DataFrame, lat: float, lon: float) -> DataFrame:
     return table.filter((F.col("lat_cell") == round(lat * 100)) & (F.col("lon_cell") == round(lon * 100)))
 
 
+def of_listed(table: DataFrame, districts: Sequence[tuple[float, float]]) -> DataFrame:
+    """Rows of a ``by_cell`` table in the listed districts."""
+    cells = [(round(lat * 100), round(lon * 100)) for lat, lon in districts]
+    listed = table.sparkSession.createDataFrame(cells, "lat_cell int, lon_cell int").distinct()
+    return table.join(F.broadcast(listed), ["lat_cell", "lon_cell"], "left_semi")
+
+
 def train_districts(
     table: DataFrame,
     districts: Sequence[tuple[float, float]],

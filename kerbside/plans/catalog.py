@@ -19,7 +19,7 @@ from kerbside.functions import geo, values
 from kerbside.functions import timeparts as tp
 from kerbside.models import forest as forest_nodes
 from kerbside.models import prepare as prep
-from kerbside.models import score, train
+from kerbside.models import linear, score, train
 from kerbside.operators import (
     enrichment,
     errors,
@@ -740,12 +740,28 @@ def predict_linear(spark, sf):
 @query
 def train_linear_vectors(spark, sf):
     """The linear model on the whole prepared vector, saved, loaded and evaluated."""
+    models, _, held_out = _linear_models(spark, sf)
+    return rounded(errors.district_errors(linear.predict_all(held_out, models)), *STATS)
+
+
+def _linear_models(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved and loaded models of all listed districts, training rows and held-out rows."""
     prepared = prep.prepare(_model_rows(spark, sf), split=b.SPLIT)
     rows, held_out = train.by_cell(prepared.train, prepared.test)
     listed = _districts(spark, rows)
     folder = new_table_path(spark, "linear")
-    train.train_districts(rows, listed, train.linear, folder)
-    return rounded(score.evaluate(held_out, score.load_models(folder, "linear", listed)), *STATS)
+    linear.save(linear.fit_all(train.of_listed(rows, listed)), folder)
+    return linear.load(spark, folder, listed), rows, held_out
+
+
+@query
+def linear_orthogonality(spark, sf):
+    """What holds for least squares on any vector: no column is left that a residual follows,
+    beyond what the ridge term asks for."""
+    models, rows, _ = _linear_models(spark, sf)
+    off = linear.gradients(rows, models).groupBy("Lat", "Lon").agg(F.bool_and(F.col("off") < 1e-9).alias("orthogonal"))
+    fitted = models.withColumns({"Lat": F.col("lat_cell") / 100, "Lon": F.col("lon_cell") / 100}).select("Lat", "Lon", "rows")
+    return fitted.join(off, ["Lat", "Lon"])
 
 
 def _forest_rows(spark: SparkSession, sf: str) -> prep.Prepared:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbside.functions import timeparts as tp
 from kerbside.models import forest as forest_nodes
 from kerbside.models import prepare as prep
-from kerbside.models import score, train
+from kerbside.models import linear, score, train
 from kerbside.operators import enrichment, facts, heatmaps, sampling, stats, venues, weather
 from kerbside.operators.errors import district_errors
 from kerbside.plans.feature_table import feature_table
@@ -87,24 +87,32 @@ def run_districts(spark, a) -> None:
 
 
 def _prepared(spark, a) -> prep.Prepared:
-    linear = a.kind == "linear"
+    is_linear = a.kind == "linear"
     table = tables.read_by_month(spark, a.features)
-    return prep.prepare(table, scale=linear, one_hot=linear, split=a.split, strict_reference=a.strict_reference)
+    return prep.prepare(table, scale=is_linear, one_hot=is_linear, split=a.split, strict_reference=a.strict_reference)
 
 
 def run_train(spark, a) -> None:
     rows, = train.by_cell(_prepared(spark, a).train)
+    listed = tables.district_list(spark, a.districts)
+    if a.kind == "linear":
+        linear.save(linear.fit_all(train.of_listed(rows, listed)), a.models)
+        return
     categorical = not a.numeric_categories
-    estimator = train.linear if a.kind == "linear" else lambda: train.forest(a.trees, a.depth, a.seed, categorical)
-    train.train_districts(rows, tables.district_list(spark, a.districts), estimator, a.models, categorical)
+    train.train_districts(
+        rows, listed, lambda: train.forest(a.trees, a.depth, a.seed, categorical), a.models, categorical)
 
 
 def run_evaluate(spark, a) -> None:
     prepared = _prepared(spark, a)
     rows, = train.by_cell(prepared.train if a.train_error else prepared.test)
     listed = tables.district_list(spark, a.districts)
-    scored = materialize(
-        score.score_districts(rows, score.load_models(a.models, a.kind, listed), a.fraction), "scored")
+    if a.kind == "linear":
+        sampled = score.sampled(train.of_listed(rows, listed), a.fraction)
+        found = linear.predict_all(sampled, linear.load(spark, a.models, listed))
+    else:
+        found = score.score_districts(rows, score.load_models(a.models, a.kind, listed), a.fraction)
+    scored = materialize(found, "scored")
     tables.write_predictions(scored, f"{a.out}/predictions")
     tables.write_errors(district_errors(scored), f"{a.out}/errors")
 

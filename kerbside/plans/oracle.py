@@ -467,6 +467,8 @@ def oracle_sql() -> dict[str, str]:
     sql["forest_structure"] = (
         'select "Lat", "Lon", cast(5 as bigint) as trees, cast(5 as bigint) as leaves_over_inner, '
         f'cast(5 as double) as root_score from {rows} where "Time" < {split} group by 1, 2')
+    sql["linear_orthogonality"] = (
+        f'select "Lat", "Lon", count(*) as rows, true as orthogonal from {rows} where "Time" < {split} group by 1, 2')
     sql["forest_scored_rows"] = (
         f'select "Lat", "Lon", count(*) as scored, true as within_labels from {rows} where "Time" >= {split} '
         f'and ("Lat", "Lon") in (select ("Lat", "Lon") from {rows} where "Time" < {split}) group by 1, 2')
