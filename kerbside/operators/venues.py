@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbside.functions import timeparts as tp
+from kerbside.session import materialize
+from kerbside.sizing import broadcast_if_bounded
 
 #: Column order of the venue features; it fixes the feature indices of a model.
 OFFSETS = (0, -3, -2, -1, 1, 2, 3)
@@ -38,26 +40,22 @@ def event_spans(events: DataFrame) -> DataFrame:
 def venue_ids(places: DataFrame) -> DataFrame:
     """``venue_id, latitude, longitude``: distinct coordinates numbered by (latitude, longitude).
 
-    Numbering in two steps keeps it parallel: a running total over strips of latitude
-    (at most 18,001 of a hundredth degree each) gives every strip its first number, and
-    only inside a strip are venues ranked.
+    Venues are dealt to ranges whose bounds are drawn from themselves, and put in order there;
+    what the ranges before hold is added to a venue's place in its range. However crowded a
+    strip of the map is, its venues are numbered in parallel.
     """
-    distinct = (
-        places.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
-        .select("latitude", "longitude").distinct()
-        .withColumn("strip", F.floor(F.col("latitude") * 100).cast("int"))
-    )
-    before = W.orderBy("strip").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        distinct.groupBy("strip").agg(F.count("*").alias("n"))
-        .select("strip", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    )
-    inside = W.partitionBy("strip").orderBy("latitude", "longitude")
-    return (
-        distinct.withColumn("rank", F.row_number().over(inside))
-        .join(F.broadcast(starts), "strip")  # <= 18,001 rows of two numbers, by construction
-        .select((F.col("first") + F.col("rank") - 1).cast("int").alias("venue_id"), "latitude", "longitude")
-    )
+    distinct = places.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("latitude", "longitude").distinct()
+    at = ["latitude", "longitude"]
+    placed = materialize(distinct.repartitionByRange(*at).sortWithinPartitions(*at).select(
+        "*", F.monotonically_increasing_id().alias("place")), "venue-places")
+    # The place has the number of the range above its 33 lowest bits.
+    placed = placed.select(*at, F.shiftright("place", 33).alias("range"), F.col("place").bitwiseAND((1 << 33) - 1).alias("rank"))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("range").agg(F.count("*").alias("n")).select(
+        "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranges = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.join(broadcast_if_bounded(starts, ranges), "range").select(
+        (F.col("first") + F.col("rank")).cast("int").alias("venue_id"), *at)
 
 
 def event_hours(events: DataFrame, calendar: tp.HourRange | None = None) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbside.operators.nearest import k_nearest
+from kerbside.session import materialize
 
+# The measures that the feature table uses.
 MEASURES = ["TMIN", "TMAX", "PRCP", "AWND"]
 NEIGHBOURS_USED = 3
 
@@ -64,14 +67,27 @@ def nearest_first(station: Station, stations: Sequence[Station]) -> list[Station
     return sorted(others, key=lambda s: ((s.lat - station.lat) ** 2 + (s.lon - station.lon) ** 2, s.name))
 
 
-def station_neighbours(days: DataFrame, limit: int = MAX_WIDE_STATIONS) -> DataFrame:
-    """Every other station with its rank by distance, as rows ``Station, Neighbour, Rank``.
+#: Start of the neighbour search: cells wider than the globe, so every station is in sight,
+#: then down to a 64th of a degree.
+SEARCH_DEGREES = 512.0
+SEARCH_DEPTH = 5
+
+
+def nearest_stations(coordinates: DataFrame, k: int) -> DataFrame:
+    """The ``k`` other stations nearest to each, as rows ``Station, Neighbour, Rank``; equal
+    distances rank by name.
 
-    All ordered pairs by definition, hence for the station list of a wide table only.
+    A self-join on the cells of the nearest-point search: one search per place, for one
+    station more, out of which each station of the place then strikes itself.
     """
-    stations = list_stations(days, limit)
-    pairs = [(s.name, o.name, rank) for s in stations for rank, o in enumerate(nearest_first(s, stations), 1)]
-    return days.sparkSession.createDataFrame(pairs, "Station string, Neighbour string, Rank int")
+    points = coordinates.select(F.col("Station").alias("id"), F.col("Lat").alias("p_lat"), F.col("Lon").alias("p_lon"))
+    probes = coordinates.select(F.col("Lat").alias("lat"), F.col("Lon").alias("lon")).distinct()
+    near = k_nearest(probes, points, k + 1, SEARCH_DEGREES, SEARCH_DEPTH).select(
+        F.col("lat").alias("Lat"), F.col("lon").alias("Lon"), F.col("id").alias("Neighbour"), "rank")
+    others = coordinates.select("Station", "Lat", "Lon").join(near, ["Lat", "Lon"]).filter(
+        ~F.col("Station").eqNullSafe(F.col("Neighbour")))
+    place = F.row_number().over(W.partitionBy("Station").orderBy("rank")).alias("Rank")
+    return others.select("Station", "Neighbour", place).filter(F.col("Rank") <= k)
 
 
 def wide_name(measure: str, station: str) -> str:
@@ -148,12 +164,6 @@ def unpivot(wide: DataFrame, stations: Sequence[Station], measures: Sequence[str
     return wide.select("Date", F.inline(entries))
 
 
-#: Start of the neighbour search: cells wider than the globe, so every station is in sight,
-#: then down to an eighth of a degree.
-SEARCH_DEGREES = 512.0
-SEARCH_DEPTH = 4
-
-
 def _nearest_known(gaps: DataFrame, known: DataFrame) -> DataFrame:
     """``Date, measure, Lat, Lon, mean``: for each gap the mean of the nearest three values
     of the same measure and day."""
@@ -165,25 +175,55 @@ def _nearest_known(gaps: DataFrame, known: DataFrame) -> DataFrame:
         .agg((F.sum("value") / F.count("*")).alias("mean"))
 
 
-def impute_long(days: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
+#: Neighbours of a station that are tried before the search is widened.
+NEIGHBOURS_TRIED = 8
+
+
+def _every_day(stations: DataFrame, days: DataFrame) -> DataFrame:
+    """``Date, Station, Lat, Lon``: a row per station and observed day. Days are generated from
+    the first to the last; two dates are all that travels."""
+    first, last = (days.agg(f("Date")).scalar() for f in (F.min, F.max))
+    everywhere = stations.withColumn("Date", F.explode(F.sequence(first, last)))
+    return everywhere.join(days.select("Date").distinct(), "Date", "left_semi").select("Date", "Station", "Lat", "Lon")
+
+
+def impute_long(days: DataFrame, measures: Sequence[str] = MEASURES, tried: int = NEIGHBOURS_TRIED) -> DataFrame:
     """The same imputation for any number of stations: rows ``Date, Station, measures``.
 
-    Each station gets a row on every observed day. The list of days, which the calendar
-    bounds, is the only thing that travels as a whole.
+    Gaps first meet the values of their station's nearest neighbours, found once for all days.
+    Only where these give fewer values than are needed, and the day has others, the search
+    is widened, for those gaps alone.
     """
-    observed = days.agg(F.collect_set("Date")).scalar()
-    everywhere = station_coordinates(days).withColumn("days", observed)
-    entries = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures])
-    cells = (
-        everywhere.select("Station", "Lat", "Lon", F.explode("days").alias("Date"))
-        .join(days.select("Date", "Station", *measures), ["Date", "Station"], "left")
-        .select("Date", "Station", "Lat", "Lon", F.inline(entries))
-    )
-    filled = _nearest_known(cells.filter("value IS NULL"), cells.filter("value IS NOT NULL"))
-    both = cells.join(filled, ["Date", "measure", "Lat", "Lon"], "left")
+    stations = materialize(station_coordinates(days), "stations")
+    near = nearest_stations(stations, tried)
+    at_all = days.groupBy("Date").agg(*[F.count(m).alias(f"{m}_known") for m in measures])
+    values = materialize(_every_day(stations, days).join(days.select("Date", "Station", *measures), ["Date", "Station"], "left"), "station-values")
+    gap = F.greatest(*[F.col(m).isNull().cast("int") for m in measures]) == 1 if len(measures) > 1 else F.col(measures[0]).isNull()
+    met = values.filter(gap).select("Date", "Station").join(near, "Station").join(
+        days.select("Date", F.col("Station").alias("Neighbour"), *measures), ["Date", "Neighbour"])
+    around = met.groupBy("Date", "Station").agg(F.array_sort(F.collect_list(F.struct("Rank", *measures))).alias("around"))
+
+    def known(m: str) -> Column:
+        return F.slice(F.filter(F.transform("around", lambda n: n[m]), lambda v: v.isNotNull()), 1, NEIGHBOURS_USED)
+
+    def entry(m: str) -> Column:
+        found = F.col(f"{m}_near")
+        number = F.coalesce(F.size(found), F.lit(0))
+        mean = F.aggregate(found, F.lit(0.0), lambda s, v: s + v) / number
+        is_open = F.col(m).isNull() & (number < NEIGHBOURS_USED) & (F.col(f"{m}_known") > number)
+        return F.struct(F.lit(m).alias("measure"), F.col(m).alias("value"), F.when(number > 0, mean).alias("mean"), is_open.alias("open"))
+
+    around = around.select("Date", "Station", *[known(m).alias(f"{m}_near") for m in measures])
+    rows = values.join(around, ["Date", "Station"], "left").join(at_all, "Date")
+    cells = materialize(rows.select("Date", "Station", "Lat", "Lon", F.inline(F.array(*[entry(m) for m in measures]))), "station-cells")
     value = F.coalesce("value", "mean")
+    wanting = cells.filter("open")
+    if not wanting.isEmpty():
+        wide = _nearest_known(wanting, cells.filter("value IS NOT NULL")).withColumnRenamed("mean", "wide_mean")
+        cells = cells.join(wide, ["Date", "measure", "Lat", "Lon"], "left")
+        value = F.coalesce("value", F.when(F.col("open"), F.col("wide_mean")).otherwise(F.col("mean")))
     means = measure_means(days, measures)
-    return both.groupBy("Date", "Station").agg(*[
+    return cells.groupBy("Date", "Station").agg(*[
         F.max(F.when(F.col("measure") == m, value)).alias(m) for m in measures
     ]).select("Date", "Station", *[F.coalesce(F.col(m), means.select(m).scalar()).alias(m) for m in measures])
 
@@ -207,21 +247,23 @@ def monthly_station_mean(per_day: DataFrame) -> DataFrame:
 def station_month_fraction(observations: DataFrame) -> DataFrame:
     """Share of the observed days of a month on which a station reports.
 
-    Days present are counted per month and per (month, station); each station that ever
-    reports gets a row in every month, 0 where it was silent.
+    Days are bits of a number per station and month, merged by ``or`` where the observations
+    lie: a station's month is one row, however often it reports. Each station that ever reports
+    gets a row in every observed month, 0 where it was silent; months are generated.
     """
-    days = observations.select("Date", "Station").distinct()
-    month = [F.year("Date").cast("int").alias("year"), F.month("Date").cast("int").alias("month")]
-    all_days = days.groupBy(*month).agg(F.count_distinct("Date").alias("days"))
-    present = days.filter("Station IS NOT NULL").groupBy(*month, "Station").agg(F.count("*").alias("present"))
-    # the months, which the calendar bounds, go to the stations and not the other way round
-    months = all_days.agg(F.collect_list(F.struct("year", "month", "days"))).scalar()
-    grid = present.select("Station").distinct().withColumn("m", months).select("Station", F.inline("m"))
-    return (
-        grid.join(present, ["year", "month", "Station"], "left")
-        .select("year", "month", "Station",
-                (F.coalesce("present", F.lit(0)) / F.col("days")).alias("coverage"))
-    )
+    month = F.trunc("Date", "month")
+    day = F.expr("shiftleft(1L, dayofmonth(Date) - 1)")
+    bits = materialize(observations.groupBy("Station", month.alias("month")).agg(F.bit_or(day).alias("days")), "station-months")
+    months = bits.groupBy("month").agg(F.bit_or("days").alias("observed"))
+    first, last = (months.agg(f("month")).scalar() for f in (F.min, F.max))
+    # a station has as many entries as the calendar has months
+    per_station = bits.filter("Station IS NOT NULL").groupBy("Station").agg(
+        F.map_from_entries(F.collect_list(F.struct("month", "days"))).alias("held"))
+    grid = per_station.select(
+        "Station", "held", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("month"))
+    return grid.join(months, "month").select(
+        F.year("month").cast("int").alias("year"), F.month("month").cast("int").alias("month"), "Station",
+        (F.coalesce(F.bit_count(F.try_element_at("held", F.col("month"))), F.lit(0)) / F.bit_count("observed")).alias("coverage"))
 
 
 def daily_spread(observations: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:

@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
     sql["station_coordinates"] = (
         f'with {observations(True)} select station as "Station", avg(lat) as "Lat", avg(lon) as "Lon" from obs group by 1')
     sql["station_neighbors"] = f"""with {_imputed()} select station as "Station", other as "Neighbour",
-      cast(r as int) as "Rank" from near"""
+      cast(r as int) as "Rank" from near where r <= 10"""
 
     sql["venue_ids"] = (f"with {VENUES} select venue_id, cast(la as double) / 1000 as latitude, "
                         "cast(lo as double) / 1000 as longitude from venues")

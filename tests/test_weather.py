@@ -55,7 +55,8 @@ def test_equal_distances_take_the_smaller_name(spark):
                                                               (("Z", 1.0), ("B", -1.0), ("M", 0.0), ("C", 0.5))])
     assert [s.name for s in near] == ["C", "B", "Z"]
     df = weather.station_days(obs(spark, (1, "A", 1.0), (1, "B", 1.0), (1, "C", 1.0)))
-    assert tuples(weather.station_neighbours(df).filter("Station = 'B'"), "Neighbour", "Rank") == [("A", 1), ("C", 2)]
+    near = weather.nearest_stations(weather.station_coordinates(df), 5)
+    assert tuples(near.filter("Station = 'B'"), "Neighbour", "Rank") == [("A", 1), ("C", 2)]
 
 
 def test_single_station(spark):
@@ -87,6 +88,30 @@ def test_long_form_with_scattered_stations(spark):
         assert g.TMIN == pytest.approx(sum(x[2] for x in near) / len(near) if near else mean)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_stations(spark, k):
+    """Against all pairs: clusters, and many stations at one place."""
+    r = random.Random(6)
+    places = {f"S{i:03d}": (round(r.gauss(40, 3), 2), round(r.gauss(-74, 3), 2)) if i % 3 else (40.0, -74.0) for i in range(90)}
+    coordinates = spark.createDataFrame([(s, *p) for s, p in places.items()], "Station string, Lat double, Lon double")
+    expected = []
+    for s, (la, lo) in places.items():
+        others = sorted(((p[0] - la) ** 2 + (p[1] - lo) ** 2, o) for o, p in places.items() if o != s)[:k]
+        expected += [(s, o, rank) for rank, (_, o) in enumerate(others, 1)]
+    assert tuples(weather.nearest_stations(coordinates, k), "Station", "Neighbour", "Rank") == sorted(expected)
+    assert weather.nearest_stations(coordinates.limit(1), k).count() == 0
+
+
+@pytest.mark.parametrize("tried", [1, 3])
+def test_long_form_widens_its_search(spark, tried):
+    r = random.Random(7)
+    rows = [(d, s, r.choice([None, None, 1.0, 2.0, 5.0])) for d in range(1, 12) for s in "ABCDE"]
+    days = weather.station_days(obs(spark, *rows))
+    stations = weather.list_stations(days)
+    wide = weather.unpivot(weather.impute_wide(weather.pivot_stations(days, stations), days, stations), stations)
+    assert tuples(weather.impute_long(days, tried=tried)) == tuples(wide)
+
+
 def test_period_mean_is_over_observations_not_days(spark):
     days = weather.station_days(obs(spark, (1, "A", 1.0), (1, "A", 2.0), (2, "A", 6.0), (3, "A", None)))
     assert weather.measure_means(days).first().PRCP == 3.0
@@ -105,6 +130,10 @@ def test_coverage(spark):
     assert tuples(weather.stations_per_day(df), "station_count") == [(1,), (1,), (1,), (2,)]
     assert tuples(weather.monthly_station_mean(weather.stations_per_day(df))) == [(date(2014, 1, 31), 1.25)]
     assert tuples(weather.station_month_fraction(df)) == [(2014, 1, "A", 0.75), (2014, 1, "B", 0.5)]
+    late = [(date(2014, 3, d), 0.0, 0.0, s, *[1.0] * 4) for d, s in ((31, "A"), (31, None), (30, None))]
+    more = df.unionByName(spark.createDataFrame(late, OBS))
+    assert tuples(weather.station_month_fraction(more)) == [
+        (2014, 1, "A", 0.75), (2014, 1, "B", 0.5), (2014, 3, "A", 0.5), (2014, 3, "B", 0.0)]
 
 
 def test_spread_is_of_the_population(spark):
