@@ -162,7 +162,7 @@ def _spans_sql(number: int, kind: secrets.Kind, pattern: str, also: str = "true"
 
 #: The last weak kind without looking around: a run is whole anyway, what it must hold is asked after.
 _RUN = r"[A-Za-z0-9+/_-]{32,}"
-_MIXED = " and ".join(f"regexp_matches(substr(m[i], 1, 201), '{c}')" for c in ("[a-z]", "[A-Z]", "[0-9]"))
+_MIXED = " and ".join(f"regexp_matches(m[i], '{c}')" for c in ("[a-z]", "[A-Z]", "[0-9]"))
 _BASE_KINDS = len(secrets.BASE)
 
 SQL["op3_secret_scan"] = f"""
@@ -216,3 +216,115 @@ reach as (select doc_id as x, doc_id as y from sets union select r.x, l.y from r
 select doc_id, cast(len(s) as bigint) as n_shingles, least_id as component_id
 from sets join (select x, min(y) as least_id from reach group by 1) on x = doc_id
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a string of code points below 2048: eight shifts for every byte."""
+    steps = (f"flatten(list_transform(flatten(list_transform(string_split({text}, ''), lambda c: case when unicode(c) < 128 "
+             "then [unicode(c)] else [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] end)), "
+             "lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1]))")
+    return (f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform({steps}, lambda x: cast(x as bigint))), "
+            "lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295)")
+
+
+SQL["op11_spelling_variants"] = f"""
+with recursive runs as (
+  select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run
+  from documents where text is not null),
+single as (select id, run, count(*) as c from runs where length(run) >= 6 group by 1, 2),
+hashed as (select run, c, {_crc32("id || ':' || run")} as h from single),
+words as (
+  select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word,
+    cast(sum(c) as bigint) as n from hashed group by 1 having sum(c) >= 5 and length(word) >= 6),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+less as (select distinct word, n, left(word, i - 1) || substr(word, i + 1) as k from places),
+changed as (select word, n, left(word, i - 1) || '_' || substr(word, i + 1) as k from places),
+near as (
+  select a.word, a.n, b.word as near, b.n as near_n from changed a join changed b on a.k = b.k and a.word <> b.word
+  union all select a.word, a.n, b.word, b.n from less a join words b on a.k = b.word
+  union all select b.word, b.n, a.word, a.n from less a join words b on a.k = b.word),
+best as (
+  select word, count(*) over (partition by word) as n_near, near, near_n,
+    row_number() over (partition by word order by near_n desc, near) as place, n from near),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 5 * w.n then near end as form,
+    case when near_n >= 5 * w.n then near_n end as form_n
+  from words w left join (select * from best where place = 1) b on b.word = w.word),
+reach as (
+  select word, word as stop from forms
+  union all select r.word, f.form from reach r join forms f on f.word = r.stop where f.form is not null)
+select f.word, f.form, r.stop as root, f.n, f.n_near, f.form_n
+from forms f join reach r on r.word = f.word join forms g on g.word = r.stop where g.form is null
+"""
+
+
+#: Costs by state (nothing yet, system, user, assistant) before a row, from those behind it.
+def _kept(initials: dict[str, int]) -> str:
+    cases = " ".join(f"when sound and initial = '{i}' then extra + s{to}" for i, to in initials.items())
+    return f"case {cases} else 1000000000 end"
+
+
+_BARE = [
+    f"least(4 + s{q}, {_kept(kept)}, case when sound then extra + 3 + s{to} else 1000000000 end) as b{q}"
+    for q, kept, to in ((0, {"s": 1, "u": 2}, 2), (1, {"u": 2}, 2), (2, {"a": 3}, 3), (3, {"u": 2}, 2))]
+
+SQL["op13_conversation_repair"] = f"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as fate from conversations),
+damaged as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from keyed, (select unnest([1, 2]) as copy) where fate <> 0 and (copy = 1 or fate = 3)),
+placed as (
+  select *, left(role, 1) as initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last,
+    row_number() over (partition by conv_id order by turn nulls first, role, md5(length(role) || ':' || role || ':' || text)) as k from damaged),
+faults as (
+  select *, case when last = '' then 'blank' when row_number() over (partition by conv_id, role, text order by k) > 1 then 'duplicate'
+    when last not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    coalesce(lag(initial) over (partition by conv_id order by k) || initial not in ('su', 'ua', 'au'), false) as illegal from placed),
+marked as (
+  select *, fault in ('', 'truncated') as sound, case when fault = 'truncated' then 3 else 0 end as extra from faults),
+counted as (
+  select conv_id, count(*) as rows, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal from marked group by 1),
+costs as (
+  select conv_id, rows as k, 0 as s0, 6 as s1, 3 as s2, 0 as s3 from counted
+  union all
+  select conv_id, k, least(b0, 3 + least(b2, 3 + b3)), least(b1, 3 + least(b2, 3 + b3)), least(b2, 3 + b3), least(b3, 3 + b2) from (
+    select m.conv_id, m.k - 1 as k, {", ".join(_BARE)}
+    from costs c join marked m on m.conv_id is not distinct from c.conv_id and m.k = c.k)),
+followed as (
+  select conv_id, cast(0 as bigint) as k, 0 as state, '' as audit, '' as made from counted
+  union all
+  select conv_id, case when edit = 'I' then k else k + 1 end,
+    case edit when 'D' then state when 'K' then case initial when 's' then 1 when 'u' then 2 else 3 end
+      else case when state = 2 then 3 else 2 end end,
+    audit || edit,
+    made || case edit when 'D' then '' when 'K' then chr(10) || role || ':' || text
+      else chr(10) || case when state = 2 then 'assistant:' else 'user:' end || case when edit = 'I' then '' else text end end
+  from (
+    select f.*, m.initial, m.role, m.text, case
+      when m.k is null then 'I'
+      when [c.s0, c.s1, c.s2, c.s3][state + 1] = 4 + [d.s0, d.s1, d.s2, d.s3][state + 1] then 'D'
+      when [c.s0, c.s1, c.s2, c.s3][state + 1] = 3 + case when state = 2 then c.s3 else c.s2 end then 'I'
+      when sound and [c.s0, c.s1, c.s2, c.s3][state + 1] = extra + case
+        when initial = 's' and state = 0 then d.s1 when initial = 'u' and state <> 2 then d.s2
+        when initial = 'a' and state = 2 then d.s3 else 1000000000 end then 'K'
+      else 'R' end as edit
+    from followed f join costs c on c.conv_id is not distinct from f.conv_id and c.k = f.k
+    left join marked m on m.conv_id is not distinct from f.conv_id and m.k = f.k + 1
+    left join costs d on d.conv_id is not distinct from f.conv_id and d.k = f.k + 1
+    where m.k is not null or state in (1, 2))),
+done as (
+  select f.* from followed f join counted n on n.conv_id is not distinct from f.conv_id and f.k = n.rows where state in (0, 3))
+select o.conv_id, coalesce(n.gaps, 0) as gaps, coalesce(n.blank, 0) as blank, coalesce(n.duplicate, 0) as duplicate,
+  coalesce(n.truncated, 0) as truncated, coalesce(n.illegal, 0) as illegal, cast(coalesce(c.s0, 0) as bigint) as cost,
+  coalesce(f.audit, '') as audit, sha256(substr(coalesce(f.made, ''), 2)) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counted n on n.conv_id is not distinct from o.conv_id
+left join costs c on c.conv_id is not distinct from o.conv_id and c.k = 0
+left join done f on f.conv_id is not distinct from o.conv_id
+"""
