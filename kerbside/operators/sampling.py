@@ -9,14 +9,30 @@ KEEP_FRACTION = 0.01
 _DIGITS = 8  # hex digits of the hash that are read as a fraction
 
 
-def bernoulli(df: DataFrame, percentage: float, seed: int) -> DataFrame:
-    """Each row is kept with probability ``percentage`` / 100."""
-    return df.sample(withReplacement=False, fraction=percentage / 100.0, seed=seed)
+def _unit(keys: list[str | Column], seed: int) -> Column:
+    """A number from 0 to 1 that hangs on the keys and the seed alone."""
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    text = F.concat_ws("|", *[k.cast("string") for k in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / float(16 ** _DIGITS)
 
 
-def _unit(keys: list[str], seed: int) -> Column:
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / float(16 ** _DIGITS)
+def bernoulli(scan: DataFrame, percentage: float, seed: int) -> DataFrame:
+    """Each row of Parquet files, as read, is kept with probability ``percentage`` / 100.
+
+    The draw hangs on the file's name and the row's place in it: a repeated task, another
+    split of the files or another partitioning draws the same rows. Nothing is shuffled.
+    """
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    return scan.filter(_unit(place, seed) < percentage / 100.0)
+
+
+def bernoulli_rows(df: DataFrame, percentage: float, seed: int) -> DataFrame:
+    """The same for any table, whose rows have no places: the draw hangs on the row's values
+    and on its number among equal rows, which are counted before anything is shuffled."""
+    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_rows"))
+    values = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    numbered = counted.withColumn("_number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))))
+    return numbered.filter(_unit([values, F.col("_number")], seed) < percentage / 100.0).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def bernoulli_by_key(df: DataFrame, keys: list[str], fraction: float | Column, seed: int) -> DataFrame:

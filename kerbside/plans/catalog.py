@@ -546,7 +546,7 @@ def sample_by_year(spark, sf):
 
 @query
 def bernoulli_sample(spark, sf):
-    return sampling.bernoulli(b.trips(spark, sf), 10.0, 1234)
+    return sampling.bernoulli(b.table(spark, sf, "events"), 10.0, 1234).select("event_id", "ts")
 
 
 # ---- enrichment -----------------------------------------------------------------------

@@ -135,7 +135,7 @@ def run_heatmaps(spark, a) -> None:
 
 def run_sample(spark, a) -> None:
     rows = spark.read.option("header", True).csv(a.csv)
-    sampling.bernoulli(rows, a.percentage, a.seed).write.option("header", True).csv(a.out)
+    sampling.bernoulli_rows(rows, a.percentage, a.seed).write.option("header", True).csv(a.out)
 
 
 def run_slice(spark, a) -> None:

@@ -458,6 +458,8 @@ def oracle_sql() -> dict[str, str]:
         f"with {FACTS}, top as (select la, lo from facts group by 1, 2 order by sum(p) desc, la, lo limit 8) "
         f"select {LATLON} from top order by md5(la || '|' || lo || '|1234') limit 4")
     sql["sample_by_key"] = _sample("0.1", "events")
+    sql["bernoulli_sample"] = """select event_id, ts from (select *, row_number() over () - 1 as place from events)
+      where cast(('0x' || substr(md5('events.parquet|' || place || '|1234'), 1, 8)) as bigint) / 4294967296.0 < 0.1"""
     sql["sample_by_year"] = (
         "select o_orderkey, o_orderdate from orders where cast(('0x' || substr(md5(o_orderkey || '|7'), 1, 8)) as bigint) "
         "/ 4294967296.0 < case when year(o_orderdate) = 1996 then 0.5 else 0.01 end")

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from datetime import date, datetime
 
 from conftest import at, tuples
@@ -89,4 +90,20 @@ def test_keyed_sample_ignores_layout(spark):
     assert one == tuples(sampling.bernoulli_by_key(df.repartition(13), ["k"], 0.1, 5))
     assert 1800 < len(one) < 2200
     assert one != tuples(sampling.bernoulli_by_key(df, ["k"], 0.1, 6))
-    assert 800 < sampling.bernoulli(df, 5.0, 1).count() < 1200
+
+
+def test_percentage_samples(spark, tmp_path):
+    df = spark.range(20_000).select((F.col("id") % 7000).alias("k"), F.lit("x").alias("a b"))
+    df.coalesce(3).write.parquet(str(tmp_path / "rows"))
+    scan = spark.read.parquet(str(tmp_path / "rows"))
+    for draw in (sampling.bernoulli, sampling.bernoulli_rows):
+        one = tuples(draw(scan, 5.0, 1))
+        assert 800 < len(one) < 1200 and draw(scan, 5.0, 1).columns == ["k", "a b"]
+        assert one != tuples(draw(scan, 5.0, 2)) and len(set(one)) < len(one)
+        assert draw(scan, 100.0, 1).count() == 20_000 and draw(scan, 0.0, 1).count() == 0
+        assert one == tuples(draw(scan if draw is sampling.bernoulli else scan.repartition(13), 5.0, 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert tuples(sampling.bernoulli(spark.read.parquet(str(tmp_path / "rows")), 5.0, 1)) == tuples(sampling.bernoulli(scan, 5.0, 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
