@@ -48,28 +48,30 @@ def error_spread(per_district: DataFrame) -> DataFrame:
 
 
 def with_day(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("day", F.dayofyear("Time").cast("int"))
+    return scored.withColumns({"year": F.year("Time").cast("int"), "day": F.dayofyear("Time").cast("int")})
 
 
 def with_week(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("week", F.weekofyear("Time").cast("int"))
+    """Weeks belong to the year that has most of their days."""
+    year = F.extract(F.lit("YEAROFWEEK"), F.col("Time")).cast("int")
+    return scored.withColumns({"year": year, "week": F.weekofyear("Time").cast("int")})
 
 
 def daily_errors(scored: DataFrame) -> DataFrame:
-    return _means(with_day(hourly_errors(scored)), *DISTRICT, "day")
+    return _means(with_day(hourly_errors(scored)), *DISTRICT, "year", "day")
 
 
 def weekly_errors(scored: DataFrame) -> DataFrame:
-    return _means(with_week(hourly_errors(scored)), *DISTRICT, "week")
+    return _means(with_week(hourly_errors(scored)), *DISTRICT, "year", "week")
 
 
 def daily_mean_label(scored: DataFrame) -> DataFrame:
-    return with_day(scored).groupBy(*DISTRICT, "day").agg(F.avg("label").alias("mean_label"))
+    return with_day(scored).groupBy(*DISTRICT, "year", "day").agg(F.avg("label").alias("mean_label"))
 
 
 def comparison(daily: DataFrame, factor: float = 2000.0) -> DataFrame:
     """Proportional measures scaled to sit beside the RMSE of the same day."""
-    return daily.select(*DISTRICT, "day", (F.col("mpe") * factor).alias("mpe_scaled"),
+    return daily.select(*DISTRICT, "year", "day", (F.col("mpe") * factor).alias("mpe_scaled"),
                         (F.col("rmspe") * factor).alias("rmspe_scaled"), "rmse")
 
 
@@ -78,10 +80,12 @@ def best_and_worst(periods: DataFrame, period: str) -> DataFrame:
 
     Both come out of one aggregate that keeps a single candidate per task and district.
     """
-    return periods.groupBy(*DISTRICT).agg(
-        F.min_by(period, F.struct("mpe", period)).alias(f"best_{period}"),
-        F.max_by(period, F.struct(F.col("mpe"), -F.col(period))).alias(f"worst_{period}"),
-    )
+    at, number = F.struct("year", period), F.col(period)
+    found = periods.groupBy(*DISTRICT).agg(
+        F.min_by(at, F.struct("mpe", "year", period)).alias("best"),
+        F.max_by(at, F.struct(F.col("mpe"), -F.col("year"), -number)).alias("worst"))
+    return found.select(*DISTRICT, *[
+        F.col(f"{kind}.{part}").alias(f"{kind}_{part}") for kind in ("best", "worst") for part in ("year", period)])
 
 
 def best_and_worst_days(scored: DataFrame) -> DataFrame:
@@ -99,8 +103,9 @@ def rows_of_extremes(scored: DataFrame, period: str) -> DataFrame:
         "day": (with_day, best_and_worst_days), "week": (with_week, best_and_worst_weeks),
     }[period]
     kinds = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.col(f"{k}_{period}").alias(period)) for k in ("best", "worst")
+        F.struct(F.lit(k).alias("kind"), F.col(f"{k}_year").alias("year"), F.col(f"{k}_{period}").alias(period))
+        for k in ("best", "worst")
     ])
     picked = extremes(scored).select(*DISTRICT, F.inline(kinds))
-    return dated(scored).join(picked, [*DISTRICT, period]).select(
-        *DISTRICT, "kind", period, "Time", "prediction", "label")
+    return dated(scored).join(picked, [*DISTRICT, "year", period]).select(
+        *DISTRICT, "kind", "year", period, "Time", "prediction", "label")

@@ -65,25 +65,37 @@ SCORED = FACTS + _window_join("dis", 1, SAME, "Dis") + """, scored as (
   from facts f join dis_1 s using (t, la, lo)),
 errors as (
   select *, abs(label - prediction) as ae, abs(label - prediction) / greatest(label, 1) as pe,
-         cast(dayofyear(t) as int) as day, cast(week(t) as int) as week
+         cast(dayofyear(t) as int) as day, cast(week(t) as int) as week,
+         cast(year(t) as int) as day_year, cast(isoyear(t) as int) as week_year
   from scored)"""
 
 _LABELLED = """, {0}_stats as (
-  select la, lo, {0}, avg(ae * ae) as mse, sqrt(avg(ae * ae)) as rmse, avg(pe * pe) as mspe,
-         sqrt(avg(pe * pe)) as rmspe, avg(pe) as mpe from errors group by 1, 2, 3)"""
+  select la, lo, {0}_year as year, {0}, avg(ae * ae) as mse, sqrt(avg(ae * ae)) as rmse, avg(pe * pe) as mspe,
+         sqrt(avg(pe * pe)) as rmspe, avg(pe) as mpe from errors group by 1, 2, 3, 4)"""
 DAILY, WEEKLY = _LABELLED.format("day"), _LABELLED.format("week")
 LATLON = "cast(la as double) / 100 as \"Lat\", cast(lo as double) / 100 as \"Lon\""
 STATS = "round(mse, 6) as mse, round(rmse, 6) as rmse, round(mspe, 6) as mspe, round(rmspe, 6) as rmspe, round(mpe, 6) as mpe"
 
 
 def _extremes(period: str, where: str = "true") -> str:
+    picked = ", ".join(
+        f"max(case when {kind} = 1 then {column} end) as {name}" for kind in ("best", "worst")
+        for column, name in (("year", f"{kind}_year"), (period, f"{kind}_{period}")))
     return f""", extremes as (
-  select la, lo, max(case when best = 1 then {period} end) as best, max(case when worst = 1 then {period} end) as worst
-  from (select *, row_number() over (partition by la, lo order by mpe, {period}) as best,
-               row_number() over (partition by la, lo order by mpe desc, {period}) as worst
+  select la, lo, {picked}
+  from (select *, row_number() over (partition by la, lo order by mpe, year, {period}) as best,
+               row_number() over (partition by la, lo order by mpe desc, year, {period}) as worst
         from {period}_stats where {where}) group by 1, 2)"""
 
 
+def _extreme_rows(period: str, where: str = "true") -> str:
+    stats = {"day": DAILY, "week": WEEKLY}[period]
+    return f"""with {SCORED}{stats}{_extremes(period, where)} select {KEY}, kind, x.year, x.{period}, prediction, label
+      from errors e join (select la, lo, 'best' as kind, best_year as year, best_{period} as {period} from extremes union all
+                          select la, lo, 'worst', worst_year, worst_{period} from extremes) x
+      using (la, lo) where e.{period} = x.{period} and e.{period}_year = x.year"""
+
+
 def observations(folded: bool) -> str:
     day = ("date '2024-01-01' + cast(date_diff('day', date '1995-01-01', cast(l_shipdate as date)) % 30 as int)"
            if folded else "cast(l_shipdate as date)")
@@ -385,22 +397,17 @@ def oracle_sql() -> dict[str, str]:
     sql["error_spread"] = f"""with {SCORED}, s as (select la, lo, sqrt(avg(ae * ae)) as rmse, avg(pe) as mpe from errors group by 1, 2)
       select count(*) as districts, round(avg(rmse), 6) as rmse_mean, round(stddev_samp(rmse), 6) as rmse_std,
              round(avg(mpe), 6) as mpe_mean, round(stddev_samp(mpe), 6) as mpe_std from s"""
-    sql["daily_errors"] = f"with {SCORED}{DAILY} select {LATLON}, day, {STATS} from day_stats"
-    sql["weekly_errors"] = f"with {SCORED}{WEEKLY} select {LATLON}, week, {STATS} from week_stats"
-    sql["error_columns"] = (f"with {SCORED}{DAILY} select {LATLON}, day, round(mpe * 2000, 6) as mpe_scaled, "
+    sql["daily_errors"] = f"with {SCORED}{DAILY} select {LATLON}, year, day, {STATS} from day_stats"
+    sql["weekly_errors"] = f"with {SCORED}{WEEKLY} select {LATLON}, year, week, {STATS} from week_stats"
+    sql["error_columns"] = (f"with {SCORED}{DAILY} select {LATLON}, year, day, round(mpe * 2000, 6) as mpe_scaled, "
                             "round(rmspe * 2000, 6) as rmspe_scaled, round(rmse, 6) as rmse from day_stats")
     sql["best_worst_days"] = (f"with {SCORED}{DAILY}{_extremes('day')} "
-                              f"select {LATLON}, best as best_day, worst as worst_day from extremes")
+                              f"select {LATLON}, best_year, best_day, worst_year, worst_day from extremes")
     sql["best_worst_weeks"] = (f"with {SCORED}{WEEKLY}{_extremes('week', 'week not in (1, 53)')} "
-                               f"select {LATLON}, best as best_week, worst as worst_week from extremes")
-    sql["best_worst_day_rows"] = f"""with {SCORED}{DAILY}{_extremes('day')} select {KEY}, kind, day, prediction, label
-      from errors join (select la, lo, 'best' as kind, best as day from extremes union all
-                        select la, lo, 'worst', worst from extremes) using (la, lo, day)"""
-    sql["best_worst_week_rows"] = f"""with {SCORED}{WEEKLY}{_extremes('week', 'week not in (1, 53)')}
-      select {KEY}, kind, week, prediction, label
-      from errors join (select la, lo, 'best' as kind, best as week from extremes union all
-                        select la, lo, 'worst', worst from extremes) using (la, lo, week)"""
-    sql["daily_mean_label"] = f"with {SCORED} select {LATLON}, day, round(avg(label), 6) as mean_label from errors group by la, lo, day"
+                               f"select {LATLON}, best_year, best_week, worst_year, worst_week from extremes")
+    sql["best_worst_day_rows"] = _extreme_rows("day")
+    sql["best_worst_week_rows"] = _extreme_rows("week", "week not in (1, 53)")
+    sql["daily_mean_label"] = f"with {SCORED} select {LATLON}, day_year as year, day, round(avg(label), 6) as mean_label from errors group by la, lo, 3, day"
 
     sql["top_districts"] = (f'with {FACTS} select {LATLON}, cast(sum(p) as bigint) as "Pickups" from facts '
                             "group by la, lo order by 3 desc, 1, 2 limit 5")

@@ -31,6 +31,17 @@ def test_extremes_and_ties(spark):
     assert tuples(errors.rows_of_extremes(df, "day"), "kind", "day", "prediction") == [("best", 5, 9.0), ("worst", 6, 1.0)]
 
 
+def test_years_do_not_merge(spark):
+    df = scored(spark, ("2014-03-01 03:00:00", 9.0, 10.0), ("2015-03-01 03:00:00", 1.0, 10.0), ("2015-03-02 03:00:00", 9.0, 10.0),
+                ("2021-01-02 03:00:00", 5.0, 10.0), ("2021-03-03 03:00:00", 9.0, 10.0))
+    assert tuples(errors.daily_errors(df), "year", "day", "mpe") == [
+        (2014, 60, 0.1), (2015, 60, 0.9), (2015, 61, 0.1), (2021, 2, 0.5), (2021, 62, 0.1)]
+    assert {(r.year, r.week) for r in errors.weekly_errors(df).collect()} == {(2014, 9), (2015, 9), (2015, 10), (2020, 53), (2021, 9)}
+    assert tuples(errors.best_and_worst_days(df), "best_year", "best_day", "worst_year", "worst_day") == [(2014, 60, 2015, 60)]
+    assert tuples(errors.rows_of_extremes(df, "day"), "kind", "year", "day", "prediction") == [
+        ("best", 2014, 60, 9.0), ("worst", 2015, 60, 1.0)]
+
+
 def test_weeks_at_the_turn_of_the_year_are_left_out(spark):
     start = at("2015-01-01 00:00:00")
     rows = [(str(start + timedelta(days=d)), 10.0 + (50 if d in (0, 364) else d % 11), 10.0) for d in range(365)]
