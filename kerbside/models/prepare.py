@@ -16,7 +16,6 @@ from kerbside.operators.facts import split_by_time
 from kerbside.operators.trailing import trailing_columns
 from kerbside.operators.venues import OFFSETS, offset_column
 
-INDEX_COLUMNS = ["Time", "Lat", "Lon", "Pickup_Count"]
 ONE_HOT = ["Hour", "Day", "Month", "Day_Of_Week", "Day_Of_Year"]
 ONE_BASED = ["Day", "Month", "Day_Of_Year"]
 # Number of categories.
@@ -74,6 +73,13 @@ class Prepared:
         return [a["name"] for a in sorted(flat, key=lambda a: a["idx"])]
 
 
+def feature_columns(columns: Sequence[str]) -> list[str]:
+    """The columns that are features, in the table's order: trailing counts, categories, weather
+    and venues. Whatever else a table carries is none."""
+    known = {*trailing_columns(), *ARITY, *weather_columns(columns), *venue_columns(columns)}
+    return [c for c in columns if c in known]
+
+
 def prepare(
     features: DataFrame,
     scale: bool = True,
@@ -90,7 +96,7 @@ def prepare(
     """
     rebased = _rebased(features)
     columns = rebased.columns
-    excluded = list(INDEX_COLUMNS) + ["Dropoff_Count"]
+    replaced: list[str] = []
     stages, appended = [], []
     if scale:
         to_scale = [c for c in trailing_columns() if c in columns] + weather_columns(columns)
@@ -98,15 +104,15 @@ def prepare(
             VectorAssembler(inputCols=to_scale, outputCol="to_scale"),
             StandardScaler(inputCol="to_scale", outputCol="scaled", withStd=True, withMean=False),
         ]
-        excluded += to_scale
+        replaced += to_scale
         appended.append("scaled")
     if one_hot:
         encoded = [c for c in ONE_HOT if c in columns]
         stages.append(OneHotEncoder(
             inputCols=encoded, outputCols=[f"{c}_vector" for c in encoded], dropLast=False))
-        excluded += encoded
+        replaced += encoded
         appended += [f"{c}_vector" for c in encoded]
-    inputs = [c for c in columns if c not in excluded] + appended
+    inputs = [c for c in feature_columns(columns) if c not in replaced] + appended
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
 
     train, test = split_by_time(rebased, split, strict_reference)

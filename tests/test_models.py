@@ -53,6 +53,13 @@ def test_forest_vectors_keep_categories(features):
     assert p.train.count() == p.test.count() == 480
 
 
+def test_other_columns_are_no_features(features):
+    more = features.withColumns({"extra": F.lit(1.0), "Dropoff_Count": F.lit(3), "id": F.lit(7)})
+    for scale, one_hot in ((True, True), (False, False)):
+        names = [prepare.prepare(df, scale, one_hot, split=SPLIT).feature_names() for df in (features, more)]
+        assert names[0] == names[1]
+
+
 def test_one_hot_has_every_level(features):
     p = prepare.prepare(features, scale=False, one_hot=True, split=SPLIT)
     names = p.feature_names()
