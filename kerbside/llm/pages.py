@@ -79,22 +79,36 @@ _CLOSES_P = frozenset((
     "nav ol p pre section table ul").split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+#: One attribute after the other; a quote means something right after the sign only.
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMED = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
+
+#: Classes and roles of an ``article`` element that is a reader's comment.
+_READERS = frozenset("comment comments reply replies".split())
 
 Open = tuple[str, str, bool]
 
 
 def _attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTRIBUTE.finditer(rest)}
+    """The attributes that matter; of one given twice the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        name = m[1].lower()
+        if name in _NAMED and name not in found:
+            found[name] = next((g for g in m.groups()[1:] if g is not None), "")
+    return found
 
 
 def _outside(name: str, attributes: dict[str, str]) -> bool:
     if name in OUTSIDE or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main"):
         return False
+    if name == "article":
+        words = f"{attributes.get('class', '')} {attributes.get('role', '')}".lower().split()
+        return not _READERS.isdisjoint(words)
     return any(OUTSIDE_NAMES.search(attributes[a]) for a in ("class", "id", "role") if attributes.get(a))
 
 

@@ -18,6 +18,11 @@ from kerbside.llm.pages import article_slot, extract, host_labels, host_of, main
     ("<article><p>keep</p><aside>no</aside><div class='ad'>buy</div><p>this</p></article>", "keep\nthis"),
     ("<article><p>cut <b>off", "cut off"), ("<main><ul><li>a<li>b</ul></main>", "a\nb"),
     ("<article>" + "<p>word</p>" * 3000 + "</article>", "\n".join(["word"] * 3000)),
+    ('<article><div style="overflow:hidden">Long body text</div><p title="a hidden gem">para</p></article>', "Long body text\npara"),
+    ('<article><div data-id="related">kept</div><p hidden>gone</p><p id=related>gone</p></article>', "kept"),
+    ("<article><p title=it's>first</p><p>second isn't lost</p></article>", "first\nsecond isn't lost"),
+    ('<article><p>body</p></article><article class="comment odd">a reader</article>', "body"),
+    ('<article class="post has-comments"><p a="x>y" b=\'">\'>body</p></article>', "body"),
     ("<!-- c --><article>&lt;tag&gt; &#233; &eacute;</article><!-- open", "<tag> é é"),
 ])
 def test_main_text(page, text):
