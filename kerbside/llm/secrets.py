@@ -63,25 +63,55 @@ EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+#: Entries of a block in which running values are folded: a fold copies its list at every step.
+BLOCK = 256
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` and lambdas inside it use it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What ``combine`` makes of the first 1, 2, .. entries of an array of int, as an array.
+
+    Each block is folded by itself, then the blocks' last values, and every entry meets what
+    the blocks before it gave, so that the work grows with the array and not with its square.
+    """
+    def fold(entries: Column) -> Column:
+        return F.aggregate(F.slice(entries, 2, F.size(entries)), F.slice(entries, 1, 1),
+                           lambda done, v: F.array_append(done, combine(F.element_at(done, -1), v)))
+
+    def blocked(all_values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_values), F.lit(BLOCK))
+        return F.transform(starts, lambda s: fold(F.slice(all_values, s, BLOCK)))
+
+    def joined(blocks: Column) -> Column:
+        ends = fold(F.transform(blocks, lambda e: F.element_at(e, -1)))
+        return _with(ends, lambda before: F.flatten(F.transform(blocks, lambda e, k: F.when(k == 0, e).otherwise(
+            _with(F.get(before, k - 1), lambda v: F.transform(e, lambda x: combine(v, x)))))))
+
+    none = F.array().cast("array<int>")
+    return _with(values, lambda v: F.when(F.size(v) == 0, none).when(F.size(v) <= BLOCK, fold(v)).otherwise(
+        _with(blocked(v), joined)))
+
+
 def _spans_of(text: Column, k: int, kind: Kind) -> Column:
-    """``start, kind, end, value`` of every match: a fold over the gaps between matches."""
+    """``start, kind, end, value`` of every match, by running sums over the gaps between matches."""
     pattern = F.lit(kind.pattern)
     gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g))
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(kind.value)) if kind.value else matches
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
-
-    def step(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        end = start + F.length(m["match"])
-        span = F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], span).alias("found"))
+    # The last gap has no match after it, and no value then.
+    rows = F.filter(F.zip_with(
+        gaps, F.arrays_zip(matches.alias("match"), values.alias("value")),
+        lambda g, m: F.struct(g.alias("gap"), F.length(m["match"]).alias("size"), m["value"].alias("value"))),
+        lambda r: r["size"].isNotNull())
 
-    rows = F.zip_with(
-        F.zip_with(matches, values, lambda m, v: F.struct(m.alias("match"), v.alias("value"))),
-        F.slice(gaps, 1, F.size(matches)),
-        lambda m, g: F.struct(m["match"].alias("match"), m["value"].alias("value"), g.alias("gap")))
-    found = F.aggregate(rows, empty, step, lambda s: s["found"])
+    def spans(r: Column) -> Column:
+        ends = _running(F.transform(r, lambda m: m["gap"] + m["size"]), lambda x, y: x + y)
+        return F.zip_with(r, ends, lambda m, end: F.struct(
+            (end - m["size"]).alias("start"), F.lit(k).alias("kind"), end.alias("end"), m["value"].alias("value")))
 
     def counts(s: Column) -> Column:
         fits = F.length(s["value"]) >= kind.least
@@ -89,24 +119,48 @@ def _spans_of(text: Column, k: int, kind: Kind) -> Column:
             fits = fits & s["value"].rlike(c)
         return fits
 
-    found = F.filter(found, counts)
-    return F.when(text.rlike(kind.pattern), found).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(kind.pattern), F.filter(_with(rows, spans), counts)).otherwise(F.array().cast(_SPAN))
+
+
+def _apart(found: Column, others: Column) -> Column:
+    """The spans of ``found`` that touch none of ``others``, in order: along all spans by start,
+    the farthest end of others so far lies before a span that is apart, and the next start of
+    others, sought from the back, behind it."""
+    def kept(f: Column, o: Column) -> Column:
+        line = F.array_sort(F.concat(
+            F.transform(o, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("own"), s["end"].alias("end"), s.alias("span"))),
+            F.transform(f, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s["end"].alias("end"), s.alias("span")))))
+
+        def swept(spans: Column) -> Column:
+            reach = _running(F.transform(spans, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(-1)), F.greatest)
+            last = F.lit(2 ** 31 - 1)
+            upcoming = F.reverse(_running(F.reverse(F.transform(
+                spans, lambda s: F.when(s["own"] == 0, s["start"]).otherwise(last))), F.least))
+            marked = F.zip_with(spans, F.arrays_zip(reach.alias("reach"), upcoming.alias("next")), lambda s, m: F.struct(
+                s["span"].alias("span"),
+                ((s["own"] == 1) & (m["reach"] <= s["start"]) & (m["next"] >= s["end"])).alias("clear")))
+            return F.transform(F.filter(marked, lambda m: m["clear"]), lambda m: m["span"])
+
+        return _with(line, swept)
+
+    return _with(found, lambda f: _with(others, lambda o: F.when((F.size(f) == 0) | (F.size(o) == 0), f).otherwise(kept(f, o))))
 
 
 def candidate_spans(text: Column) -> Column:
     """All candidate spans of a text, by start and kind. Weak ones that touch a base span, or
-    an earlier weak one, are left out."""
+    a weak one of an earlier kind, are left out. The work grows with the number of matches."""
     text = F.coalesce(text, F.lit(""))
     base = F.concat(*[_spans_of(text, k, kind) for k, kind in enumerate(KINDS) if kind.base])
     weak = F.concat(*[_spans_of(text, k, kind) for k, kind in enumerate(KINDS) if not kind.base])
 
-    def apart(w: Column, others: Column) -> Column:
-        return ~F.exists(others, lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"]))
+    def of_kind(alone: Column, k: int) -> Column:
+        return _apart(F.filter(alone, lambda w: w["kind"] == k), F.filter(alone, lambda w: w["kind"] < k))
+
+    def settled(b: Column, alone: Column) -> Column:
+        kept = [of_kind(alone, k) for k in range(len(BASE), len(KINDS))]
+        return F.when(F.size(alone) == 0, F.array_sort(b)).otherwise(F.array_sort(F.concat(b, *kept)))
 
-    alone = F.filter(weak, lambda w: apart(w, base))
-    first = F.filter(alone, lambda w: ~F.exists(
-        alone, lambda v: (v["kind"] < w["kind"]) & (w["start"] < v["end"]) & (v["start"] < w["end"])))
-    return F.array_sort(F.concat(base, first))
+    return _with(base, lambda b: _with(_apart(weak, b), lambda alone: settled(b, alone)))
 
 
 def ownership(values: DataFrame) -> DataFrame:
