@@ -9,13 +9,13 @@ are the frame of the template, repeated ones (items of a list, paragraphs) nest
 token above them. The slots between are where pages differ. The article slot is the smallest
 frame token around all slots with varying text; an ``article`` or ``main`` in the frame that
 holds most of it bounds it. An element inside it whose whole text is the same in all pages
-that have it is template text, whatever the number of pages, if these differ otherwise.
+that have it is template text, whatever the number of pages, if these differ otherwise; below
+an ``article`` nothing is.
 
 Statistics are aggregates that combine on the map side, vectors and orders as checksums.
 Class names tell tokens apart only if most pages of a host have them, and tokens too rare for
 a valid class go before a host's tokens are gathered, so what is gathered is bounded by the
-tokens of a page, however many pages a host has. A page of a host with too few pages for
-statistics, or without the host's article slot, is read by its own marks: its ``article`` or
+tokens of a page, however many pages a host has. A page that is the only one of its host, or without the host's article slot, is read by its own marks: its ``article`` or
 ``main`` element, else the body. Elements that never hold main text (menus, headers, footers,
 sidebars, forms, scripts, styles, adverts, notices, comments, by tag, role, class or id) are
 left out of any slot.
@@ -40,7 +40,7 @@ from kerbside.llm.common import map_batches, write_table
 from kerbside.sizing import BROADCAST_LIMIT_BYTES
 
 #: Pages a host needs for statistics, the share of them in which a valid class occurs, and its size.
-LEAST_PAGES, VALID_PERCENT, LEAST_TOKENS = 3, 60, 2
+LEAST_PAGES, VALID_PERCENT, LEAST_TOKENS = 2, 60, 2
 
 #: Elements that can be a slot.
 CONTAINERS = frozenset("body article main section div table td".split())
@@ -48,8 +48,8 @@ CONTAINERS = frozenset("body article main section div table td".split())
 #: An ``article`` or ``main`` mark with this share of the host's varying text is its article slot.
 SLOT_PERCENT = 70
 
-#: Depth to which tokens are told apart.
-DEPTH = 24
+#: Depth to which tokens are told apart: that of the trees browsers build.
+DEPTH = 512
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -88,7 +88,8 @@ _NAMED = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 #: Classes and roles of an ``article`` element that is a reader's comment.
 _READERS = frozenset("comment comments reply replies".split())
 
-Open = tuple[str, str, bool]
+#: An open element: its path, name, whether it is outside of main text, and the element around it.
+Open = tuple[str, str, bool, "Open | None"]
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -128,19 +129,20 @@ def page_labels(page: str | None) -> set[str]:
     return found
 
 
-def events(page: str, labels: frozenset[str] | None = None) -> Iterator[tuple[str, tuple[Open, ...] | str]]:
-    """``("open", stack)`` and ``("close", stack)`` around elements, ``("text", text)`` between.
+def events(page: str, labels: frozenset[str] | None = None) -> Iterator[tuple[str, Open | str]]:
+    """``("open", element)`` and ``("close", element)`` around elements, ``("text", text)`` between.
 
-    A stack has ``path, name, outside`` per open element. Classes are part of a path if their
-    label is in ``labels``, all of them without.
+    Classes are part of a path if their label is in ``labels``, all of them without. What an
+    element lies in hangs on it, so that a page of any depth takes room by its elements alone.
     """
     stack: list[Open] = []
+    unclosed: dict[str, int] = {}
     at = 0
 
-    def close(k: int) -> Iterator[tuple[str, tuple[Open, ...]]]:
+    def close(k: int) -> Iterator[tuple[str, Open]]:
         while len(stack) > k:
-            yield "close", tuple(stack)
-            stack.pop()
+            yield "close", stack[-1]
+            unclosed[stack.pop()[1]] -= 1
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -150,30 +152,30 @@ def events(page: str, labels: frozenset[str] | None = None) -> Iterator[tuple[st
         if not name:
             continue
         if m["end"]:
+            if unclosed.get(name):
+                yield from close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == name))
+            continue
+        if name in _ENDS or name in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1] == name:
+                inner = stack[k][1]
+                if inner in _ENDS.get(name, ()) or inner == "p" and name in _CLOSES_P:
                     yield from close(k)
                     break
-            continue
-        for k in range(len(stack) - 1, -1, -1):
-            inner = stack[k][1]
-            if inner in _ENDS.get(name, ()) or inner == "p" and name in _CLOSES_P:
-                yield from close(k)
-                break
-            if inner in BLOCKS and inner != "p":
-                break
+                if inner in BLOCKS and inner != "p":
+                    break
         attributes = _attributes(m["rest"])
         label = _label(name, attributes)
         if labels is not None and label not in labels:
             label = name
-        parent = stack[-1][0] if stack else ""
-        path = f"{parent}>{label}" if len(stack) < DEPTH else parent
-        outside = _outside(name, attributes) or bool(stack) and stack[-1][2]
-        stack.append((path, name, outside))
-        yield "open", tuple(stack)
+        parent = stack[-1] if stack else None
+        above = parent[0] if parent else ""
+        path = f"{above}>{label}" if len(stack) < DEPTH else above
+        element = (path, name, _outside(name, attributes) or parent is not None and parent[2], parent)
+        stack.append(element)
+        unclosed[name] = unclosed.get(name, 0) + 1
+        yield "open", element
         if name in VOID or m["rest"].endswith("/") and name not in BLOCKS:
-            yield "close", tuple(stack)
-            stack.pop()
+            yield from close(len(stack) - 1)
     if at < len(page):
         yield "text", page[at:]
     yield from close(0)
@@ -197,19 +199,23 @@ def page_tokens(page: str | None, labels: frozenset[str] | None = None) -> dict[
     text in it and a checksum of that text. Elements that are outside of main text are not
     entered."""
     found: dict[str, list] = {}
-    stack: tuple[Open, ...] = ()
+    lines: dict[str, tuple[str, ...]] = {"": ()}
+    inner: Open | None = None
     for kind, value in events(page or "", labels):
         if kind == "text":
-            if not (stack and stack[-1][2]) and (words := value.split()):
+            if inner and not inner[2] and (words := value.split()):
                 piece = " ".join(words)
-                for path in {e[0] for e in stack}:
+                for path in lines[inner[0]]:
                     entry = found[path]
                     entry[1] += len(piece)
                     entry[2].update(piece + "\n")
             continue
-        stack = value if kind == "open" else value[:-1]
-        if kind == "open" and not value[-1][2]:
-            found.setdefault(value[-1][0], [0, 0, xxhash.xxh3_64()])[0] += 1
+        inner = value if kind == "open" else value[3]
+        if kind == "open" and not value[2]:
+            path = value[0]
+            if path not in lines:
+                lines[path] = (*lines[value[3][0] if value[3] else ""], path)
+            found.setdefault(path, [0, 0, xxhash.xxh3_64()])[0] += 1
     return {p: (n, chars, text.intdigest() - (1 << 63)) for p, (n, chars, text) in found.items()}
 
 
@@ -314,8 +320,8 @@ def class_orders(page: str | None, labels: frozenset[str] | None, vectors: dict[
     """Per class a checksum of the order in which the page has its tokens."""
     order: dict[int, list[str]] = {}
     for kind, value in events(page or "", labels):
-        if kind == "open" and not value[-1][2] and (vector := vectors.get(value[-1][0])) is not None:
-            order.setdefault(vector, []).append(value[-1][0])
+        if kind == "open" and not value[2] and (vector := vectors.get(value[0])) is not None:
+            order.setdefault(vector, []).append(value[0])
     return {v: _slot("\n".join(paths)) for v, paths in order.items()}
 
 
@@ -377,48 +383,59 @@ def article_slot(members: list[dict]) -> list[str]:
     if not marks and sum(n for p, n in varying.items() if not valid.keys() & set(_above(p))) > everything:
         return []
     slot = marks[0] if marks else max((p for p in frame if varying[p] == everything), key=lambda p: (p.count(">"), p))
-    return [slot] + sorted(p for p in fixed if p.startswith(slot + ">"))
+    if "article" in map(name, (*_above(slot), slot)):
+        return [slot]
+    return [slot] + sorted(p for p in fixed if p.startswith(slot + ">") and "article" not in map(name, _above(p)))
 
 
 def main_text(page: str | None, slots: list[int] | None, labels: frozenset[str] | None = None) -> str:
     """Blocks of the article slot (or, without one, of the page's own marks), one per line."""
     parsed = list(events(page or "", labels))
-    paths = {v[-1][0] for k, v in parsed if k == "open"}
-    names = {v[-1][1] for k, v in parsed if k == "open" and not v[-1][2]}
+    paths = {v[0] for k, v in parsed if k == "open"}
+    names = {v[1] for k, v in parsed if k == "open" and not v[2]}
     known = {p: _slot(p) for p in paths} if slots else {}
+    fixed: set[int] = set()
     if slots and slots[0] in known.values():
         article, fixed = slots[0], set(slots[1:])
 
-        def enters(entry: Open) -> bool:
-            return known[entry[0]] == article
+        def enters(element: Open) -> bool:
+            return known[element[0]] == article
     else:
-        fixed = set()
         mark = next((n for n in ("article", "main", "body", "html") if n in names), None)
 
-        def enters(entry: Open) -> bool:
-            return mark is not None and entry[1] == mark
+        def enters(element: Open) -> bool:
+            return element[1] == mark
 
         if mark is None:
-            return _join_blocks(parsed, lambda stack: not (stack and stack[-1][2]))
+            return _join_blocks(parsed, True, lambda element, around: True)
 
-    def within(stack: tuple[Open, ...]) -> bool:
-        if not stack or stack[-1][2]:
-            return False
-        return any(map(enters, stack)) and not (fixed and any(known.get(e[0]) in fixed for e in stack))
+    def within(element: Open, around: bool | None) -> bool | None:
+        """Whether an element is taken, by what holds for the one around; None below template text."""
+        if around is None or known.get(element[0]) in fixed:
+            return None
+        return around or enters(element)
 
-    return _join_blocks(parsed, within)
+    return _join_blocks(parsed, False, within)
 
 
-def _join_blocks(parsed: list, within: Callable[[tuple[Open, ...]], bool]) -> str:
-    blocks, pieces, taken = [], [], within(())
+def _join_blocks(parsed: list, outer: bool, within: Callable[[Open, bool | None], bool | None]) -> str:
+    """The text of elements that are taken and not outside of main text, a line per block.
+    ``outer`` is what holds above all elements."""
+    blocks, pieces = [], []
+    states: list[bool | None] = [outer]
+    taken = outer
     for kind, value in parsed:
         if kind == "text":
             if taken:
                 pieces.append(value)
             continue
-        after = value if kind == "open" else value[:-1]
-        inside = within(after)
-        if value[-1][1] in BLOCKS or inside != taken:
+        if kind == "open":
+            states.append(within(value, states[-1]))
+            inside = bool(states[-1]) and not value[2]
+        else:
+            states.pop()
+            inside = bool(states[-1]) and not (value[3] and value[3][2])
+        if value[1] in BLOCKS or inside != taken:
             if text := _plain(pieces):
                 blocks.append(text)
             pieces = []

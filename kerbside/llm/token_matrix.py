@@ -203,6 +203,12 @@ def write_matrix(matrix: DataFrame, path: str) -> None:
     matrix.write.option("compression", "zstd").parquet(path)
 
 
+def written_matrix(docs: DataFrame, path: str, folder: str, window: int = WINDOW, end_id: int = 0, pad_id: int = 0) -> DataFrame:
+    """The packed matrix of ``docs``, written to ``folder`` and read back from its files."""
+    write_matrix(packed_matrix(docs, path, window, end_id, pad_id), folder)
+    return docs.sparkSession.read.schema(MATRIX).parquet(folder)
+
+
 def matrix_digests(matrix: DataFrame) -> DataFrame:
     """Per sequence: its documents, starts and segment ends, and checksums of ids and positions."""
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:

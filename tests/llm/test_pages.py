@@ -59,7 +59,9 @@ def test_classes():
     members = [member("", 30, 1, 0), member(">body", 30, 1, 10), member(">body>div.a", 30, 1, 5000), member(">body>div.a>p", 30, 9, 9000),
                member(">body>div.a>div.n", 30, 1, 300, True), member(">body>div.b", 30, 1, 100)]
     assert article_slot(members) == [">body>div.a", ">body>div.a>div.n"]
-    assert article_slot([member("", 2, 1, 0), member(">body", 2, 1, 10)]) == []
+    assert article_slot([member("", 1, 1, 0), member(">body", 1, 1, 10)]) == []
+    own = [m | {"path": m["path"].replace("div.a", "article")} for m in members]
+    assert article_slot(own) == [">body>article"]
     assert page_tokens("<body><nav><p>x</p></nav><p>y</p></body>").keys() == {">body", ">body>p"}
 
 
@@ -81,6 +83,22 @@ def test_label_above_varying_text(spark, pages):
     assert got == [f"Story:\nvarying text {k}" for k in range(pages)]
 
 
+@pytest.mark.parametrize("pages", [2, 3, 12])
+def test_any_depth_and_number_of_pages(spark, pages):
+    """Deep templates without an article mark; what all articles begin with stays in them."""
+    deep, ends = "<div>" * 60, "</div>" * 60
+    got = texts_of(spark, [f"{deep}<div class=links>Same links</div><div class=s><p>Varying story {k}</p></div>{ends}" for k in range(pages)])
+    assert got == [f"Varying story {k}" for k in range(pages)]
+    got = texts_of(spark, [f"<article><h1>T{k}</h1><div class=sig>Shared intro</div><p>Story {k}</p></article>" for k in range(pages)])
+    assert got == [f"T{k}\nShared intro\nStory {k}" for k in range(pages)]
+
+
+def test_very_deep_page():
+    assert main_text("<div>" * 30_000 + "<b>" * 30_000 + "deep" + "</i>" * 30_000, None) == "deep"
+    assert main_text("<article>" + "<div>" * 2_000 + "<nav>no</nav>deep" + "</div>" * 2_000 + "<p>end", None) == "deep\nend"
+    assert len(page_tokens("<div>" * 3_000)) == 512
+
+
 def test_class_per_page(spark):
     names = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
     bodies = [f"<div class='post-{k}'><div class={n}><p>Text {k} of {n}</p></div></div><div class=end>Bye now</div>" for k, n in enumerate(names)]
