@@ -9,8 +9,10 @@ from pyspark.ml.regression import LinearRegressionModel, RandomForestRegressionM
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.functions import geo
 from kerbside.models.train import model_path, rows_of
 from kerbside.operators.errors import district_errors
+from kerbside.operators.sampling import bernoulli_by_key
 
 MODEL_CLASSES = {"linear": LinearRegressionModel, "random_forest": RandomForestRegressionModel}
 SAMPLING_SEED = 1234
@@ -26,7 +28,8 @@ def sampled(rows: DataFrame, fraction: float = 1.0, seed: int = SAMPLING_SEED) -
     drawn hangs on its district and hour alone."""
     if fraction >= 1.0:
         return rows
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), "Time", "Lat", "Lon"), F.lit(1 << 32)) < int(fraction * (1 << 32)))
+    keys = [F.date_format("Time", "yyyyMMddHH"), geo.cell_of(F.col("Lat")), geo.cell_of(F.col("Lon"))]
+    return bernoulli_by_key(rows, keys, fraction, seed)
 
 
 def score_districts(table: DataFrame, models: Mapping, fraction: float = 1.0,

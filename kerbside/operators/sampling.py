@@ -35,7 +35,7 @@ def bernoulli_rows(df: DataFrame, percentage: float, seed: int) -> DataFrame:
     return numbered.filter(_unit([values, F.col("_number")], seed) < percentage / 100.0).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def bernoulli_by_key(df: DataFrame, keys: list[str], fraction: float | Column, seed: int) -> DataFrame:
+def bernoulli_by_key(df: DataFrame, keys: list[str | Column], fraction: float | Column, seed: int) -> DataFrame:
     """Like ``bernoulli``, but the draw hangs on the key: the same rows come back whatever
     the partitioning, file layout, or lost and repeated tasks."""
     limit = fraction if isinstance(fraction, Column) else F.lit(float(fraction))

@@ -642,6 +642,16 @@ def event_json_roundtrip(spark, sf):
     return rounded(flat, "latitude", "longitude")
 
 
+@query
+def event_array_scan(spark, sf):
+    """Documents of array files, one array a file, before they are enriched."""
+    path = new_table_path(spark, "event-arrays")
+    event_files.write_event_arrays(b.crawled_events(spark, sf), path)
+    crawled = event_files.read_events(spark, path).drop("venue")
+    flat = enrichment.enrich_events(crawled, b.crawled_venues(spark, sf), b.geocodes(spark, sf))
+    return rounded(flat, "latitude", "longitude")
+
+
 @query
 def flat_event_csv(spark, sf):
     path = new_table_path(spark, "flat-events")
@@ -728,17 +738,51 @@ def train_linear(spark, sf):
     return fitted.select("Lat", "Lon", "rows", F.round(w[0], 6).alias("w_trailing"), F.round(w[1], 6).alias("w_hour"))
 
 
-@query
-def predict_linear(spark, sf):
-    """Fit before the split, predict what follows, compare with what happened."""
+def _linear_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the preceding hour's pickups and the hour of day, before and after the split."""
     rows = trailing.with_trailing_counts(_facts(spark, sf), hours=(1,), neighbours=False)
     rows = tp.with_calendar(rows.filter("Pickup_Count_Dis_1h IS NOT NULL"))
+    return facts.split_by_time(materialize(rows, "linear-rows"), b.SPLIT)
+
+
+def _linear_errors(before: DataFrame, chosen: DataFrame) -> DataFrame:
     columns = ["Pickup_Count_Dis_1h", "Hour"]
-    before, after = facts.split_by_time(materialize(rows, "linear-rows"), b.SPLIT)
-    scored = train.predict_linear_all(after, train.fit_linear_all(before, columns), columns)
+    scored = train.predict_linear_all(chosen, train.fit_linear_all(before, columns), columns)
     return rounded(errors.district_errors(scored), *STATS)
 
 
+@query
+def predict_linear(spark, sf):
+    """Fit before the split, predict what follows, compare with what happened."""
+    return _linear_errors(*_linear_split(spark, sf))
+
+
+@query
+def training_errors(spark, sf):
+    """Errors on the rows that were fitted."""
+    before, _ = _linear_split(spark, sf)
+    return _linear_errors(before, before)
+
+
+@query
+def sampled_errors(spark, sf):
+    """Errors on a drawn half of the rows that follow the split."""
+    before, after = _linear_split(spark, sf)
+    return _linear_errors(before, score.sampled(after, 0.5))
+
+
+@query
+def category_arity(spark, sf):
+    """Per category of the vectors that forests get: its number of values, and the rows' values."""
+    prepared = _forest_rows(spark, sf)
+    attrs = [a for kind in prepared.train.schema["features"].metadata["ml_attr"]["attrs"].values() for a in kind if "vals" in a]
+    rows = prepared.train.select(vector_to_array("features").alias("v"))
+    entry = F.explode(F.array(*[F.struct(
+        F.lit(a["name"]).alias("feature"), F.lit(len(a["vals"])).alias("arity"), F.col("v")[a["idx"]].alias("value")) for a in attrs]))
+    return rows.select(entry.alias("e")).groupBy("e.feature", "e.arity").agg(
+        F.min("e.value").alias("lowest"), F.max("e.value").alias("highest"), F.countDistinct("e.value").alias("values"))
+
+
 @query
 def train_linear_vectors(spark, sf):
     """The linear model on the whole prepared vector, saved, loaded and evaluated."""

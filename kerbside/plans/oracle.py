@@ -429,7 +429,7 @@ def oracle_sql() -> dict[str, str]:
       k % 2 = 0 as all_day, cast(coalesce(n.score, -1) as double) as score, round(p.lat, 6) as latitude, round(p.lng, 6) as longitude
       from placed p left join nearest n on n.lat = p.lat and n.lng = p.lng
       where p.lat is not null and (k % 13 = 0 or k % 11 <> 0)"""
-    sql["event_json_roundtrip"] = sql["flatten_events"]
+    sql["event_json_roundtrip"] = sql["event_array_scan"] = sql["flatten_events"]
     sql["flat_event_csv"] = f"""with {CITY_EVENTS} select cast(id as varchar) as id, guid, s as start_date,
       s + to_hours(extra) as end_date, extra = 3 as all_day, cast(raw_score as double) as score,
       cast(la as double) / 1000 as latitude, case when lo is not null then cast(lo as double) / 1000 end as longitude from ev"""
@@ -481,6 +481,11 @@ def oracle_sql() -> dict[str, str]:
     sql["forest_scored_rows"] = (
         f'select "Lat", "Lon", count(*) as scored, true as within_labels from {rows} where "Time" >= {split} '
         f'and ("Lat", "Lon") in (select ("Lat", "Lon") from {rows} where "Time" < {split}) group by 1, 2')
+    sql["category_arity"] = " union all ".join(
+        f"select '{c}' as feature, {arity} as arity, cast(min({v}) as double) as lowest, cast(max({v}) as double) as highest, "
+        f'count(distinct {v}) as values from {rows} where "Time" < {split}'
+        for c, arity, v in (("Hour", 24, 'hour("Time")'), ("Day_Of_Week", 7, 'isodow("Time") - 1'),
+                            ("Day_Of_Year", 366, 'dayofyear("Time") - 1'), ("Is_Holiday", 2, 'cast("Is_Holiday" as int)')))
     sql["holidays"] = HOLIDAYS
     for name, columns in LINEAR_CHECK.items():
         sql[name] = columns
@@ -528,13 +533,23 @@ def _linear(rows: str) -> str:
              (bl * aa - ay * ab) / (aa * bb - ab * ab) as w_hour from s)"""
 
 
-LINEAR_CHECK = {
-    "train_linear": f"""{_linear("true")} select {LATLON}, n as rows, round(w_trailing, 6) as w_trailing,
-      round(w_hour, 6) as w_hour from fitted""",
-    "predict_linear": f"""{_linear("t < timestamp '2024-01-24'")}, e as (
+def _linear_errors(chosen: str) -> str:
+    return f"""{_linear("t < timestamp '2024-01-24'")}, e as (
       select la, lo, abs(w_trailing * prediction + w_hour * h - label) as ae, greatest(label, 1) as g
-      from scored join fitted using (la, lo) where t >= timestamp '2024-01-24'),
+      from scored join fitted using (la, lo) where {chosen}),
     m as (select la, lo, avg(ae * ae) as mse, sqrt(avg(ae * ae)) as rmse, avg(ae / g * (ae / g)) as mspe,
                  sqrt(avg(ae / g * (ae / g))) as rmspe, avg(ae / g) as mpe from e group by 1, 2)
-    select {LATLON}, {STATS} from m""",
+    select {LATLON}, {STATS} from m"""
+
+
+#: A draw of half the rows by district and hour.
+_HALF = ("cast(('0x' || substr(md5(strftime(t, '%Y%m%d%H') || '|' || la || '|' || lo || '|1234'), 1, 8)) as bigint) "
+         "/ 4294967296.0 < 0.5")
+
+LINEAR_CHECK = {
+    "train_linear": f"""{_linear("true")} select {LATLON}, n as rows, round(w_trailing, 6) as w_trailing,
+      round(w_hour, 6) as w_hour from fitted""",
+    "predict_linear": _linear_errors("t >= timestamp '2024-01-24'"),
+    "training_errors": _linear_errors("t < timestamp '2024-01-24'"),
+    "sampled_errors": _linear_errors(f"t >= timestamp '2024-01-24' and {_HALF}"),
 }

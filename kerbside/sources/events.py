@@ -41,6 +41,15 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.json(path)
 
 
+def write_event_arrays(events: DataFrame, path: str, per_file: int = 500) -> None:
+    """Annotated events as files that each hold one array of at most ``per_file`` documents, as a
+    crawler leaves them page by page. A file's documents are gathered, so their number bounds a row."""
+    numbered = events.select(F.struct(*events.columns).alias("event")) \
+        .withColumn("page", F.expr(f"monotonically_increasing_id() div {per_file}"))
+    pages = numbered.groupBy("page").agg(F.collect_list("event").alias("events"))
+    pages.select("page", F.to_json("events").alias("value")).write.partitionBy("page").text(path)
+
+
 def write_flat(flat: DataFrame, path: str) -> None:
     flat.select(*FLAT_COLUMNS).write.option("header", True).csv(path)
 

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from conftest import at, tuples
 from kerbside.operators import heatmaps
 from kerbside.sources import events, tables, trips, weather
@@ -46,6 +48,11 @@ def test_event_arrays_and_flat_files(spark, tmp_path):
     assert tuples(df, "id", "canceled", "address") == [("1", None, None), ("2", True, "here")]
     events.write_events(df, str(tmp_path / "lines"))
     assert tuples(events.read_events(spark, str(tmp_path / "lines"), array_file=False)) == tuples(df)
+    many = spark.range(1234).select(F.col("id").cast("string"), F.lit("a \"[{\" b").alias("address")).repartition(3)
+    events.write_event_arrays(many, str(tmp_path / "arrays"), per_file=100)
+    back = events.read_events(spark, str(tmp_path / "arrays"))
+    assert tuples(back, "id", "address") == tuples(many) and back.filter("guid IS NOT NULL").count() == 0
+    assert back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] == 100
     (tmp_path / "v.json").write_text('[{"id": "V", "score": 0.5, "location": {"lat": 1.0, "lon": 2.0}}, {"id": "W"}]')
     assert tuples(events.read_venues(spark, str(tmp_path / "v.json")), "id", "score") == [("V", 0.5), ("W", None)]
     (tmp_path / "f.csv").write_text(
