@@ -8,13 +8,16 @@ from datetime import datetime
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from kerbside.operators.facts import split_by_time
 from kerbside.operators.trailing import trailing_columns
 from kerbside.operators.venues import OFFSETS, offset_column
+from kerbside.operators.weather import MEASURES
 
 ONE_HOT = ["Hour", "Day", "Month", "Day_Of_Week", "Day_Of_Year"]
 ONE_BASED = ["Day", "Month", "Day_Of_Year"]
@@ -24,25 +27,56 @@ SPLIT = datetime(2015, 1, 1)
 
 
 def weather_columns(columns: Sequence[str]) -> list[str]:
-    prefixes = ("AWND_", "PRCP_", "TMAX_", "TMIN_")
-    return [c for c in columns if c.startswith(prefixes)]
+    """Columns of single stations, ``TMIN_S1``, or a measure's vector over all stations, ``TMIN``."""
+    prefixes = tuple(f"{m}_" for m in MEASURES)
+    return [c for c in columns if c.startswith(prefixes) or c in MEASURES]
 
 
 def venue_columns(columns: Sequence[str]) -> list[str]:
     return [c for c in map(offset_column, OFFSETS) if c in columns]
 
 
+_ONE_VECTOR = StructType([StructField("vector", VectorUDT())])
+
+
+def _sparse(indices: Column, values: Column, width: int) -> Column:
+    """A sparse vector from its ascending positions and its values.
+
+    No SQL function builds one, but the JSON reader fills a column of any declared type, so
+    the rows stay in the JVM.
+    """
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"),
+                     indices.alias("indices"), values.alias("values"))
+    return F.from_json(F.to_json(F.struct(parts.alias("vector"))), _ONE_VECTOR)["vector"]
+
+
 def venue_vectors(df: DataFrame, width: int) -> DataFrame:
-    """Lists of active venues as sparse vectors of ``width`` entries.
+    """Lists of active venues, null or in venue order, as sparse vectors of ``width`` entries.
 
-    The one Python function on the path: no SQL expression builds a sparse vector. Call it
-    on one row per hour, before the lists are joined to the districts, where that matters.
+    Call it on one row per hour, before the lists are joined to the districts.
     """
-    def build(entries):
-        return SparseVector(width, [(e["venue_id"], float(e["n"])) for e in entries or []])
+    def vector(name: str) -> Column:
+        entries = F.coalesce(F.col(f"`{name}`"), F.array().cast(df.schema[name].dataType))
+        return _sparse(F.transform(entries, lambda e: e["venue_id"]), F.transform(entries, lambda e: e["n"].cast("double")), width)
+
+    return df.withColumns({c: vector(c) for c in venue_columns(df.columns)})
+
 
-    vector = F.udf(build, VectorUDT())
-    return df.withColumns({c: vector(F.col(f"`{c}`")) for c in venue_columns(df.columns)})
+def weather_vectors(arrays: DataFrame, stations: Sequence[str]) -> DataFrame:
+    """``Date`` and one dense vector per measure out of a day's arrays by station number.
+
+    The entries carry the stations' names, and the vectors their length, which is checked: an
+    array of another length is an error, and so is a measure that no station has in the whole
+    period, for which there is nothing to fill gaps with.
+    """
+    def vector(name: str) -> Column:
+        wrong = (F.size(name) != len(stations)) | F.exists(name, lambda v: v.isNull())
+        checked = F.when(wrong, F.raise_error(F.lit(f"{name}: not one value per station"))).otherwise(F.col(name))
+        attrs = [{"idx": i, "name": s} for i, s in enumerate(stations)]
+        meta = {"ml_attr": {"attrs": {"numeric": attrs}, "num_attrs": len(stations)}}
+        return array_to_vector(checked).alias(name, metadata=meta)
+
+    return arrays.select("Date", *[vector(m) for m in sorted(c for c in arrays.columns if c in MEASURES)])
 
 
 def _rebased(df: DataFrame) -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo
 from kerbside.functions import timeparts as tp
 from kerbside.functions.values import score_or_zero
+from kerbside.sources.tables import INDEX_PART
 
 POINT_RADIUS = 10  # Fixed value of the document format.
-#: Half a degree: a document part has at most 500 x 500 cells of a thousandth degree.
-PART_CELLS = 500
+#: Points of a document: a frame with more is cut into parts.
+PART_POINTS = 250_000
+#: Parts are made of whole squares of a quarter degree, at most 250 x 250 cells of a thousandth.
+SQUARE_CELLS = 250
 
 
 def _cells(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -115,21 +119,53 @@ def listed_frames(spark: SparkSession, titles: list[str]) -> DataFrame:
                                            F.format_string("%02d", ix).alias("name"))
 
 
-def documents(weights: DataFrame, frames: DataFrame) -> DataFrame:
-    """``name, part, document``: JSON documents ``{title, pointRadius, data}`` per frame.
+def documents(weights: DataFrame, frames: DataFrame, part_points: int = PART_POINTS) -> DataFrame:
+    """``name, part, document``: JSON documents ``{title, pointRadius, data}`` per frame, and one
+    index per frame, ``{title, pointRadius, points, parts}``, whose ``part`` is ``index``.
 
-    Frames without points give a document with empty data. A frame spreading over more
-    than half a degree is cut into parts by position, each a full document of its own, so
-    that a document's size is bounded by its square and not by the data.
+    A frame of at most ``part_points`` points is one document, wherever its points lie; without
+    points its data is empty. Of a larger one whole squares, in their order, make up parts that
+    end with the square that fills them, so a part's size is bounded by the two constants.
+    Only counts per square are put in order; points go straight to their part.
     """
     d = geo.HEATMAP_DECIMALS
-    square = [F.floor(geo.cell_of(F.col(c), d) / PART_CELLS).cast("int").alias(f"{c}_part") for c in ("lat", "lon")]
+    axes = {"lat_square": "lat", "lon_square": "lon"}
+    placed = weights.withColumns({s: F.floor(geo.cell_of(F.col(c), d) / SQUARE_CELLS).cast("int") for s, c in axes.items()})
+    squares = placed.groupBy("frame", *axes).agg(F.count("*").alias("points"))
+    # a frame has no more squares than the globe, 1440 x 720
+    before = W.partitionBy("frame").orderBy(*axes).rowsBetween(W.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("points").over(before), F.lit(0)) / part_points).cast("int")
+    whole = F.sum("points").over(W.partitionBy("frame")) <= part_points
+    numbered = squares.select("frame", *axes, "points", F.when(whole, 0).otherwise(part).alias("part_id"))
     point = F.struct("lat", "lon", "weight")
-    parts = weights.groupBy("frame", *square).agg(F.array_sort(F.collect_list(point)).alias("data"))
+    parts = placed.join(numbered.drop("points"), ["frame", *axes]).groupBy("frame", "part_id") \
+        .agg(F.array_sort(F.collect_list(point)).alias("data"))
+    head = [F.col("title"), F.lit(POINT_RADIUS).alias("pointRadius")]
     nothing = F.array().cast("array<struct<lat:double,lon:double,weight:double>>")
-    return frames.join(parts, "frame", "left").select(
-        "name",
-        F.coalesce(F.concat_ws("_", "lat_part", "lon_part"), F.lit("")).alias("part"),
-        F.to_json(F.struct(
-            F.col("title"), F.lit(POINT_RADIUS).alias("pointRadius"),
-            F.coalesce("data", nothing).alias("data"))).alias("document"))
+    name_of = F.coalesce(F.col("part_id"), F.lit(0)).cast("string")
+    pieces = frames.join(parts, "frame", "left").select(
+        "name", name_of.alias("part"),
+        F.to_json(F.struct(*head, F.coalesce("data", nothing).alias("data"))).alias("document"))
+    listed = frames.join(numbered, "frame", "left").groupBy("name", "title").agg(
+        F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.array_sort(F.collect_set(name_of)).alias("parts"))
+    index = listed.select(
+        "name", F.lit(INDEX_PART).alias("part"), F.to_json(F.struct(*head, "points", "parts")).alias("document"))
+    return pieces.unionByName(index)
+
+
+def map_series(
+    spark: SparkSession, pickups: DataFrame | None, events: DataFrame | None, days: list[date], hour: int,
+) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """``name -> (weights, frames)`` of every published series: pickups in all, by weekday, by hour
+    and on equal hours of the listed days, and events in all, by weekday and by hour."""
+    framings = {"": (frame_whole, None), "_by_weekday": (frame_weekday, weekday_frames(spark)), "_by_hour": (frame_hour, hour_frames(spark))}
+    series = {}
+    for kind, points, weigh in (("pickups", pickups, pickup_heatmap), ("events", events, event_heatmap)):
+        if points is not None:
+            for suffix, (frame, frames) in framings.items():
+                listed = frames if frames is not None else single_frame(spark, kind.capitalize(), kind)
+                series[kind + suffix] = (weigh(points, frame), listed)
+    if pickups is not None and days:
+        titles = [f"{d.isoformat()} {hour:02d}:00" for d in days]
+        series["pickups_same_hour"] = (same_hour_days(pickups, days, hour), listed_frames(spark, titles))
+    return series

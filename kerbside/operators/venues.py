@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbside.functions import timeparts as tp
-from kerbside.session import materialize
-from kerbside.sizing import broadcast_if_bounded
+from kerbside.operators.numbering import numbered
 
 #: Column order of the venue features; it fixes the feature indices of a model.
 OFFSETS = (0, -3, -2, -1, 1, 2, 3)
@@ -38,24 +36,10 @@ def event_spans(events: DataFrame) -> DataFrame:
 
 
 def venue_ids(places: DataFrame) -> DataFrame:
-    """``venue_id, latitude, longitude``: distinct coordinates numbered by (latitude, longitude).
-
-    Venues are dealt to ranges whose bounds are drawn from themselves, and put in order there;
-    what the ranges before hold is added to a venue's place in its range. However crowded a
-    strip of the map is, its venues are numbered in parallel.
-    """
+    """``venue_id, latitude, longitude``: distinct coordinates numbered by (latitude, longitude),
+    in parallel however crowded a strip of the map is."""
     distinct = places.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("latitude", "longitude").distinct()
-    at = ["latitude", "longitude"]
-    placed = materialize(distinct.repartitionByRange(*at).sortWithinPartitions(*at).select(
-        "*", F.monotonically_increasing_id().alias("place")), "venue-places")
-    # The place has the number of the range above its 33 lowest bits.
-    placed = placed.select(*at, F.shiftright("place", 33).alias("range"), F.col("place").bitwiseAND((1 << 33) - 1).alias("rank"))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    starts = placed.groupBy("range").agg(F.count("*").alias("n")).select(
-        "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranges = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.join(broadcast_if_bounded(starts, ranges), "range").select(
-        (F.col("first") + F.col("rank")).cast("int").alias("venue_id"), *at)
+    return numbered(distinct, ["latitude", "longitude"], "venue_id")
 
 
 def event_hours(events: DataFrame, calendar: tp.HourRange | None = None) -> DataFrame:
@@ -120,18 +104,18 @@ def venue_features(
 ) -> DataFrame:
     """``Time`` and one list of active venues per offset.
 
+    An hour's list is gathered once; whole lists then go to the hours that look at them.
     Only hours whose neighbours at every offset lie in the calendar are kept, so its
     first and last three hours drop out.
     """
+    entries = F.array_sort(F.collect_list(F.struct("venue_id", "n")))
+    per_hour = activity.groupBy("Time").agg(entries.alias("Venues"))
     at = F.explode(F.array(*[F.lit(i) for i in offsets])).alias("offset")
-    moved = activity.select("*", at).withColumn("Time", _moved(F.col("Time"), F.col("offset")))
-    entry = F.struct("venue_id", "n")
-    per_hour = moved.groupBy("Time").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("offset") == i, entry))).alias(offset_column(i))
-        for i in offsets
-    ])
+    moved = per_hour.select("*", at).withColumn("Time", _moved(F.col("Time"), F.col("offset")))
+    shifted = moved.groupBy("Time").agg(*[
+        F.first(F.when(F.col("offset") == i, F.col("Venues")), ignorenulls=True).alias(offset_column(i)) for i in offsets])
     names = [offset_column(i) for i in offsets]
     ahead, behind = max(0, -min(offsets)), max(0, max(offsets))
     inside = F.col("Time").between(
         tp.plus_hours(calendar.start, behind), tp.plus_hours(calendar.end, -ahead))
-    return _on_calendar(per_hour, calendar, names).filter(inside)
+    return _on_calendar(shifted, calendar, names).filter(inside)

@@ -10,14 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbside.operators.nearest import k_nearest
+from kerbside.operators.numbering import numbered
 from kerbside.session import materialize
 
 # The measures that the feature table uses.
 MEASURES = ["TMIN", "TMAX", "PRCP", "AWND"]
 NEIGHBOURS_USED = 3
 
-#: Above this many stations a table with one column per station and measure stops being
-#: sensible; the long form below has no such limit.
+#: Above this many stations no view with one column per station and measure is given; tables
+#: hold one array per measure (``weather_arrays``), for any number of stations.
 MAX_WIDE_STATIONS = 128
 
 
@@ -120,11 +121,11 @@ _MEAN_OF_FIRST_KNOWN = """
               a -> IF(a.n > 0, a.total / a.n, NULL))"""
 
 
-def impute_wide(
+def impute_in_rows(
     wide: DataFrame, days: DataFrame, stations: Sequence[Station], measures: Sequence[str] = MEASURES
 ) -> DataFrame:
-    """Fill each gap with the mean of the nearest three stations measuring that day, or with
-    the mean over the whole period when none does.
+    """``Date`` and an array per measure, by station: each gap filled with the mean of the nearest
+    three stations measuring that day, or with the mean over the whole period when none does.
 
     A projection over the pivoted row: no join, no shuffle. Each measure's values stand in
     one array by station, and the constant neighbour order says where to look. The period
@@ -140,16 +141,23 @@ def impute_wide(
         "Date",
         *[F.array(*[F.col(f"`{wide_name(m, s.name)}`") for s in stations]).alias(f"values_{m}") for m in measures],
         *[means.select(m).scalar().alias(f"mean_{m}") for m in measures])
-    filled = known.select("Date", *[
+    return known.select("Date", *[
         F.expr(f"""transform(array({order}), (near, i) -> coalesce(values_{m}[i],
             {_MEAN_OF_FIRST_KNOWN.format(values=f"values_{m}", k=NEIGHBOURS_USED)}, mean_{m}))""").alias(m)
-        for m in measures])
+        for m in sorted(measures)])
+
+
+def impute_wide(
+    wide: DataFrame, days: DataFrame, stations: Sequence[Station], measures: Sequence[str] = MEASURES
+) -> DataFrame:
+    """The same with one column per measure and station."""
+    filled = impute_in_rows(wide, days, stations, measures)
     return filled.select("Date", *[
         F.col(m)[i].alias(wide_name(m, s.name)) for m in sorted(measures) for i, s in enumerate(stations)])
 
 
 def daily_weather(days: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Station days to the imputed wide table."""
+    """Station days to the imputed wide table, for few stations."""
     stations = list_stations(days)
     return impute_wide(pivot_stations(days, stations, measures), days, stations, measures)
 
@@ -187,7 +195,9 @@ def _every_day(stations: DataFrame, days: DataFrame) -> DataFrame:
     return everywhere.join(days.select("Date").distinct(), "Date", "left_semi").select("Date", "Station", "Lat", "Lon")
 
 
-def impute_long(days: DataFrame, measures: Sequence[str] = MEASURES, tried: int = NEIGHBOURS_TRIED) -> DataFrame:
+def impute_long(
+    days: DataFrame, measures: Sequence[str] = MEASURES, tried: int = NEIGHBOURS_TRIED, means: DataFrame | None = None,
+) -> DataFrame:
     """The same imputation for any number of stations: rows ``Date, Station, measures``.
 
     Gaps first meet the values of their station's nearest neighbours, found once for all days.
@@ -222,12 +232,54 @@ def impute_long(days: DataFrame, measures: Sequence[str] = MEASURES, tried: int
         wide = _nearest_known(wanting, cells.filter("value IS NOT NULL")).withColumnRenamed("mean", "wide_mean")
         cells = cells.join(wide, ["Date", "measure", "Lat", "Lon"], "left")
         value = F.coalesce("value", F.when(F.col("open"), F.col("wide_mean")).otherwise(F.col("mean")))
-    means = measure_means(days, measures)
+    means = measure_means(days, measures) if means is None else means
     return cells.groupBy("Date", "Station").agg(*[
         F.max(F.when(F.col("measure") == m, value)).alias(m) for m in measures
     ]).select("Date", "Station", *[F.coalesce(F.col(m), means.select(m).scalar()).alias(m) for m in measures])
 
 
+def station_numbers(days: DataFrame) -> DataFrame:
+    """``station_id, Station``: named stations numbered in name order."""
+    return numbered(days.filter("Station IS NOT NULL").select("Station").distinct(), ["Station"], "station_id")
+
+
+def station_names(numbers: DataFrame) -> list[str]:
+    """Names by number, on the driver: vectors name their entries in the table's schema. One short
+    text per station, never per observation."""
+    return [r.Station for r in numbers.orderBy("station_id").collect()]
+
+
+def weather_arrays(
+    days: DataFrame, numbers: DataFrame, measures: Sequence[str] = MEASURES, in_rows: int = MAX_WIDE_STATIONS,
+) -> DataFrame:
+    """One row per observed day: ``Date`` and per measure the filled values of all stations, in one
+    array by station number.
+
+    However many stations there are, the table has one column per measure. Observations
+    without a station name count for the means and have no place in the arrays. Up to
+    ``in_rows`` stations the neighbour order is part of the plan and gaps are filled within a
+    day's row; beyond that they are filled by joins, with the same values.
+    """
+    named, means = days.filter("Station IS NOT NULL"), measure_means(days, measures)
+    is_few = numbers.limit(in_rows + 1).count() <= in_rows
+    stations = list_stations(named, in_rows) if is_few else []
+    if stations:
+        return impute_in_rows(pivot_stations(named, stations, measures), days, stations, measures)
+    filled = impute_long(named, measures, means=means).join(numbers, "Station")
+    entry = F.struct("station_id", *measures)
+    per_day = filled.groupBy("Date").agg(F.array_sort(F.collect_list(entry)).alias("values"))
+    return per_day.select("Date", *[F.col("values").getField(m).alias(m) for m in sorted(measures)])
+
+
+def station_columns(arrays: DataFrame, stations: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Arrays by station number as one column per measure and station, for few stations."""
+    if len(stations) > MAX_WIDE_STATIONS:
+        raise ValueError(f"more than {MAX_WIDE_STATIONS} stations: use the arrays")
+    rest = [F.col(f"`{c}`") for c in arrays.columns if c not in measures]
+    return arrays.select(*rest, *[
+        F.get(m, F.lit(i)).alias(wide_name(m, s)) for m in sorted(measures) for i, s in enumerate(stations)])
+
+
 # ---- coverage statistics -------------------------------------------------------------
 
 

@@ -119,16 +119,21 @@ def _inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def _features(spark: SparkSession, sf: str, vectors: bool = False) -> DataFrame:
-    """The full feature table of the test tables, venue lists as arrays or as vectors.
+    """The full feature table of the test tables, venue lists and weather as arrays or as vectors.
 
-    Vectors are built per hour, before the lists meet the districts.
+    Vectors are built per hour and per day, before they meet the districts.
     """
     inputs = _inputs(spark, sf)
     ids = venues.venue_ids(inputs["spans"])
     lists = venues.venue_features(venues.venue_hours(inputs["spans"], ids, b.CALENDAR), b.CALENDAR)
+    numbers = materialize(weather.station_numbers(inputs["days"]), "station-numbers")
+    days = weather.weather_arrays(inputs["days"], numbers)
     if vectors:
         lists = prep.venue_vectors(lists, width=ids.count())  # the one number that fixes the vectors
-    return feature_table(inputs["facts"], weather.daily_weather(inputs["days"]), lists, b.CALENDAR)
+        days = prep.weather_vectors(days, weather.station_names(numbers))
+    else:
+        days = weather.station_columns(days, weather.station_names(numbers))
+    return feature_table(inputs["facts"], days, lists, b.CALENDAR)
 
 
 @query
@@ -167,6 +172,18 @@ def weather_imputed_long(spark, sf):
     return rounded(weather.impute_long(_station_days(spark, sf)), *weather.MEASURES)
 
 
+@query
+def weather_by_number(spark, sf):
+    """Arrays by station number, filled by joins as for any number of stations, written as the job
+    writes them and read back entry by entry."""
+    days = _station_days(spark, sf)
+    numbers = materialize(weather.station_numbers(days), "station-numbers")
+    arrays = materialize(weather.weather_arrays(days, numbers, in_rows=0), "weather-arrays")
+    entries = arrays.select("Date", F.posexplode(F.arrays_zip(*weather.MEASURES)).alias("station_id", "v"))
+    named = entries.join(numbers, "station_id").select("Date", "station_id", "Station", "v.*")
+    return rounded(named, *weather.MEASURES)
+
+
 @query
 def measure_means(spark, sf):
     return rounded(weather.measure_means(weather.station_days(b.observations(spark, sf))), *weather.MEASURES)
@@ -336,12 +353,23 @@ def event_heatmap_by_hour(spark, sf):
     return rounded(heatmaps.event_heatmap(points, heatmaps.frame_hour), "weight")
 
 
+def _restored(spark: SparkSession, weights: DataFrame, frames: DataFrame, part_points: int = heatmaps.PART_POINTS) -> DataFrame:
+    path = new_table_path(spark, "heatmap")
+    tables.write_documents(heatmaps.documents(weights, frames, part_points), path)
+    return rounded(tables.read_documents(spark, path), "weight")
+
+
 @query
 def heatmap_documents(spark, sf):
     weights = heatmaps.pickup_heatmap(_pickups(spark, sf), heatmaps.frame_hour)
-    path = new_table_path(spark, "heatmap")
-    tables.write_documents(heatmaps.documents(weights, heatmaps.hour_frames(spark)), path)
-    return rounded(tables.read_documents(spark, path), "weight")
+    return _restored(spark, weights, heatmaps.hour_frames(spark))
+
+
+@query
+def event_documents(spark, sf):
+    """Events by weekday; parts of a few points, so that frames come back from several."""
+    weights = heatmaps.event_heatmap(heatmaps.event_points(b.city_events(spark, sf)), heatmaps.frame_weekday)
+    return _restored(spark, weights, heatmaps.weekday_frames(spark), part_points=3)
 
 
 # ---- statistics and slices ------------------------------------------------------------

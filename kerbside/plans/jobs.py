@@ -9,7 +9,7 @@
     train        feature table           -> one model per listed district
     evaluate     feature table, models   -> predictions and error table
     importance   a saved forest          -> feature scores
-    heatmaps     trip CSV files          -> map documents
+    heatmaps     trips, flat events      -> map documents of all series
     sample       any CSV                 -> a percentage of its rows
     slice        trip CSV files          -> trips of a range of days
 """
@@ -53,7 +53,9 @@ def run_weather(spark, a) -> None:
     header = weather_files.read_header(spark, a.observations)
     raw = weather_files.read_daily(spark, a.observations, header)
     days = materialize(weather.station_days(raw), "station-days")
-    weather.daily_weather(days).write.parquet(a.out)
+    numbers = materialize(weather.station_numbers(days), "station-numbers")
+    weather.weather_arrays(days, numbers).write.parquet(f"{a.out}/days")
+    numbers.write.parquet(f"{a.out}/stations")
 
 
 def run_enrich(spark, a) -> None:
@@ -75,8 +77,9 @@ def run_events(spark, a) -> None:
 def run_features(spark, a) -> None:
     lists = spark.read.parquet(f"{a.events}/features")
     width = spark.read.parquet(f"{a.events}/venues").count()
+    names = weather.station_names(spark.read.parquet(f"{a.weather}/stations"))
     table = feature_table(
-        tables.read_by_month(spark, a.facts), spark.read.parquet(a.weather),
+        tables.read_by_month(spark, a.facts), prep.weather_vectors(spark.read.parquet(f"{a.weather}/days"), names),
         prep.venue_vectors(lists, width), _calendar(a), gaps=a.gaps, month_and_day=a.month_and_day)
     tables.write_by_month(table, a.out)
 
@@ -123,14 +126,10 @@ def run_importance(spark, a) -> None:
 
 
 def run_heatmaps(spark, a) -> None:
-    points = heatmaps.pickup_points(_trips(spark, a))
-    for name, frame, frames in (
-        ("pickups", heatmaps.frame_whole, heatmaps.single_frame(spark, "Pickups", "pickups")),
-        ("pickups_by_weekday", heatmaps.frame_weekday, heatmaps.weekday_frames(spark)),
-        ("pickups_by_hour", heatmaps.frame_hour, heatmaps.hour_frames(spark)),
-    ):
-        weights = heatmaps.pickup_heatmap(points, frame)
-        tables.write_documents(heatmaps.documents(weights, frames), f"{a.out}/{name}")
+    pickups = materialize(heatmaps.pickup_points(_trips(spark, a)).select("Time", "lat_cell", "lon_cell"), "points")
+    events = heatmaps.event_points(event_files.read_flat(spark, a.events)) if a.events else None
+    for name, (weights, frames) in heatmaps.map_series(spark, pickups, events, a.days, a.hour).items():
+        tables.write_documents(heatmaps.documents(materialize(weights, name), frames), f"{a.out}/{name}")
 
 
 def run_sample(spark, a) -> None:
@@ -165,8 +164,12 @@ def parser() -> argparse.ArgumentParser:
         j.add_argument("--kind", choices=sorted(score.MODEL_CLASSES), default="random_forest")
         j.add_argument("--split", type=datetime.fromisoformat, default=prep.SPLIT)
 
-    for name, run in (("trips", run_trips), ("heatmaps", run_heatmaps)):
-        job(name, run, "trips", "out").add_argument("--file-list")
+    job("trips", run_trips, "trips", "out").add_argument("--file-list")
+    j = job("heatmaps", run_heatmaps, "trips", "out")
+    j.add_argument("--file-list")
+    j.add_argument("--events", help="flat events, for the maps of events")
+    j.add_argument("--days", type=date.fromisoformat, nargs="*", default=[], help="days to compare at one hour")
+    j.add_argument("--hour", type=int, default=19)
     job("weather", run_weather, "observations", "out")
     job("enrich", run_enrich, "events", "venues", "geocodes", "out").add_argument("--json-lines", action="store_true")
     years(job("events", run_events, "events", "out"))

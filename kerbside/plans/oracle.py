@@ -295,6 +295,9 @@ def oracle_sql() -> dict[str, str]:
     sql["weather_imputed"] = f"""with {_imputed()} select d as "Date", station as "Station",
       {", ".join(f'round("{m}", 6) as "{m}"' for m in MEASURES)} from imputed"""
     sql["weather_imputed_long"] = sql["weather_imputed"]
+    sql["weather_by_number"] = f"""with {_imputed()} select d as "Date", station as "Station",
+      cast(dense_rank() over (order by station) - 1 as int) as station_id,
+      {", ".join(f'round("{m}", 6) as "{m}"' for m in MEASURES)} from imputed"""
     sql["measure_means"] = f"with {observations(True)} select " + ", ".join(
         f'round(avg("{m}"), 6) as "{m}"' for m in MEASURES) + " from obs"
     sql["station_coordinates"] = (
@@ -331,6 +334,11 @@ def oracle_sql() -> dict[str, str]:
         "10 as point_radius, cast(la").replace(", v as pickups", "").replace(
         "as weight from g", "as weight from (select unnest(range(24)) as h) left join g on g.frame = h")
 
+    weekdays = "['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday']"
+    sql["event_documents"] = _event_heat("isodow(s) - 1").replace(
+        "select frame, cast(la", f"select cast(h as varchar) as name, {weekdays}[h + 1] as title, 10 as point_radius, cast(la").replace(
+        ", v as score", "").replace("as weight from g", "as weight from (select unnest(range(7)) as h) left join g on g.frame = h")
+
     sql["trip_histograms"] = f"""with {TRIPS} select part, value, count(*) as n from (
       select 'year' as part, cast(year(pickup_time) as int) as value from trips union all
       select 'month', cast(month(pickup_time) as int) from trips union all

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +16,23 @@ _FIXED_WIDTH = (
 )
 
 
+def _vector_bytes(field: T.StructField) -> int | None:
+    """Bytes of a dense vector whose metadata states its length."""
+    length = field.metadata.get("ml_attr", {}).get("num_attrs")
+    return 8 * length + 64 if isinstance(field.dataType, VectorUDT) and length is not None else None
+
+
 def row_width(schema: T.StructType) -> int | None:
-    """Bytes of one unsafe row, or None when a column has no fixed width."""
-    if any(not isinstance(f.dataType, _FIXED_WIDTH) for f in schema.fields):
-        return None
+    """Bytes of one unsafe row, or None when a column has no known width."""
     words = len(schema.fields)
-    return 8 * words + 8 * ((words + 63) // 64) + 16
+    width = 8 * words + 8 * ((words + 63) // 64) + 16
+    for f in schema.fields:
+        if not isinstance(f.dataType, _FIXED_WIDTH):
+            extra = _vector_bytes(f)
+            if extra is None:
+                return None
+            width += extra
+    return width
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:

@@ -92,17 +92,33 @@ def read_errors(spark: SparkSession, path: str) -> DataFrame:
         .option("sep", PAIR_SEPARATOR).csv(path).withColumnsRenamed({"lat": "Lat", "lon": "Lon"})
 
 
+#: Part that lists the parts of a frame.
+INDEX_PART = "index"
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Heatmap documents as text, one directory per frame and part."""
+    """Heatmap documents as text, one directory per frame and part, the index among them."""
     documents.select("name", "part", "document").write.partitionBy("name", "part").text(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Points of written documents: ``name, title, point_radius, lat, lon, weight``; frames
-    without points keep one row with null coordinates."""
-    schema = "title string, pointRadius int, data array<struct<lat:double,lon:double,weight:double>>"
+    without points keep one row with null coordinates.
+
+    A frame is what its index lists: other parts that lie there are not read, and a missing
+    part, or one with too few points, is an error.
+    """
+    schema = "title string, pointRadius int, points bigint, parts array<string>, data array<struct<lat:double,lon:double,weight:double>>"
     raw = spark.read.schema("value string, name string, part string").text(path)
-    doc = raw.select("name", F.from_json("value", schema).alias("d"))
-    return doc.select(
+    doc = raw.select("name", "part", F.from_json("value", schema).alias("d"))
+    index = doc.filter(F.col("part") == INDEX_PART).select(
         "name", F.col("d.title").alias("title"), F.col("d.pointRadius").alias("point_radius"),
-        F.explode_outer("d.data").alias("p")).select("name", "title", "point_radius", "p.lat", "p.lon", "p.weight")
+        F.col("d.points").alias("points"), F.explode("d.parts").alias("part"))
+    pieces = doc.filter(F.col("part") != INDEX_PART).select("name", "part", F.col("d.data").alias("data"))
+    found = index.join(pieces, ["name", "part"], "left")
+    held = found.groupBy("name").agg(F.sum(F.size("data")).alias("held"), F.count_if(F.col("data").isNull()).alias("lost"))
+    checked = found.join(held, "name").withColumn("data", F.when(
+        (F.col("lost") > 0) | (F.col("held") != F.col("points")),
+        F.raise_error(F.concat(F.lit("map documents: parts of frame "), "name", F.lit(" are missing")))).otherwise(F.col("data")))
+    return checked.select("name", "title", "point_radius", F.explode_outer("data").alias("p")).select(
+        "name", "title", "point_radius", "p.lat", "p.lon", "p.weight")

@@ -50,13 +50,16 @@ def test_whole_pipeline(spark, folder):
     main(["trips", str(folder), p("facts"), "--file-list", p("files.txt")], spark)
     assert spark.read.parquet(p("facts")).agg({"Pickup_Count": "sum"}).first()[0] == 20 * 24 * 8
     main(["weather", p("weather.csv"), p("weather")], spark)
-    wide = spark.read.parquet(p("weather"))
-    assert len(wide.columns) == 13 and wide.filter("TMIN_S1 <> -3").count() == 0
+    assert tuples(spark.read.parquet(p("weather", "stations"))) == [(0, "S0"), (1, "S1"), (2, "S2")]
+    arrays = spark.read.parquet(p("weather", "days"))
+    assert len(arrays.columns) == 5 and arrays.count() == 22
+    assert arrays.filter("TMIN[1] <> -3 OR size(PRCP) <> 3").count() == 0
     main(["enrich", p("events.json"), p("venues.json"), p("codes.csv"), p("flat")], spark)
     main(["events", p("flat"), p("venue_features"), *years], spark)
     main(["features", p("facts"), p("weather"), p("venue_features"), p("features"), *years], spark)
     features = spark.read.parquet(p("features"))
     assert features.count() > 1000 and features.first()["Venues_0h"].size == 3
+    assert all(v.size == 3 and v[1] == -3 for v, in features.select("TMIN").distinct().collect())
     main(["districts", p("facts"), p("districts"), "--n", "2", "--among", "3"], spark)
     listed = tables.district_list(spark, p("districts"))
     assert len(listed) == 2
@@ -76,8 +79,12 @@ def test_whole_pipeline(spark, folder):
 
 def test_maps_samples_and_slices(spark, folder):
     p = lambda *x: str(folder.joinpath(*x))
-    main(["heatmaps", p("trips_2014-12.csv"), p("maps")], spark)
-    assert tables.read_documents(spark, p("maps", "pickups_by_weekday")).select("name").distinct().count() == 7
+    main(["enrich", p("events.json"), p("venues.json"), p("codes.csv"), p("map_events")], spark)
+    main(["heatmaps", p("trips_2014-12.csv"), p("maps"), "--events", p("map_events"), "--days", "2014-12-25", "2014-12-26"], spark)
+    frames = {"pickups": 1, "pickups_by_weekday": 7, "pickups_by_hour": 24, "pickups_same_hour": 2,
+              "events": 1, "events_by_weekday": 7, "events_by_hour": 24}
+    for name, number in frames.items():
+        assert tables.read_documents(spark, p("maps", name)).select("name").distinct().count() == number
     main(["sample", p("trips_2014-12.csv"), "10", p("sample")], spark)
     assert 250 < spark.read.option("header", True).csv(p("sample")).count() < 520
     main(["slice", p("trips_2014-12.csv"), p("slice"), "--first", "2014-12-25", "--last", "2014-12-26"], spark)

@@ -41,6 +41,17 @@ def test_venue_vectors(features):
     assert first == SparseVector(3, {}) and second == SparseVector(3, {2: 3.0})
 
 
+def test_venue_vectors_of_many_venues(spark):
+    """An hour with 100,000 active venues, and one without a list, without Python in the plan."""
+    entries = "transform(sequence(0, 99999), i -> named_struct('venue_id', i * 2, 'n', CAST(i % 9 AS BIGINT)))"
+    df = spark.range(2).selectExpr("id", f"IF(id = 0, {entries}, NULL) AS Venues_0h")
+    vectors = prepare.venue_vectors(df, 200_000)
+    assert "Python" not in vectors._jdf.queryExecution().executedPlan().toString()
+    full, empty = [r.Venues_0h for r in vectors.orderBy("id").collect()]
+    assert full.size == empty.size == 200_000 and empty.numNonzeros() == 0
+    assert len(full.indices) == 100_000 and full[199_998] == 99_999 % 9 and full[1] == 0
+
+
 def test_forest_vectors_keep_categories(features):
     p = prepare.prepare(features, scale=False, one_hot=False, split=SPLIT)
     names = p.feature_names()

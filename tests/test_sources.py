@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import at, tuples
@@ -91,21 +93,29 @@ def test_a_feature_called_month_survives(spark, tmp_path):
     assert read.columns == ["Time", "Month", "Day"] and tuples(read, "Month", "Day") == [(3, 1)]
 
 
-def test_documents_with_empty_frames_and_parts(spark, tmp_path):
-    weights = spark.createDataFrame(
-        [(8, 40.7, -74.0, 1.0), (8, 40.701, -74.0, 0.5), (8, 41.7, -74.0, 0.25), (9, 40.7, -74.0, 1.0)],
-        "frame int, lat double, lon double, weight double")
-    docs = heatmaps.documents(weights, heatmaps.hour_frames(spark)).collect()
-    assert len(docs) == 25  # 24 frames, one of them in two parts
-    empty = next(json.loads(d.document) for d in docs if d.name == "00")
-    assert empty == {"title": "00:00", "pointRadius": 10, "data": []}
-    first = min((d for d in docs if d.name == "08"), key=lambda d: d.part)
-    assert json.loads(first.document)["data"] == [
-        {"lat": 40.7, "lon": -74.0, "weight": 1.0}, {"lat": 40.701, "lon": -74.0, "weight": 0.5}]
-    tables.write_documents(heatmaps.documents(weights, heatmaps.hour_frames(spark)), str(tmp_path / "d"))
+def test_documents_of_empty_whole_and_cut_frames(spark, tmp_path):
+    west = [(8, 40.7, -74.0 + i / 1000, 1.0 / (i + 1)) for i in range(-3, 4) if i != -1]  # on both sides of a square's edge
+    weights = spark.createDataFrame([*west, (8, 41.7, -74.0, 0.25), (9, 40.7, -74.0, 1.0)],
+                                    "frame int, lat double, lon double, weight double")
+    whole = heatmaps.documents(weights, heatmaps.hour_frames(spark)).collect()
+    assert len(whole) == 48 and {d.part for d in whole} == {"0", "index"}  # a frame is one document, and its index
+    by_part = lambda docs: {(d.name, d.part): json.loads(d.document) for d in docs}
+    assert by_part(whole)["00", "0"] == {"title": "00:00", "pointRadius": 10, "data": []}
+    assert by_part(whole)["00", "index"] == {"title": "00:00", "pointRadius": 10, "points": 0, "parts": ["0"]}
+    assert len(by_part(whole)["08", "0"]["data"]) == 7
+    cut = heatmaps.documents(weights, heatmaps.hour_frames(spark), part_points=3)
+    cut_parts = by_part(cut.collect())
+    listed = cut_parts["08", "index"]
+    assert listed["points"] == 7 and len(listed["parts"]) > 1
+    assert sum(len(cut_parts["08", p]["data"]) for p in listed["parts"]) == 7
+    tables.write_documents(cut, str(tmp_path / "d"))
     points = tables.read_documents(spark, str(tmp_path / "d"))
-    assert tuples(points.filter("name = '09'"), "title", "lat", "weight") == [("09:00", 40.7, 1.0)]
-    assert points.filter("name = '00'").first().lat is None
+    assert tuples(points.filter("name = '08'"), "lat", "lon", "weight") == tuples(weights.filter("frame = 8"), "lat", "lon", "weight")
+    assert points.filter("name = '00'").first().lat is None and points.select("name").distinct().count() == 24
+    some = listed["parts"][-1]
+    cut.filter(f"NOT (name = '08' AND part = '{some}')").write.partitionBy("name", "part").text(str(tmp_path / "less"))
+    with pytest.raises(Exception, match="parts of frame 08 are missing"):
+        tables.read_documents(spark, str(tmp_path / "less")).collect()
 
 
 def test_frame_lists(spark):

@@ -4,7 +4,9 @@ from datetime import date
 import pytest
 
 from conftest import at, tuples
+from kerbside import sizing
 from kerbside.functions.timeparts import HourRange
+from kerbside.models import prepare
 from kerbside.operators import weather
 
 OBS = "Date date, Lat double, Lon double, Station string, TMIN double, TMAX double, PRCP double, AWND double"
@@ -125,6 +127,46 @@ def test_wide_columns_and_limit(spark):
         weather.list_stations(days, limit=1)
 
 
+def test_arrays_by_station_number(spark):
+    r = random.Random(9)
+    rows = [(d, s, r.choice([None, 1.0, 2.0, 5.0])) for d in range(1, 9) for s in "EBDCA"]
+    days = weather.station_days(obs(spark, *rows))
+    numbers = weather.station_numbers(days)
+    assert tuples(numbers) == [(i, s) for i, s in enumerate("ABCDE")]
+    assert weather.station_names(numbers) == list("ABCDE")
+    arrays = weather.weather_arrays(days, numbers)
+    joined = weather.weather_arrays(days, numbers, in_rows=4)
+    for form in (arrays, joined):
+        assert tuples(weather.station_columns(form, list("ABCDE"))) == tuples(weather.daily_weather(days))
+    with pytest.raises(ValueError, match="arrays"):
+        weather.station_columns(arrays, ["S"] * 129)
+    assert weather.weather_arrays(days.limit(0), numbers).count() == 0
+
+
+def test_unnamed_observations_count_for_the_means_alone(spark):
+    known = obs(spark, (1, "A", 2.0), (1, "B", 4.0), (2, "A", None))
+    unnamed = known.limit(1).selectExpr("Date", "Lat", "Lon", "CAST(NULL AS STRING) AS Station", "9D AS TMIN", "9D AS TMAX", "9D AS PRCP", "9D AS AWND")
+    days = weather.station_days(known.unionByName(unnamed))
+    for in_rows in (0, 128):
+        arrays = weather.weather_arrays(days, weather.station_numbers(days), in_rows=in_rows)
+        assert tuples(arrays, "Date", "PRCP") == [(day(1), [2.0, 4.0]), (day(2), [5.0, 5.0])]
+
+
+def test_weather_vectors_name_their_entries(spark):
+    days = weather.station_days(obs(spark, (1, "A", 1.0), (1, "B", 2.0), (2, "A", 3.0)))
+    numbers = weather.station_numbers(days)
+    arrays = weather.weather_arrays(days, numbers)
+    vectors = prepare.weather_vectors(arrays, weather.station_names(numbers))
+    assert [a["name"] for a in vectors.schema["PRCP"].metadata["ml_attr"]["attrs"]["numeric"]] == ["A", "B"]
+    assert [list(r.PRCP) for r in vectors.orderBy("Date").collect()] == [[1.0, 2.0], [3.0, 3.0]]
+    assert sizing.row_width(vectors.schema) is not None and sizing.row_width(arrays.schema) is None
+    with pytest.raises(Exception, match="not one value per station"):
+        prepare.weather_vectors(arrays, ["A"]).collect()
+    never = weather.station_days(obs(spark, (1, "A", None)))
+    with pytest.raises(Exception, match="not one value per station"):
+        prepare.weather_vectors(weather.weather_arrays(never, weather.station_numbers(never)), ["A"]).collect()
+
+
 def test_coverage(spark):
     df = obs(spark, (1, "A", 1.0), (1, "B", 1.0), (2, "A", None), (3, "A", 1.0), (4, "B", 1.0))
     assert tuples(weather.stations_per_day(df), "station_count") == [(1,), (1,), (1,), (2,)]
