@@ -49,3 +49,9 @@ def yearly_sample(df: DataFrame, time: str, keys: list[str], seed: int,
     for year, share in (by_year or {}).items():
         limit = F.when(F.year(time) == year, F.lit(float(share))).otherwise(limit)
     return bernoulli_by_key(df, keys, limit, seed)
+
+
+def yearly_lines(lines: DataFrame, seed: int, fraction: float = KEEP_FRACTION) -> DataFrame:
+    """A sample of ``year, line`` rows per year. A line's draw hangs on its year and text, so
+    nothing is shuffled however large the files are; equal lines of a year share one draw."""
+    return bernoulli_by_key(lines, ["year", "line"], fraction, seed)

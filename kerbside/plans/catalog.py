@@ -629,6 +629,22 @@ def trip_csv_scan(spark, sf):
     return trip_files.read_trips(spark, paths, trip_files.SAMPLE_POSITIONS)
 
 
+@query
+def yearly_samples(spark, sf):
+    """Trip files of one month in two folders, sampled by year and merged by position."""
+    base = new_table_path(spark, "yearly")
+    stamp = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("Pickup_Time", "Dropoff_Time")]
+    rows = b.trips(spark, sf).select(
+        "event_id", *stamp, "Passenger_Count", F.col("Trip_Distance").cast("int"), F.lit(0), F.lit(0), F.lit("N"), F.lit(1),
+        F.lit(0), F.lit(0)).toDF(*"event_id p d n dist lon lat rate flag elon elat".split())
+    for year, odd in ((2013, 0), (2014, 1)):
+        rows.filter(F.col("event_id") % 2 == odd).write.option("header", True).csv(f"{base}/trips_{year}-01.csv")
+    lines = trip_files.read_lines(spark, f"{base}/trips_*.csv")
+    trip_files.write_lines(sampling.yearly_lines(lines, 1234, 0.1), f"{base}/sample")
+    merged = trip_files.merge_samples(spark, f"{base}/sample")
+    return merged.select("Pickup_Time", "Dropoff_Time", "Passenger_Count", "Trip_Distance")
+
+
 @query
 def file_list_scan(spark, sf):
     path = new_table_path(spark, "filelist")

@@ -12,12 +12,15 @@
     heatmaps     trips, flat events      -> map documents of all series
     sample       any CSV                 -> a percentage of its rows
     slice        trip CSV files          -> trips of a range of days
+    sample-years trip CSV files          -> a sample per year, and all merged by position
+    report-trips, report-weather, report-events, report-errors
+                 trips, observations, flat events, predictions -> tables of counts and statistics
 """
 
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,7 @@ from kerbside.functions import timeparts as tp
 from kerbside.models import forest as forest_nodes
 from kerbside.models import prepare as prep
 from kerbside.models import linear, score, train
-from kerbside.operators import enrichment, facts, heatmaps, sampling, stats, venues, weather
-from kerbside.operators.errors import district_errors
+from kerbside.operators import enrichment, errors, facts, heatmaps, sampling, stats, venues, weather
 from kerbside.plans.feature_table import feature_table
 from kerbside.session import build_session, materialize, own_tables
 from kerbside.sources import events as event_files
@@ -37,8 +39,7 @@ from kerbside.sources import weather as weather_files
 
 
 def _trips(spark: SparkSession, a: argparse.Namespace, positions=trip_files.TRIP_POSITIONS) -> DataFrame:
-    paths = trip_files.listed_paths(spark, a.trips, a.file_list) if a.file_list else a.trips
-    return trip_files.read_trips(spark, paths, positions)
+    return trip_files.read_trips(spark, _paths(spark, a), positions)
 
 
 def _calendar(a: argparse.Namespace) -> tp.HourRange:
@@ -117,7 +118,7 @@ def run_evaluate(spark, a) -> None:
         found = score.score_districts(rows, score.load_models(a.models, a.kind, listed), a.fraction)
     scored = materialize(found, "scored")
     tables.write_predictions(scored, f"{a.out}/predictions")
-    tables.write_errors(district_errors(scored), f"{a.out}/errors")
+    tables.write_errors(errors.district_errors(scored), f"{a.out}/errors")
 
 
 def run_importance(spark, a) -> None:
@@ -137,6 +138,82 @@ def run_sample(spark, a) -> None:
     sampling.bernoulli_rows(rows, a.percentage, a.seed).write.option("header", True).csv(a.out)
 
 
+def _paths(spark: SparkSession, a: argparse.Namespace) -> str | list[str]:
+    return trip_files.listed_paths(spark, a.trips, a.file_list) if a.file_list else a.trips
+
+
+def run_sample_years(spark, a) -> None:
+    lines = sampling.yearly_lines(trip_files.read_lines(spark, _paths(spark, a)), a.seed, a.fraction)
+    trip_files.write_lines(lines, f"{a.out}/years")
+    trip_files.merge_samples(spark, f"{a.out}/years").write.option("header", True).csv(f"{a.out}/merged")
+
+
+def _write_reports(reports: Mapping[str, DataFrame], out: str) -> None:
+    for name, report in reports.items():
+        report.write.option("header", True).csv(f"{out}/{name}")
+
+
+def run_report_trips(spark, a) -> None:
+    trips = _trips(spark, a, trip_files.SAMPLE_POSITIONS)
+    _write_reports({
+        "histograms": stats.time_histograms(trips, "Pickup_Time"),
+        "passengers": stats.value_counts(trips, "Passenger_Count"),
+        "odd_distances": stats.distance_outliers(trips),
+        "outliers": stats.outlier_audit(trips),
+    }, a.out)
+
+
+def run_report_weather(spark, a) -> None:
+    measures = weather_files.DAILY_MEASURES
+    header = weather_files.read_header(spark, a.observations)
+    present = [m for m in measures if m in header]
+    daily = materialize(weather_files.read_daily(spark, a.observations, header, present), "observations")
+    per_day = weather.stations_per_day(daily)
+    spread = weather.daily_spread(daily, present)
+    reports = {
+        "measures": stats.describe(daily, present),
+        "stations_per_day": per_day,
+        "stations_per_day_described": stats.describe(per_day, ["station_count"]),
+        "stations_per_month": weather.monthly_station_mean(per_day),
+        "station_months": weather.station_month_fraction(daily),
+        "daily_std": spread,
+        "daily_std_described": stats.describe(spread, present),
+    }
+    if a.hourly:
+        hourly = weather_files.read_hourly(spark, a.hourly)
+        reports |= {
+            "hourly_precipitation": stats.describe(hourly, ["HPCP"]),
+            "hourly_coverage": weather.hourly_coverage(hourly, _calendar(a).table(spark)),
+            "measurements_per_hour": weather.measurements_per_hour(hourly),
+        }
+    _write_reports(reports, a.out)
+
+
+def run_report_events(spark, a) -> None:
+    flat = event_files.read_flat(spark, a.events)
+    _write_reports({
+        "events_per_month": stats.events_per_month(flat),
+        "events_per_day": stats.average_events_per_day(flat),
+        "scores": stats.value_counts(flat, "score"),
+    }, a.out)
+
+
+def run_report_errors(spark, a) -> None:
+    scored = materialize(tables.read_predictions(spark, a.predictions), "scored")
+    daily = errors.daily_errors(scored)
+    _write_reports({
+        "spread": errors.error_spread(errors.district_errors(scored)),
+        "daily": daily,
+        "weekly": errors.weekly_errors(scored),
+        "daily_mean_label": errors.daily_mean_label(scored),
+        "comparison": errors.comparison(daily),
+        "best_worst_days": errors.best_and_worst_days(scored),
+        "best_worst_weeks": errors.best_and_worst_weeks(scored),
+        "rows_of_days": errors.rows_of_extremes(scored, "day"),
+        "rows_of_weeks": errors.rows_of_extremes(scored, "week"),
+    }, a.out)
+
+
 def run_slice(spark, a) -> None:
     trips = _trips(spark, a, trip_files.SAMPLE_POSITIONS)
     stats.date_slice(trips, "Pickup_Time", a.first, a.last).write.option("header", True).csv(a.out)
@@ -201,6 +278,16 @@ def parser() -> argparse.ArgumentParser:
     j.add_argument("--file-list")
     for end in ("--first", "--last"):
         j.add_argument(end, type=date.fromisoformat, required=True)
+    j = job("sample-years", run_sample_years, "trips", "out")
+    j.add_argument("--file-list")
+    j.add_argument("--fraction", type=float, default=sampling.KEEP_FRACTION)
+    j.add_argument("--seed", type=int, default=1234)
+    job("report-trips", run_report_trips, "trips", "out").add_argument("--file-list")
+    j = job("report-weather", run_report_weather, "observations", "out")
+    j.add_argument("--hourly", help="hourly precipitation")
+    years(j)
+    job("report-events", run_report_events, "events", "out")
+    job("report-errors", run_report_errors, "predictions", "out")
     return p
 
 

@@ -475,6 +475,13 @@ def oracle_sql() -> dict[str, str]:
     sql["sample_by_key"] = _sample("0.1", "events")
     sql["bernoulli_sample"] = """select event_id, ts from (select *, row_number() over () - 1 as place from events)
       where cast(('0x' || substr(md5('events.parquet|' || place || '|1234'), 1, 8)) as bigint) / 4294967296.0 < 0.1"""
+    sql["yearly_samples"] = f"""with {TRIPS}, lines as (
+        select *, 2013 + event_id % 2 as year, concat_ws(',', event_id, strftime(pickup_time, '%Y-%m-%d %H:%M:%S'),
+          strftime(dropoff_time, '%Y-%m-%d %H:%M:%S'), passenger_count, cast(trip_distance as int), 0, 0, 'N', 1, 0, 0) as line
+        from trips)
+      select date_trunc('second', pickup_time) as "Pickup_Time", date_trunc('second', dropoff_time) as "Dropoff_Time",
+        passenger_count as "Passenger_Count", trip_distance as "Trip_Distance" from lines
+      where cast(('0x' || substr(md5(year || '|' || line || '|1234'), 1, 8)) as bigint) / 4294967296.0 < 0.1"""
     sql["sample_by_year"] = (
         "select o_orderkey, o_orderdate from orders where cast(('0x' || substr(md5(o_orderkey || '|7'), 1, 8)) as bigint) "
         "/ 4294967296.0 < case when year(o_orderdate) = 1996 then 0.5 else 0.01 end")

@@ -59,3 +59,29 @@ def read_trips(spark: SparkSession, paths: str | Sequence[str],
         return (value.cast("int") if name in _WHOLE else value).alias(name)
 
     return raw.select(*[typed(i, n) for i, n in positions.items()])
+
+
+#: Whole lines as one column: a character that no trip file holds stands for the separator.
+_WHOLE_LINES = {"header": True, "sep": "\u0001", "quote": "", "escape": ""}
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``year, line``: lines of trip files as they stand, headers left out. The year is the one in
+    the path, as in ``trips_2009-03.csv``; a path without one is an error."""
+    raw = (
+        spark.read.schema("line string").options(**_WHOLE_LINES).option("enforceSchema", True)
+        .csv(paths if isinstance(paths, str) else list(paths))
+    )
+    year = F.regexp_extract("_metadata.file_path", r"(\d{4})-\d{2}\.csv", 1)
+    checked = F.when(year == "", F.raise_error(F.lit("trip file without a year and month in its path"))).otherwise(year)
+    return raw.select(checked.cast("int").alias("year"), "line")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines in one directory per year, each file with a header line, as trip files have."""
+    lines.write.partitionBy("year").options(**_WHOLE_LINES).csv(path)
+
+
+def merge_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Yearly samples as one table of the columns that are used, picked by position."""
+    return read_trips(spark, f"{path.rstrip('/')}/year=*", SAMPLE_POSITIONS)

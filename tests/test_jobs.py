@@ -89,3 +89,36 @@ def test_maps_samples_and_slices(spark, folder):
     assert 250 < spark.read.option("header", True).csv(p("sample")).count() < 520
     main(["slice", p("trips_2014-12.csv"), p("slice"), "--first", "2014-12-25", "--last", "2014-12-26"], spark)
     assert spark.read.option("header", True).csv(p("slice")).count() == 2 * 24 * 8
+
+
+def test_yearly_samples(spark, folder):
+    p = lambda *x: str(folder.joinpath(*x))
+    main(["sample-years", p("trips_2014-12.csv"), p("all_years"), "--fraction", "1"], spark)
+    merged = spark.read.option("header", True).csv(p("all_years", "merged"))
+    assert merged.count() == 20 * 24 * 8 and merged.columns[2:5] == ["Passenger_Count", "Trip_Distance", "Start_Lon"]
+    lines = spark.read.text(p("all_years", "years", "year=2014")).filter("value <> 'line'")
+    assert tuples(lines) == sorted(((x,) for x in (folder / "trips_2014-12.csv").read_text().splitlines()[1:]), key=repr)
+    main(["sample-years", p("trips_2014-12.csv"), p("some_years"), "--fraction", "0.1"], spark)
+    assert 250 < spark.read.option("header", True).csv(p("some_years", "merged")).count() < 520
+
+
+def test_reports(spark, folder):
+    p = lambda *x: str(folder.joinpath(*x))
+    rows = lambda *x: spark.read.option("header", True).csv(p(*x))
+    main(["report-trips", p("trips_2014-12.csv"), p("r_trips")], spark)
+    assert rows("r_trips", "outliers").first().trips == str(20 * 24 * 8)
+    assert rows("r_trips", "histograms").filter("part = 'hour'").count() == 24
+    (folder / "hourly.csv").write_text("STATION,DATE,HPCP\nS0,20150101 01:00,1.5\nS0,20150101 02:00,-9999\n")
+    main(["report-weather", p("weather.csv"), p("r_weather"), "--hourly", p("hourly.csv"), "--first-year", "2015", "--last-year", "2015"], spark)
+    assert tuples(rows("r_weather", "measures"), "measure", "count")[0] == ("AWND", "66")
+    assert rows("r_weather", "hourly_precipitation").first()["count"] == "1"
+    assert rows("r_weather", "station_months").count() == 6 and rows("r_weather", "hourly_coverage").count() == 12
+    main(["enrich", p("events.json"), p("venues.json"), p("codes.csv"), p("r_flat")], spark)
+    main(["report-events", p("r_flat"), p("r_events")], spark)
+    assert rows("r_events", "events_per_month").count() == 2
+    scored = spark.createDataFrame(
+        [(at(f"2015-01-{d:02d} 05:00:00"), 40.7, -74.0, float(d), 5.0) for d in range(1, 15)],
+        "Time timestamp, Lat double, Lon double, prediction double, label double")
+    tables.write_predictions(scored, p("r_predictions"))
+    main(["report-errors", p("r_predictions"), p("r_errors")], spark)
+    assert rows("r_errors", "daily").count() == 14 and rows("r_errors", "best_worst_days").first().best_day == "5"
