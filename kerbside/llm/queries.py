@@ -92,17 +92,17 @@ def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["op8_exact_top_k"] = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id as vec_id,
+  select q.n, q.vec_id as query_id, c.vec_id as vec_id,
     cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+  from v q join v c on c.n <> q.n and len(c.v) = len(q.v)
   where q.vec_id % 100 = 0),
 ranked as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+  select *, row_number() over (partition by n order by score desc, vec_id) as place from scored)
 select query_id, cast(place as int) as rank, vec_id, score from ranked where place <= 10
 """
 

@@ -16,8 +16,10 @@ vector is ever gathered whole in one place.
 
 Cases: vectors that are null, empty, or hold a null or a component that is not finite take
 no part, neither do rows without an id. Vectors of another length than the query's are no
-candidates of it. Rows with the query's own id are none either; of repeated ids the least vector asks. Ties
-go to the smaller id. Fewer than k candidates are all returned. Other columns are ignored.
+candidates of it. A query's own row is none either; other rows with its id are, and each of
+repeated ids asks for itself. Ties go to the smaller id. Fewer than k candidates are all
+returned. Other columns are ignored. A component or one of the best scores beyond 64 bits is
+an error, since no long can hold it.
 """
 
 from __future__ import annotations
@@ -41,41 +43,75 @@ LEVELS = (4, 16)
 K, SCALE, QUERY_EVERY = 10, 1024, 100
 
 
+#: A double of this size or more is beyond a 64-bit integer.
+BEYOND_LONG = 2.0 ** 63
+
+
 def _integers(vectors: DataFrame, scale: int) -> DataFrame:
     """``vec_id, size, v``: ids and integer components of the vectors that take part."""
+    def whole(x: Column) -> Column:
+        return F.when(F.abs(x * scale) >= BEYOND_LONG, F.raise_error(F.lit("component beyond 64 bits"))).otherwise(
+            F.floor(x * scale).cast("bigint"))
+
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")) \
         .filter("vec_id is not null and embedding is not null and size(embedding) > 0").filter(finite) \
         .select("vec_id", F.size("embedding").alias("size"),
-                F.transform("embedding", lambda x: F.floor(x * scale).cast("bigint")).alias("v"))
+                F.transform("embedding", whole).alias("v"))
 
 
-def _blocks(rows: DataFrame, most: int, label: str) -> DataFrame:
-    """Rows in blocks of at most ``most``: ``size, ids, data`` (64-bit integers)."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+def _packed(size: int, columns: dict[str, list], data: list[np.ndarray]) -> pa.RecordBatch:
+    packed = {n: np.array(v, "<i8") for n, v in columns.items()} | {"data": np.stack(data).astype("<i8")}
+    return pa.RecordBatch.from_arrays(
+        [pa.array([size], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in packed.values()]], ["size", *packed])
 
-        def made(size: int) -> pa.RecordBatch:
-            ids, data = waiting.pop(size)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([size], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                 pa.array([np.stack(data).astype("<i8").tobytes()], pa.binary())], ["size", "ids", "data"])
 
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows in numbered blocks of at most ``most``: ``block, size, ids, asks, data`` (64-bit
+    integers). Block and place in it tell rows apart, whatever their ids."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, tuple[dict[str, list], list[np.ndarray]]] = {}
         for b in batches:
             flat, at = np.asarray(b.column("v").flatten()), 0
-            for i, size in zip(b.column("vec_id").to_pylist(), b.column("size").to_pylist(), strict=True):
-                ids, data = waiting.setdefault(size, ([], []))
-                ids.append(i)
+            for i, size, asks in zip(*(b.column(c).to_pylist() for c in ("vec_id", "size", "asks")), strict=True):
+                columns, data = waiting.setdefault(size, ({"ids": [], "asks": []}, []))
+                columns["ids"].append(i)
+                columns["asks"].append(bool(asks))
                 data.append(flat[at:at + size])
                 at += size
-                if len(ids) == most:
-                    yield made(size)
-        for size in list(waiting):
-            yield made(size)
+                if len(data) == most:
+                    yield _packed(size, *waiting.pop(size))
+        for size, held in waiting.items():
+            yield _packed(size, *held)
 
-    packed = rows.mapInArrow(pack, "size int, ids binary, data binary")
+    packed = rows.mapInArrow(pack, "size int, ids binary, asks binary, data binary")
     return rows.sparkSession.read.parquet(write_table(
-        packed.withColumn("block", F.monotonically_increasing_id()), label))
+        packed.withColumn("block", F.monotonically_increasing_id()), "vector-blocks"))
+
+
+def _query_blocks(blocks: DataFrame, most: int) -> DataFrame:
+    """The asking rows of the blocks in blocks of their own: ``query_block, size, query_ids,
+    home, place, query_data``, with the block and the place in it that each comes from."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, tuple[dict[str, list], list[np.ndarray]]] = {}
+        for b in batches:
+            for block, size, *packed in zip(*(b.column(c).to_pylist() for c in ("block", "size", "ids", "asks", "data")), strict=True):
+                ids, asks, data = (np.frombuffer(p, "<i8") for p in packed)
+                for place in np.flatnonzero(asks):
+                    columns, held = waiting.setdefault(size, ({"ids": [], "home": [], "place": []}, []))
+                    for name, value in (("ids", ids[place]), ("home", block), ("place", place)):
+                        columns[name].append(value)
+                    held.append(data.reshape(-1, size)[place].copy())
+                    if len(held) == most:
+                        yield _packed(size, *waiting.pop(size))
+        for size, held in waiting.items():
+            yield _packed(size, *held)
+
+    packed = blocks.select("block", "size", "ids", "asks", "data").mapInArrow(
+        pack, "size int, ids binary, home binary, place binary, data binary")
+    written = blocks.sparkSession.read.parquet(write_table(
+        packed.withColumn("query_block", F.monotonically_increasing_id()), "query-blocks"))
+    return written.withColumnsRenamed({"ids": "query_ids", "data": "query_data"})
 
 
 def _statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,9 +125,10 @@ def _statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def meet(
-    ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int,
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query the ids and scores of its k best vectors among ``x``; ties to smaller ids."""
+    ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per query the ids and scores of its k best vectors among ``x``; ties to smaller ids. ``own``
+    is the query's place in ``x``, -1 where it is not among them."""
     xf, qf = x.astype(float), q.astype(float)
     levels = []
     for segments in LEVELS:
@@ -101,19 +138,26 @@ def meet(
     # x.q is therefore the inner product of the statistics. The slack covers rounding.
     slack = 1e-9 * (np.sqrt((xf * xf).sum(1))[:, None] * np.sqrt((qf * qf).sum(1))[None, :]) + 1e-6
     bound = levels[0][0] @ levels[0][1].T + slack
-    for j, query in enumerate(query_ids):
-        allowed = ids != query
+    places = np.arange(len(ids))
+
+    def scored(rows: np.ndarray, j: int) -> np.ndarray:
+        if np.any(np.abs(xf[rows] @ qf[j]) >= BEYOND_LONG):
+            raise OverflowError("score beyond 64 bits")
+        return x[rows] @ q[j]
+
+    for j, place in enumerate(own):
+        allowed = places != place
         upper = np.where(allowed, bound[:, j], -np.inf)
         seed = np.argpartition(-upper, min(k, len(ids)) - 1)[:k]
         seed = seed[allowed[seed]]
-        least = np.sort(x[seed] @ q[j])[-k] if len(seed) >= k else -np.inf
+        least = np.sort(scored(seed, j))[-k] if len(seed) >= k else -np.inf
         alive = np.flatnonzero(upper >= least)
         for sx, sq in levels[1:]:
             alive = alive[sx[alive] @ sq[j] + slack[alive, j] >= least]
         alive = alive[allowed[alive]]
-        scores = x[alive] @ q[j]
+        scores = scored(alive, j)
         order = np.lexsort((ids[alive], -scores))[:k]
-        yield int(query), ids[alive][order], scores[order]
+        yield ids[alive][order], scores[order]
 
 
 def top_k(
@@ -124,29 +168,26 @@ def top_k(
     Queries are the rows that ``is_query`` selects, by default those whose id is divisible
     by ``query_every``.
     """
-    rows = _integers(vectors, scale)
-    asked = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0 if is_query is None else is_query) \
-        .groupBy("vec_id").agg(F.min(F.struct("size", "v")).alias("first")).select("vec_id", "first.size", "first.v")
-    data = _blocks(rows, VECTORS, "vector-blocks")
-    queries = _blocks(asked, QUERIES, "query-blocks")
-    parts = queries.select(F.col("block").alias("query_block"), "size", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    numbered = parts.select("size", "query_block")
-    pairs = data.select("block", "size").join(numbered, "size")
-    meetings = pairs.join(data.drop("size"), "block").join(parts.drop("size"), "query_block") \
+    asks = F.pmod("vec_id", F.lit(query_every)) == 0 if is_query is None else is_query
+    data = _blocks(_integers(vectors, scale).withColumn("asks", F.coalesce(asks, F.lit(False))), VECTORS)
+    parts = _query_blocks(data, QUERIES)
+    pairs = data.select("block", "size").join(parts.select("size", "query_block"), "size")
+    meetings = pairs.join(data.drop("size", "asks"), "block").join(parts.drop("size"), "query_block") \
         .repartition("block", "query_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("block", "size", "ids", "data", "query_ids", "home", "place", "query_data")
         for b in batches:
-            for size, *packed in zip(*(b.column(c).to_pylist() for c in ("size", "ids", "data", "query_ids", "query_data")), strict=True):
-                ids, x, query_ids, q = (np.frombuffer(p, "<i8") for p in packed)
-                found = list(meet(ids, x.reshape(-1, size), query_ids, q.reshape(-1, size), k))
-                n = [len(f[1]) for f in found]
+            for block, size, *packed in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                ids, x, query_ids, home, place, q = (np.frombuffer(p, "<i8") for p in packed)
+                own = np.where(home == block, place, -1)
+                found = list(meet(ids, x.reshape(-1, size), own, q.reshape(-1, size), k))
+                n = [len(f[0]) for f in found]
+                columns = [np.repeat(c, n) for c in (home, place, query_ids)] + [np.concatenate(c) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([f[0] for f in found], n), pa.int64()),
-                     pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
-                     pa.array(np.concatenate([f[2] for f in found]), pa.int64())], ["query_id", "vec_id", "score"])
+                    [pa.array(c, pa.int64()) for c in columns], ["home", "place", "query_id", "vec_id", "score"])
 
-    best = meetings.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = meetings.mapInArrow(run, "home bigint, place bigint, query_id bigint, vec_id bigint, score bigint")
+    order = W.partitionBy("home", "place").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

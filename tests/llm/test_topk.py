@@ -13,10 +13,10 @@ def brute(rows, k=10):
     rows = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows
             if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for i in {i for i, _ in rows if i % 100 == 0}:
-        q = min((len(e), e) for j, e in rows if j == i)[1]
-        scored = sorted((-sum(a * b for a, b in zip(e, q)), j) for j, e in rows if j != i and len(e) == len(q))[:k]
-        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    for n, (i, q) in enumerate(rows):
+        if i % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(e, q)), j) for m, (j, e) in enumerate(rows) if m != n and len(e) == len(q))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     return sorted(out)
 
 
@@ -42,3 +42,19 @@ def test_odd_rows(spark):
     assert result(spark, rows) == brute(rows)
     assert result(spark, []) == []
     assert result(spark, [(1, [1.0])]) == []
+
+
+def test_repeated_ids_ask_for_themselves(spark, monkeypatch):
+    """Rows that share an id, some of them equal: each is a candidate of the others."""
+    monkeypatch.setattr(topk, "VECTORS", 4)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rows = [(100, [float(i % 5), 1.0]) for i in range(9)] + [(7, [2.0, 2.0]), (200, [1.0, 1.0]), (200, [1.0, 1.0])]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_beyond_64_bits_is_refused(spark):
+    for rows in ([(0, [4e9]), (1, [4e9])], [(0, [1.0]), (1, [1e17])]):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            result(spark, rows)
+    near = [(0, [2.0 ** 20]), (1, [2.0 ** 22]), (2, [-2.0 ** 20])]
+    assert result(spark, near) == brute(near)
